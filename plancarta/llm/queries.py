@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .simhash import simhash_groups
+from .packing import pack
 from .quality import quality_rules
 from .langid import language_id
 from .substring import substring_dedup
@@ -29,10 +30,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
