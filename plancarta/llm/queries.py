@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .simhash import simhash_groups
+from .mixing import mix, sizes
 from .packing import pack
 from .quality import quality_rules
 from .langid import language_id
@@ -34,11 +35,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(sizes(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op6_mixing": op6_mixing,
     "op10_simhash": op10_simhash,
 }
 
