@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_format, conversations_as_records, digest
 from .common import table
 from .simhash import simhash_groups
+from .embeddings import embedding_groups
 from .mixing import mix, sizes
 from .packing import pack
 from .quality import quality_rules
@@ -46,6 +47,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(chat_format(conversations_as_records(rows)))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op6_mixing": op6_mixing,
     "op4_chat_format": op4_chat_format,
+    "op7_embeddings": op7_embeddings,
     "op10_simhash": op10_simhash,
 }
 
