@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_format, conversations_as_records, digest
 from .common import table
 from .simhash import simhash_groups
+from .html import extract
 from .embeddings import embedding_groups
 from .mixing import mix, sizes
 from .packing import pack
@@ -51,6 +52,10 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op4_chat_format": op4_chat_format,
     "op7_embeddings": op7_embeddings,
+    "op5_html": op5_html,
     "op10_simhash": op10_simhash,
 }
 
