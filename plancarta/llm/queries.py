@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import chat_format, conversations_as_records, digest
 from .common import table
 from .simhash import simhash_groups
+from .lines import line_dedup
 from .html import extract
 from .embeddings import embedding_groups
 from .mixing import mix, sizes
@@ -56,6 +57,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": op4_chat_format,
     "op7_embeddings": op7_embeddings,
     "op5_html": op5_html,
+    "op3_line_dedup": op3_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
