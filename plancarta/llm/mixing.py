@@ -104,3 +104,19 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     rows = folded.select("source", "source_size", "target", F.explode(F.arrays_zip("docs", "out")).alias("x"))
     size, c = F.col("x.docs.size"), F.col("x.out")
     return rows.select(F.col("x.docs.doc_id").alias("doc_id"), size.alias("size"), "source_size", "target", (size * c).alias("taken"), c.alias("copies"), "source")
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """The rows of docs (doc_id, text, source and others), each as often as the mix takes it.
+
+    Rows that share an id take the copies of all of them, dealt to these rows in turn.
+    """
+    copies = mix(sizes(docs), weights, share, most).groupBy("doc_id").agg(F.sum("copies").alias("c"), F.count("*").alias("m"))
+    copies = copies.select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"), F.col("m").alias("_m"))
+    alone = docs.join(copies.where("_m = 1 and _c > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    shared = docs.join(copies.where("_m > 1 and _c > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    turn = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text", "source")))
+    own = F.floor(F.col("_c") / F.col("_m")) + F.when(turn <= F.col("_c") % F.col("_m"), 1).otherwise(0)
+    shared = shared.withColumn("_c", own.cast("long")).where("_c > 0")
+    rows = alone.unionByName(shared)
+    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).select(*docs.columns)

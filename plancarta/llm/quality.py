@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import MEMO_ENTRIES, grams, id_column, raw, rows_of, ship, store, word_hashes
 
@@ -255,6 +256,9 @@ def _arrays(table: pa.Table, discounts: dict, order: int) -> KneserNey:
 _SCORE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")], ("log_prob", pa.float64())])
 
 
+_SCORE_SQL = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, log_prob double"
+
+
 def repeat_words(h: np.ndarray, size: int = REPEAT_WORDS) -> int:
     """Words inside windows of size words that are found twice or more, the first included."""
     if len(h) <= size:
@@ -299,6 +303,8 @@ class Scorer:
 
 
 def _score(model):
+    """Scores of rows (doc_id, lang, text, and others to carry along)."""
+
     def run(batches):
         score, memo = Scorer(model.value), word_hashes()
         for whole in batches:
@@ -319,7 +325,8 @@ def _score(model):
                     values = (i, lang, len(words), len(text.decode()) - spaces, len(text) - len(text.translate(None, b"#*$%&|<>")), len(lines) - len({*lines}), repeat_words(h), n, log)
                     for name, v in zip(out, values, strict=True):
                         out[name].append(v)
-                yield rows_of(_SCORE, **out)
+                scores = rows_of(_SCORE, **out)
+                yield pa.RecordBatch.from_arrays([*scores.columns, *b.columns[3:]], [*scores.schema.names, *b.schema.names[3:]])
 
     return run
 
@@ -342,14 +349,26 @@ def bands(scores: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     return store(mid.join(spread, "lang").select("lang", (F.col("middle") / 1000 - side).alias("low"), (F.col("middle") / 1000 + side).alias("high")), "bands")
 
 
-def quality_rules(docs: DataFrame, order: int = ORDER, width: float = WIDTH, least: float = LEAST) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and the perplexity per letter and word, of docs (doc_id, text, lang)."""
+def judge(docs: DataFrame, carried: list[str], order: int, width: float, least: float) -> DataFrame:
+    """Scores of docs (doc_id, text, lang) with base_failed, kept and perplexity, and the columns to carry as c0, c1, ..."""
     spark = docs.sparkSession
-    docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    model = spark.sparkContext.broadcast(train(docs, order))
-    scores = store(docs.mapInArrow(_score(model), "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_scored long, log_prob double"), "scores")
+    rows = docs.select(id_column(docs, "doc_id").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
+    model = spark.sparkContext.broadcast(train(rows, order))
+    schema = T.StructType([*T.StructType.fromDDL(_SCORE_SQL), *rows.schema[3:]])
+    scores = store(rows.mapInArrow(_score(model), schema), "scores")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATS * F.col("n_words"))
     mean = F.when(F.col("n_scored") > 0, F.col("log_prob") / F.col("n_scored"))
     inside = F.coalesce(mean.between(F.col("low"), F.col("high")), F.lit(False))
     out = scores.join(bands(scores, width, least), "lang", "left")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp(-mean).alias("perplexity"))
+    return out.select("*", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp(-mean).alias("perplexity"))
+
+
+def quality_rules(docs: DataFrame, order: int = ORDER, width: float = WIDTH, least: float = LEAST) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, and the perplexity per letter and word, of docs (doc_id, text, lang)."""
+    return judge(docs, [], order, width, least).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
+def kept_documents(docs: DataFrame, order: int = ORDER, width: float = WIDTH, least: float = LEAST) -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others) that the rules keep, whole."""
+    judged = judge(docs, docs.columns, order, width, least).where("kept")
+    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -192,3 +192,9 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) ->
     lowest = store(grouped.groupBy("root").agg(F.min("lo").alias("component_id")), "lowest")
     named = store(grouped.join(lowest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """The rows of docs (doc_id, text and others) whose id is its group's smallest; rows with a null id stay."""
+    gone = simhash_groups(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
