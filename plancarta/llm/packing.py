@@ -33,31 +33,40 @@ SHARD = 8192
 REMEMBERED = 800_000
 
 
-class Ids:
-    """Little-endian 32-bit ids of texts."""
+#: ASCII signs that are one pre-token with their like and never part of a contraction.
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+class Ids(dict):
+    """Little-endian 32-bit ids by stretch of text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.encode = Tokenizer.from_file(path).encode
+
+    def __missing__(self, w: bytes) -> bytes:
+        letters = w.rstrip(SIGNS)
+        if letters and letters.decode().isalpha():
+            if letters != w:  # letters, then signs: two pre-tokens, known apart
+                ids = self[letters] + self[w[len(letters) :]]
+            else:
+                text = w.decode()
+                lower = text.lower().encode()
+                # lower case is taken letter by letter, which two letters can't be
+                ids = self[lower] if lower != w and "\u03a3" not in text and "\u0130" not in text else self.said(text)
+        else:
+            ids = self.said(w.decode())
+        self[w] = ids
+        return ids
 
-    def learn(self, new: list[bytes]) -> None:
-        # letters followed by a comma or full stop are two pre-tokens: remember the letters without them
-        plain = {w: w[:-1] for w in new if w[-1:] in b".," and w[:-1].decode().isalpha()}
-        rest = [*({*new} - plain.keys() | {p for p in plain.values() if p not in self.memo} | ({b".", b","} - self.memo.keys()))]
-        for w, ids in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
-            self.memo[w] = np.array(ids.ids, "<u4").tobytes()
-        for w, p in plain.items():
-            self.memo[w] = self.memo[p] + self.memo[w[-1:]]
+    def said(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, texts: list[bytes], end: int) -> list[bytes]:
-        if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        last = np.array([end], "<u4").tobytes()
-        words = [t.split() for t in texts]
-        if new := set().union(*words) - self.memo.keys():
-            self.learn([*new])
-        return [b"".join(map(self.memo.__getitem__, w)) + last for w in words]
+    def __call__(self, text: bytes, end: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split())) + end
 
 
 @cache
@@ -75,16 +84,15 @@ def _pieces(path: str, size: int, end: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = _ids(path)
+        ids, last = _ids(path), np.array([end], "<u4").tobytes()
         for b in batches:
             out: dict[str, list] = {f.name: [] for f in _PIECE}
-            docs, texts = b.column(0).to_pylist(), raw(b.column(1))
-            for k in range(0, len(texts), 500):
-                for i, data in zip(docs[k : k + 500], ids(texts[k : k + 500], end), strict=True):
-                    n = len(data) // 4
-                    for s in range(0, n, size):
-                        for name, v in zip(out, (i, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)]), n), strict=True):
-                            out[name].append(v)
+            for i, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
+                data = ids(text, last)
+                n = len(data) // 4
+                for s in range(0, n, size):
+                    for name, v in zip(out, (i, s, min(size, n - s), zlib.crc32(data[4 * s : 4 * (s + size)]), n), strict=True):
+                        out[name].append(v)
             yield rows_of(_PIECE, **out)
 
     return run
