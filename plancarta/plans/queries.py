@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions, geometry, text
 from ..functions.geometry import Box
-from ..operators import folds, labels, pixels, regions, registry, spatial, trails
+from ..operators import folds, labels, pixels, regions, registry, shapes, spatial, trails
 from .fixtures import fixture, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -654,3 +654,73 @@ def registry_new_entries(hashes):
 @_query("table:events", sql="select event_type, count(*) as n, count_if(json_extract_string(props,'$.k') is not null)::bigint as with_key, sum(cast(json_extract_string(props,'$.k') as bigint))::bigint as total from events group by 1")
 def prediction_extract(events):
     return registry.prediction_counts(events)
+
+
+# --- polygons and kernels --------------------------------------------------------------------------------------------
+
+
+@_query("boxes", sql=f"select l.image_id, l.rid as a, r.rid as b, round({_iou('l', 'r')},9) as iou, round({_ios('l', 'r')},9) as ios from {_PAIR} where l.rid<r.rid and {_inter('l', 'r')}>0 and {_iou('l', 'r')}>0.2")
+def polygon_overlaps(boxes):
+    near = regions.pairs(boxes, "iou", 0.2).drop("iou")
+    b = boxes.select("image_id", "rid", geometry.open_ring(geometry.ring(F.col("x"), F.col("y"), F.col("w"), F.col("h"))).alias("ring"))
+    side = lambda key, name: b.select("image_id", F.col("rid").alias(key), F.col("ring").alias(name))
+    rows = near.join(side("a", "p"), ["image_id", "a"]).join(side("b", "q"), ["image_id", "b"])
+    return shapes.polygon_overlaps(rows).select("image_id", "a", "b", F.round("iou", 9).alias("iou"), F.round("ios", 9).alias("ios"))
+
+
+@_query("polylines")
+def polyline_simplify(lines):
+    return shapes.simplify(lines, 8.0).select("trail_id", "ord", "x", "y")
+
+
+@_query("polylines")
+def loop_excision(lines):
+    return shapes.excise_loops(lines, 12.0, 6).select("trail_id", "ord", "x", "y")
+
+
+_SHARES = "(select a.trail_id as a, b.trail_id as b, count(distinct a.ord)::double/any_value(n.n) as share from polylines a join polylines b on a.cluster=b.cluster and a.trail_id<>b.trail_id and sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))<=8 join (select trail_id, count(*) as n from polylines group by 1) n on n.trail_id=a.trail_id group by 1,2)"
+
+
+@_query("polylines", sql=f"select unnest(kept) as trail_id from (select list_reduce(l, lambda acc, t: case when len(list_filter(t.near, lambda b: list_contains(acc.kept, b)))>0 then acc else {{'kept': list_append(acc.kept, t.id), 'id': acc.id, 'near': acc.near}} end, {{'kept': []::bigint[], 'id': 0::bigint, 'near': []::bigint[]}}).kept as kept from (select cluster, list({{'kept': []::bigint[], 'id': trail_id, 'near': near}} order by n desc, trail_id) as l from (select p.cluster, p.trail_id, p.n, coalesce(s.near, []::bigint[]) as near from (select cluster, trail_id::bigint as trail_id, count(*) as n from polylines group by 1,2) p left join (select a, list(b::bigint) as near from {_SHARES} where share>=0.7 group by 1) s on s.a=p.trail_id) group by 1))")
+def polyline_dedup(lines):
+    return shapes.drop_overlapping(lines, trails.near_share(lines, 8))
+
+
+@_query("pixels")
+def perceptual_hash(pixels_):
+    return shapes.image_hashes(pixels_)
+
+
+@_query("profiles", sql="select image_id, case when size<2300 then least(3, 2300/size) when size>3680 then 2300/size else 1e0 end as scale, sqrt(size*size+n_geo*n_geo)*0.004 as tolerance, greatest(10, 15e-2*n_geo) as cross, greatest(12, 17e-2*n_geo) as overlap from (select image_id, n_geo, (500+image_id*41 % 4000)::double as size from profiles)")
+def working_scale(profiles):
+    size = (500 + F.col("image_id") * 41 % 4000).cast("double")
+    rows = profiles.select("image_id", "n_geo", size.alias("size"))
+    scale = F.when(F.col("size") < 2300, F.least(F.lit(3.0), 2300 / F.col("size"))).when(F.col("size") > 3680, 2300 / F.col("size")).otherwise(1.0)
+    diagonal = F.sqrt(F.col("size") * F.col("size") + F.col("n_geo") * F.col("n_geo"))
+    at_least = lambda low, share: F.greatest(F.lit(low), F.col("n_geo") * share)
+    return rows.select("image_id", scale.alias("scale"), (diagonal * 0.004).alias("tolerance"), at_least(10.0, 0.15).alias("cross"), at_least(12.0, 0.17).alias("overlap"))
+
+
+@_query("boxes", sql="select image_id, rid, least(abs(h1-h2), 180-abs(h1-h2)) as hue_distance, case when least(a % 90, 90-a % 90)<=7 then 0 else least(a % 90, 90-a % 90) end as tilt from (select image_id, rid, rid*7 % 180 as h1, rid*11 % 180 as h2, rid*13 % 180 as a from boxes)")
+def circular_measures(boxes):
+    h1, h2, a = (F.col("rid") * k % 180 for k in (7, 11, 13))
+    fold = F.least(F.pmod(a, F.lit(90)), 90 - F.pmod(a, F.lit(90)))
+    return boxes.select("image_id", "rid", F.least(F.abs(h1 - h2), 180 - F.abs(h1 - h2)).alias("hue_distance"), F.when(fold <= 7, 0).otherwise(fold).alias("tilt"))
+
+
+@_query("boxes", sql="select image_id, rid, case when coalesce(area,-1)>=0 then area else w*h end as area, row_number() over (partition by image_id order by score desc, w*h desc, rid) as id from (select *, case when rid % 3=0 then w*h/2 end as area from boxes)")
+def sequential_ids(boxes):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("image_id").orderBy(F.desc("score"), F.desc(Box().area), "rid")
+    area = F.when(F.col("rid") % 3 == 0, Box().area / 2)
+    return boxes.select("image_id", "rid", F.coalesce(area, Box().area).alias("area"), F.row_number().over(order).cast("long").alias("id"))
+
+
+@_query("boxes", "pixels", sql="select b.image_id, b.rid, avg((not (p.r>200 and p.g>200 and p.b>200))::int) as contrast from (select image_id, rid, floor(x/16) as x, floor(y/16) as y, floor(w/16)+1 as w, floor(h/16)+1 as h from boxes) b join pixels p on p.image_id=b.image_id and p.x between b.x-2 and b.x+b.w+1 and p.y between b.y-2 and b.y+b.h+1 and not (p.x between b.x and b.x+b.w-1 and p.y between b.y and b.y+b.h-1) group by 1,2")
+def ring_contrast(boxes, pixels_):
+    b = boxes.select("image_id", "rid", *[F.floor(F.col(c) / 16).alias(c) for c in "xy"], *[(F.floor(F.col(c) / 16) + 1).alias(c) for c in "wh"])
+    at = b.withColumn("px", F.explode(F.sequence(F.col("x") - 2, F.col("x") + F.col("w") + 1))).withColumn("py", F.explode(F.sequence(F.col("y") - 2, F.col("y") + F.col("h") + 1)))
+    band = at.where(~(F.col("px").between(F.col("x"), F.col("x") + F.col("w") - 1) & F.col("py").between(F.col("y"), F.col("y") + F.col("h") - 1))).select("image_id", "rid", "px", "py")
+    light = pixels_.select("image_id", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), ((F.col("r") > 200) & (F.col("g") > 200) & (F.col("b") > 200)).alias("white"))
+    return band.join(light, ["image_id", "px", "py"]).groupBy("image_id", "rid").agg(F.avg((~F.col("white")).cast("int")).alias("contrast"))

@@ -1 +1,66 @@
-"""See the README for what this subpackage holds."""
+"""Inputs as tables: folders of plans, rasters, prediction files and hash registries; and where results go."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import base_name, content_type
+from ..operators.registry import is_pdf
+
+SUFFIXES = ("pdf", "png", "jpg", "jpeg")
+POINT = "struct<x: double, y: double>"
+PREDICTIONS = f"image struct<width: int, height: int>, predictions array<struct<x: double, y: double, width: double, height: double, confidence: double, class: string, points: array<{POINT}>>>"
+
+
+def folder(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
+    """file, content, type, is_pdf of the plans in a folder, by file name; only: those whose name holds one of these."""
+    files = spark.read.format("binaryFile").load(path).withColumn("file", base_name(F.col("path")))
+    name = F.lower("file")
+    rows = files.where(name.rlike(rf"\.({'|'.join(SUFFIXES)})$"))
+    if only:
+        rows = rows.where(F.exists(F.array(*[F.lit(x.lower()) for x in only]), lambda x: F.contains(name, x)))
+    return rows.select("file", "content", content_type(F.col("content")).alias("type"), is_pdf(F.col("content")).alias("is_pdf")).orderBy("file")
+
+
+def rasters(spark: SparkSession, path: str) -> DataFrame:
+    """origin, height, width, nChannels, data of the images in a folder; unreadable ones are left out."""
+    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+
+
+def predictions(spark: SparkSession, path: str) -> DataFrame:
+    """file and the predictions of its first block, of files of JSON blocks one a line; malformed ones give none."""
+    blocks = spark.read.text(path, wholetext=True).select(base_name(F.input_file_name()).alias("file"), F.from_json("value", f"array<struct<{PREDICTIONS.replace(' struct<width', ': struct<width', 1).replace('predictions array', 'predictions: array')}>>").alias("blocks"))
+    first = F.try_element_at("blocks", F.lit(1))
+    return blocks.select("file", first["image"].alias("image"), F.explode_outer(first["predictions"]).alias("p")).select("file", "image", "p.*")
+
+
+def js_size(rows: DataFrame) -> DataFrame:
+    """file, width, height: of the image block, else a margin over the largest point, else 2100 by 1275."""
+    point = lambda c: F.max(F.array_max(F.transform("points", lambda p: p[c])))
+    by = rows.groupBy("file").agg(F.first("image", True).alias("image"), point("x").alias("x"), point("y").alias("y"))
+    known = (F.col("x") > 0) & (F.col("y") > 0)
+    size = lambda own, c, usual: F.coalesce(F.col(f"image.{own}"), F.when(known, F.ceil(F.col(c) * 1.05).cast("int")), F.lit(usual)).alias(own)
+    return by.select("file", size("width", "x", 2100), size("height", "y", 1275))
+
+
+def hash_registry(spark: SparkSession, path: str) -> DataFrame:
+    """hash: the registry's distinct entries, of JSON lists of strings; missing, empty or corrupt files hold none."""
+    try:
+        text = spark.read.text(path, wholetext=True)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "hash string")
+    return text.select(F.explode(F.from_json("value", "array<string>")).alias("hash")).where("hash is not null").distinct()
+
+
+def write_run(result: DataFrame, path: str, endpoint: str) -> None:
+    """Append a run's rows as JSON, by endpoint and day."""
+    rows = result.withColumns({"endpoint": F.lit(endpoint), "day": F.current_date()})
+    rows.write.mode("append").partitionBy("endpoint", "day").json(path)
+
+
+def write_registry(hashes: DataFrame, path: str) -> None:
+    """Replace the registry; readers see the old or the new one."""
+    hashes.select("hash").distinct().write.mode("overwrite").parquet(path)

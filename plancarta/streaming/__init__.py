@@ -1 +1,28 @@
-"""See the README for what this subpackage holds."""
+"""Structured Streaming forms of the hash registry and the batch summary."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def first_arrivals(inputs: DataFrame, time: str, late: str = "1 hour") -> DataFrame:
+    """Stream rows (hash, and a time column) whose hash wasn't seen within the time that late rows are waited for."""
+    return inputs.withWatermark(time, late).dropDuplicatesWithinWatermark(["hash"])
+
+
+def activity(events: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Counts and sums of value by window of ts and event_type, each written once its window is over."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("window"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def into_registry(batch: DataFrame, registry: str) -> None:
+    """For foreachBatch: append the hashes that the registry, a Parquet folder, doesn't hold; the same batch again adds none."""
+    spark = batch.sparkSession
+    new = batch.select("hash").distinct()
+    try:
+        new = new.join(spark.read.schema("hash string").parquet(registry), "hash", "left_anti")
+    except Exception as e:  # a registry that isn't there yet is an empty one
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new.write.mode("append").parquet(registry)
