@@ -47,4 +47,6 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(sql: str, *names: str, **views: str) -> str:
     """A query over named fixtures and further views, in order, as one statement."""
     parts = [f"{n} as ({FIXTURES[n]})" for n in names] + [f"{n} as ({v})" for n, v in views.items()]
+    if sql.startswith("with recursive "):
+        return f"with recursive {', '.join(parts)}, {sql[15:]}"
     return f"with {', '.join(parts)} {sql}" if parts else sql

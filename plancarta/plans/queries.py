@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions, geometry, text
 from ..functions.geometry import Box
-from ..operators import folds, labels, pixels, regions, registry, shapes, spatial, trails
+from ..operators import ensemble, folds, graph, labels, pixels, regions, registry, shapes, spatial, trails
 from .fixtures import fixture, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -724,3 +724,85 @@ def ring_contrast(boxes, pixels_):
     band = at.where(~(F.col("px").between(F.col("x"), F.col("x") + F.col("w") - 1) & F.col("py").between(F.col("y"), F.col("y") + F.col("h") - 1))).select("image_id", "rid", "px", "py")
     light = pixels_.select("image_id", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), ((F.col("r") > 200) & (F.col("g") > 200) & (F.col("b") > 200)).alias("white"))
     return band.join(light, ["image_id", "px", "py"]).groupBy("image_id", "rid").agg(F.avg((~F.col("white")).cast("int")).alias("contrast"))
+
+
+# --- graphs and drivers ----------------------------------------------------------------------------------------------
+
+_TREE = "(select trail_id as id, trail_id as a, (trail_id+3)//4 as b, (trail_id*7 % 20)::double as length from polylines where trail_id>1 group by trail_id)"
+
+
+def _tree(lines):
+    t = F.col("trail_id")
+    return lines.where("trail_id > 1").select(t.alias("id"), t.alias("a"), F.floor((t + 3) / 4).alias("b"), (t * 7 % 20).cast("double").alias("length")).distinct()
+
+
+def _pruned(rounds: int) -> str:
+    rows = _TREE
+    for _ in range(rounds):
+        degree = f"(select v, count(*) as d from (select a as v from {rows} union all select b from {rows}) group by 1)"
+        rows = f"(select e.* from {rows} e join {degree} p on p.v=e.a join {degree} q on q.v=e.b where not (least(p.d,q.d)=1 and greatest(p.d,q.d)>1 and length<9))"
+    return rows
+
+
+@_query("polylines", sql=f"select id, a, b, length from {_pruned(2)}")
+def spur_prune(lines):
+    return graph.prune_spurs(_tree(lines), 9, 2)
+
+
+@_query("polylines")
+def diameter_chain(lines):
+    return graph.diameter_chains(_tree(lines).withColumn("image_id", F.lit(0)))
+
+
+@_query("polylines", sql=f"""with recursive e as (select i.trail_id as a, j.trail_id as b from {_ENDS} i join {_ENDS} j on i.trail_id<j.trail_id and i.cluster=j.cluster and {_GAP}<25),
+ w as (select a as v, a as r from e union select b, b from e union select s.t, w.r from w join (select a as f, b as t from e union all select b, a from e) s on s.f=w.v) select v, min(r) as root from w group by 1""")
+def trail_groups(lines):
+    edges = trails.endpoint_pairs(trails.endpoints(lines), 25, True).select(F.lit(0).alias("image_id"), F.col("i").alias("a"), F.col("j").alias("b"))
+    return graph.groups(edges).select("v", "root")
+
+
+@_query("pixels")
+def skeleton(pixels_):
+    return graph.skeletons(pixels.ink(pixels_, 100))
+
+
+@_query("pixels")
+def hole_fill(pixels_):
+    return graph.filled(pixels.ink(pixels_, 140), 12)
+
+
+@_query("boxes")
+def ensemble_fused(boxes):
+    return ensemble.fused(boxes, PAGE).select("image_id", "id", "rid", "source")
+
+
+@_query("table:embeddings")
+def kmeans_silhouette(vectors):
+    share = lambda i: F.abs(F.element_at("embedding", i)).cast("double")
+    return ensemble.colour_clusters(vectors.select(F.col("vec_id").alias("id"), share(1).alias("h"), share(2).alias("s"), share(3).alias("v"))).select("id", "cluster")
+
+
+@_query("boxes", sql="select image_id, cluster, dense_rank() over (partition by image_id order by root)-1 as merged from (select l.image_id, l.cluster, min(r.cluster) as root from (select image_id, rid % 4 as cluster, avg(x)/1000 as x from boxes group by 1,2) l join (select image_id, rid % 4 as cluster, avg(x)/1000 as x from boxes group by 1,2) r on l.image_id=r.image_id and (l.cluster=r.cluster) group by 1,2)")
+def cluster_postmerge(boxes):
+    by = boxes.groupBy("image_id", (F.col("rid") % 4).alias("cluster")).agg((F.avg("x") / 1000).alias("r"), F.first(F.lit(0.0)).alias("g"), F.first(F.lit(0.0)).alias("b"))
+    return ensemble.merged_clusters(by, 0.0)
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content hashes of a stream of documents, each once; the stream runs until it has read what is there."""
+    import tempfile
+    import uuid
+
+    from .. import streaming
+
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet").select(F.sha1("text").alias("hash"), F.timestamp_seconds("doc_id").alias("ts"))
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
+    to = f"{shared}/stream-{uuid.uuid4().hex}"
+    first = streaming.first_arrivals(rows, "ts", "30 days").select("hash")
+    first.writeStream.format("parquet").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start(f"{to}/out").awaitTermination()
+    return spark.read.schema("hash string").parquet(f"{to}/out")
+
+
+QUERIES["stream_dedup"] = stream_dedup
+ORACLE_SQL["stream_dedup"] = "select distinct sha1(text) as hash from documents"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plancarta import sources, streaming
 from plancarta.functions import decisions, text
-from plancarta.operators import folds, pixels, regions, shapes, trails
+from plancarta.operators import ensemble, folds, graph, pixels, regions, shapes, trails
 
 BOX = "image_id long, rid long, x double, y double, w double, h double, source string, score double"
 
@@ -157,3 +157,41 @@ def test_streams(spark, tmp_path):
         q = stream.writeStream.foreachBatch(lambda batch, _: streaming.into_registry(batch, to)).option("checkpointLocation", str(tmp_path / f"c{_}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.read.parquet(to).count() == 5
+
+
+def test_masks_as_arrays():
+    rng = np.random.default_rng(4)
+    blob = np.zeros((20, 24), bool)
+    blob[3:9, 2:20] = blob[5:18, 8:13] = True
+    line = graph.thinned(blob)
+    assert line.any() and (line <= blob).all() and line.sum() < blob.sum() / 2
+    assert len(np.unique(graph.labelled(line))) == len(np.unique(graph.labelled(blob))) == 2
+    ring = np.ones((7, 7), bool)
+    ring[3, 3] = ring[0, 0] = False
+    assert graph.fill_holes(ring, 1)[3, 3] and not graph.fill_holes(ring, 1)[0, 0] and not graph.fill_holes(ring, 0)[3, 3]
+    mask = rng.random((9, 9)) < 0.8
+    d = graph.distances(mask)
+    off = np.argwhere(~mask)
+    for y, x in np.argwhere(mask):
+        assert d[y, x] == pytest.approx(np.hypot(*(off - (y, x)).T).min(), rel=0.1)
+
+
+def test_cheapest_way():
+    cost = np.ones((5, 5))
+    cost[1:4, 2] = 50
+    path, total = graph.cheapest_way(cost, (2, 0), (2, 4))
+    assert path[0] == (2, 0) and path[-1] == (2, 4) and not any(cost[p] > 1 for p in path)
+    assert total == pytest.approx(4 * 2**0.5)
+
+
+def test_diameter():
+    assert graph.diameter([(1, 2), (2, 3), (3, 4), (2, 5), (5, 6), (6, 7)]) in ([4, 3, 2, 5, 6, 7], [7, 6, 5, 2, 3, 4])
+
+
+def test_clusters(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, float(h + rng.normal() * 0.01), 0.9, 0.9) for i, h in enumerate([0.1] * 15 + [0.45] * 15 + [0.8] * 15)]
+    got = {r.id: r.cluster for r in ensemble.colour_clusters(spark.createDataFrame(rows, "id long, h double, s double, v double")).collect()}
+    assert len({got[i] for i in range(15)}) == len({got[i] for i in range(15, 30)}) == 1 and len({*got.values()}) == 3
+    by = spark.createDataFrame([(1, 0, 0.1, 0.1, 0.1), (1, 1, 0.9, 0.9, 0.9), (1, 2, 0.2, 0.1, 0.1)], "image_id long, cluster long, r double, g double, b double")
+    assert {r.cluster: r.merged for r in ensemble.merged_clusters(by).collect()} == {0: 0, 1: 1, 2: 0}
