@@ -120,3 +120,22 @@ def component_stats(labels: DataFrame) -> DataFrame:
     """image_id, label, x, y, w, h, area, cx, cy."""
     by = labels.groupBy("image_id", "label").agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max("x") - F.min("x") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.count("*").alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     return by
+
+
+def hex_colour(r: Column, g: Column, b: Column) -> Column:
+    return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(c)), 2, "0") for c in (r, g, b)])
+
+
+def occluded(gaps: DataFrame, mask: DataFrame, least: float = 0.40) -> DataFrame:
+    """image_id, gap, occluded: whether enough of the straight way x1, y1 to x2, y2, without its ends, is on in a mask.
+
+    A way has a sample a pixel; a quarter of them at most, else 15 %, one at least, is left out at each end.
+    """
+    n = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) + 1
+    pad = F.least(F.floor(F.col("n") / 4), F.greatest(F.lit(1), F.floor(F.col("n") * 0.15)))
+    ways = gaps.withColumn("n", n.cast("long")).withColumn("pad", pad.cast("long"))
+    middle = ways.where(F.col("n") > 2 * F.col("pad")).withColumn("i", F.explode(F.sequence(F.col("pad"), F.col("n") - 1 - F.col("pad"))))
+    share = F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))
+    at = lambda c: F.bround(F.col(f"{c}1") + (F.col(f"{c}2") - F.col(f"{c}1")) * share).cast("int").alias(c)
+    hits = middle.select("image_id", "gap", at("y"), at("x")).join(mask, ["image_id", "y", "x"]).groupBy("image_id", "gap").agg(F.avg(F.col("on").cast("int")).alias("share"))
+    return gaps.select("image_id", "gap").join(hits, ["image_id", "gap"], "left").select("image_id", "gap", F.coalesce(F.col("share") >= least, F.lit(False)).alias("occluded"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, inter, ios, iou
-from .spatial import covered, overlaps
+from .spatial import overlaps
 
 
 def pairs(boxes: DataFrame, kind: str, above: float) -> DataFrame:
@@ -94,15 +96,23 @@ def demerge(boxes: DataFrame, page: float, least: float, inside: float = 0.70, l
 
 
 def fine_coverage(boxes: DataFrame, cell: float = 4, smaller: float = 0.9, most: float = 0.80) -> DataFrame:
-    """Without boxes of whose raster cells smaller boxes cover too many."""
-    step = F.lit(float(cell))
-    last = lambda v: F.greatest(F.floor(v / step) - 1, F.lit(0).cast("long"))
-    cells = lambda df: df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x") / step), F.greatest(F.floor(F.col("x") / step), last(Box().right))))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("y") / step), F.greatest(F.floor(F.col("y") / step), last(Box().bottom)))))
-    a, b = cells(boxes).alias("l"), cells(boxes).alias("r")
-    keys = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in ("image_id", "gx", "gy")]
-    hit = a.join(b, [*keys, Box("r").area < smaller * Box("l").area]).groupBy("l.image_id", "l.rid").agg(F.count_distinct("l.gx", "l.gy").alias("hit"))
-    size = cells(boxes).groupBy("image_id", "rid").agg(F.count("*").alias("cells"))
-    return _without(boxes, hit.join(size, ["image_id", "rid"]).where(F.col("hit") > most * F.col("cells")))
+    """Without boxes of whose raster cells smaller boxes cover too many. A box's cells are marked in an array, one image at
+    a time, so cells never become rows."""
+
+    def run(group):
+        x, y, w, h = (group[c].to_numpy() for c in "xywh")
+        x0, y0 = np.floor(x / cell).astype(int), np.floor(y / cell).astype(int)
+        x1, y1 = np.maximum(x0, np.floor((x + w) / cell).astype(int) - 1) + 1, np.maximum(y0, np.floor((y + h) / cell).astype(int) - 1) + 1
+        area, keep = w * h, []
+        for i in range(len(x)):
+            hit = np.zeros((y1[i] - y0[i], x1[i] - x0[i]), bool)
+            for j in np.flatnonzero((area < smaller * area[i]) & (x0 < x1[i]) & (x1 > x0[i]) & (y0 < y1[i]) & (y1 > y0[i])):
+                hit[max(y0[j] - y0[i], 0) : y1[j] - y0[i], max(x0[j] - x0[i], 0) : x1[j] - x0[i]] = True
+            if hit.sum() <= most * hit.size:
+                keep.append(i)
+        return group.take(pa.array(keep, pa.int64()))
+
+    return boxes.groupBy("image_id").applyInArrow(run, boxes.schema)
 
 
 def split_acceptance(parents: DataFrame, cells: DataFrame, least: float = 0.45) -> DataFrame:
@@ -153,3 +163,15 @@ def big_coverage(big: DataFrame, crops: DataFrame) -> DataFrame:
 def scaled(boxes: DataFrame, factor: float) -> DataFrame:
     """Boxes times a factor, rounded half to even."""
     return boxes.withColumns({c: F.bround(F.col(c) * factor).cast("long") for c in "xywh"})
+
+
+def turned(boxes: DataFrame, degrees: float, cx: float, cy: float) -> DataFrame:
+    """boxes turned about a point: the envelope x0, y0, x1, y1 of the four corners, and their centre."""
+    from math import cos, radians, sin
+
+    c, s = cos(radians(degrees)), sin(radians(degrees))
+    b = Box()
+    corners = F.array(*[F.struct((cx + c * (x - cx) - s * (y - cy)).alias("x"), (cy + s * (x - cx) + c * (y - cy)).alias("y")) for x, y in ((b.x, b.y), (b.right, b.y), (b.right, b.bottom), (b.x, b.bottom))])
+    of = lambda k: F.transform(corners, lambda p: p[k])
+    mean = lambda k: F.aggregate(of(k), F.lit(0.0), lambda t, v: t + v) / 4
+    return boxes.select("image_id", "rid", F.array_min(of("x")).alias("x0"), F.array_min(of("y")).alias("y0"), F.array_max(of("x")).alias("x1"), F.array_max(of("y")).alias("y1"), mean("x").alias("cx"), mean("y").alias("cy"))

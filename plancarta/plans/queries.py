@@ -796,7 +796,8 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .. import streaming
 
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet").select(F.sha1("text").alias("hash"), F.timestamp_seconds("doc_id").alias("ts"))
+    # as a pattern, since the table may be one file or a folder of them
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select(F.sha1("text").alias("hash"), F.timestamp_seconds("doc_id").alias("ts"))
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
     to = f"{shared}/stream-{uuid.uuid4().hex}"
     first = streaming.first_arrivals(rows, "ts", "30 days").select("hash")
@@ -806,3 +807,50 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["stream_dedup"] = stream_dedup
 ORACLE_SQL["stream_dedup"] = "select distinct sha1(text) as hash from documents"
+
+
+# --- further scalar work ---------------------------------------------------------------------------------------------
+
+
+@_query("pixels", sql="select image_id, y, x, printf('#%02x%02x%02x', r, g, b) as colour from pixels")
+def hex_colour(pixels_):
+    return pixels_.select("image_id", "y", "x", pixels.hex_colour(F.col("r"), F.col("g"), F.col("b")).alias("colour"))
+
+
+_GAPS = "(select image_id, k as gap, k as x1, (k*4) % 64 as y1, 63-k as x2, (k*13) % 64 as y2 from (select distinct image_id from pixels), (select unnest(range(0, 16))::int as k))"
+_SAMPLES = f"(select *, unnest(range(pad, n-pad)) as i from (select *, least(n//4, greatest(1, floor(n*15e-2)))::bigint as pad from (select *, (greatest(abs(x2-x1), abs(y2-y1))+1)::bigint as n from {_GAPS})))"
+
+
+@_query("pixels", sql=f"select g.image_id, g.gap, coalesce(avg(p.on_::int),0)>=0.4 as occluded from {_GAPS} g left join {_SAMPLES} s using (image_id, gap) left join {_INK} p on p.image_id=g.image_id and p.x=round_even(s.x1+(s.x2-s.x1)*(s.i::double/greatest(s.n-1,1)),0) and p.y=round_even(s.y1+(s.y2-s.y1)*(s.i::double/greatest(s.n-1,1)),0) group by 1,2")
+def gap_occlusion(pixels_):
+    k = F.col("gap")
+    gaps = pixels_.select("image_id").distinct().withColumn("gap", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    gaps = gaps.withColumns({"x1": k, "y1": k * 4 % 64, "x2": 63 - k, "y2": k * 13 % 64})
+    return pixels.occluded(gaps, pixels.ink(pixels_))
+
+
+@_query("boxes", sql="select image_id, rid, round(least(a,b,c,d),6) as x0, round(greatest(a,b,c,d),6) as x1, round(least(e,f,g,h),6) as y0, round(greatest(e,f,g,h),6) as y1, round((a+b+c+d)/4,6) as cx, round((e+f+g+h)/4,6) as cy from (select image_id, rid, {0} from boxes)".format(", ".join(f"500+cos(radians(20))*({x}-500)-sin(radians(20))*({y}-500) as {p}, 500+sin(radians(20))*({x}-500)+cos(radians(20))*({y}-500) as {q}" for p, q, x, y in (("a", "e", "x", "y"), ("b", "f", "(x+w)", "y"), ("c", "g", "(x+w)", "(y+h)"), ("d", "h", "x", "(y+h)")))))
+def oriented_envelope(boxes):
+    return _rounded(regions.turned(boxes, 20, 500, 500), "x0", "y0", "x1", "y1", "cx", "cy")
+
+
+@_query("halls", sql="select image_id, hall_ord, cx/0.5 as cx, cy/0.5 as cy, w/0.5 as w, h/0.5 as h from halls")
+def hall_rescale(halls):
+    return halls.select("image_id", "hall_ord", *[(F.col(c) / 0.5).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
+@_query("urls", sql="select page_id, case when lower(raw_url) like '%.pdf' then case when page_id % 6>=3 then 'pdf_vector' else 'pdf_raster' end else 'image' end as source from urls")
+def page_source(urls):
+    return urls.select("page_id", decisions.page_source(F.col("raw_url"), F.col("page_id") % 6).alias("source"))
+
+
+@_query("urls", sql="select page_id, raw_url from urls where contains(lower(raw_url),'.png') or contains(lower(raw_url),'amazonaws')")
+def name_filter(urls):
+    wanted = F.array(F.lit(".PNG"), F.lit("amazonaws"))
+    return urls.where(F.exists(wanted, lambda x: F.contains(F.lower("raw_url"), F.lower(x)))).select("page_id", "raw_url")
+
+
+@_query("boxes", sql="select source, count(*) as n, min(w*h) as least, max(w*h) as most, median(w*h) as middle, avg(score) as score from boxes group by rollup(source)")
+def detector_profile(boxes):
+    area = Box().area
+    return boxes.rollup("source").agg(F.count("*").alias("n"), F.min(area).alias("least"), F.max(area).alias("most"), F.median(area).alias("middle"), F.avg("score").alias("score"))
