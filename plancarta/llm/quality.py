@@ -25,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ MIN_WORDS, REPEATS, REPEAT_WORDS = 10, 20, 5
 START, END = "\x02", "\x03"
 #: Distinct words a map task gathers before it sends on what it has.
 GATHERED = 300_000
+#: Discounts where counts of counts are too few to estimate them.
+USUAL = 0.5, 1.0, 1.5
 
 _GRAM = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
 
@@ -69,10 +72,12 @@ def _word_grams(words: list[bytes], counts: np.ndarray, order: int) -> dict[str,
     weight, at = np.repeat(counts, lengths), np.arange(len(codes))
     first = codes == ord(START)
     out: dict[str, int] = {}
-    for n in range(2, order + 1):
+    for n in range(min(2, order), order + 1):
         ok = at + n <= ends
         if n < order:
             ok &= first
+        if n == 1:
+            ok &= ~first  # START is given, never guessed
         i = np.flatnonzero(ok)
         g = np.lib.stride_tricks.sliding_window_view(codes, n)[i] if len(i) else np.zeros((0, n), np.uint32)
         key = np.zeros(len(i), np.uint64)
@@ -112,8 +117,7 @@ def _orders(top: DataFrame, order: int) -> dict[int, DataFrame]:
     """(lang, gram, n) by order: what was counted, or for what can be preceded the number of different predecessors."""
     out = {order: top.where(F.length("gram") == order)}
     for n in range(order - 1, 0, -1):
-        longer = out[n + 1] if n == order - 1 else out[n + 1]
-        follow = longer.groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").cast("long").alias("n"))
+        follow = out[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").cast("long").alias("n"))
         begin = top.where((F.length("gram") == n) & F.col("gram").startswith(START)) if n > 1 else top.limit(0)
         out[n] = follow.unionByName(begin.select("lang", "gram", "n"))
     return out
@@ -180,7 +184,7 @@ def _discounts(rows: list) -> dict[tuple, tuple[float, float, float]]:
             d = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
             out[key] = tuple(min(max(x, 0.1), i + 0.9) for i, x in enumerate(d))
         else:
-            out[key] = 0.5, 1.0, 1.5
+            out[key] = USUAL
     return out
 
 
@@ -189,10 +193,9 @@ def train(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
     ship(docs.sparkSession)
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     top = store(docs.select(lang, "text").mapInArrow(_count(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    while order > 1:
-        orders = _orders(top, order)
-        every = store(_all(orders), "orders")
-        if every.count() <= model_rows:
+    while True:
+        every = store(_all(_orders(top, order)), "orders")
+        if order == 1 or every.count() <= model_rows:
             break
         # shorter: the counts of the next lower order follow from these
         end = top.where(F.length("gram") == order).groupBy("lang", F.substring("gram", 2, order - 1).alias("gram")).agg(F.sum("n").alias("n"))
@@ -202,8 +205,8 @@ def train(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
     found = _discounts(every.groupBy("lang", "k", kind.alias("n")).agg(F.count("*").alias("c")).where("n < 5").collect())
     context = F.expr("substring(gram, 1, k - 1)")
     sums = every.groupBy("lang", "k", context.alias("context")).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
-    table = every.withColumn("context", context).join(sums, ["lang", "k", "context"]).select("lang", "k", "gram", "n", "total", "n1", "n2", "n3").toArrow()
-    return _arrays(table, found, order)
+    table = store(every.withColumn("context", context).join(sums, ["lang", "k", "context"]).select("lang", "k", "gram", *[F.col(c).cast("double").alias(c) for c in ("n", "total", "n1", "n2", "n3")]), "table")
+    return _arrays(lambda k: table.where(F.col("k") == k).drop("k").toArrow(), found, order)
 
 
 def _all(orders: dict[int, DataFrame]) -> DataFrame:
@@ -214,36 +217,46 @@ def _all(orders: dict[int, DataFrame]) -> DataFrame:
     return out
 
 
-def _arrays(table: pa.Table, discounts: dict, order: int) -> KneserNey:
-    """Probabilities of the counted n-grams, shorter ones first, as sorted arrays."""
-    langs, sizes = np.array(table["lang"].to_pylist(), object), table["k"].to_numpy()
-    n, total = table["n"].to_numpy().astype(float), table["total"].to_numpy().astype(float)
-    tails = np.stack([table[f"n{i}"].to_numpy() for i in (1, 2, 3)]).astype(float) if len(n) else np.zeros((3, 0))
-    text = table["gram"].combine_chunks().to_pylist() if len(n) else []
+def _codes_of(grams: pa.Array, k: int) -> np.ndarray:
+    """Code points of n-grams of one order, a row each, without an object for each."""
+    grams = grams.cast(pa.large_string())
+    if not len(grams):
+        return np.zeros((0, k), np.uint32)
+    _, offsets, data = grams.buffers()
+    ends = np.frombuffer(offsets, np.int64)[grams.offset : grams.offset + len(grams) + 1]
+    text = memoryview(data)[int(ends[0]) : int(ends[-1])].tobytes().decode()
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, k)
+
+
+def _arrays(counted, discounts: dict, order: int) -> KneserNey:
+    """Probabilities of the counted n-grams, shorter ones first, as sorted arrays. counted(k): the table of an order."""
     model = KneserNey(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), {}, order)
-    unknown = {}
+    unknown: dict[str, float] = {}
     for k in range(1, order + 1):
+        table = counted(k)
         keys, probs, contexts, gammas = [model.keys], [np.exp(model.logs)], [], []
-        for lang in sorted({*langs}):
-            i = np.flatnonzero((langs == lang) & (sizes == k))
-            if not len(i):
-                continue
-            codes = np.frombuffer("".join(text[j] for j in i).encode("utf-32-le"), np.uint32).reshape(-1, k)
-            d = np.array(discounts[lang, k])
-            gamma = d @ tails[:, i] / total[i]
+        for lang in sorted(pc.unique(table["lang"]).to_pylist()):
+            part = table.filter(pc.equal(table["lang"], lang))
+            codes = _codes_of(part["gram"].combine_chunks(), k)
+            n, total, *tails = (part[c].to_numpy() for c in ("n", "total", "n1", "n2", "n3"))
+            d = np.array(discounts.get((lang, k), USUAL))
+            gamma = d @ np.stack(tails) / total
             if k == 1:
-                lower = np.full(len(i), 1 / (len(i) + 1))
+                lower = np.full(len(n), 1 / (len(n) + 1))
                 unknown[lang] = float(np.log(gamma[0] * lower[0]))
+                # START is never guessed, but its weight as a context needs a place
+                keys.append(KneserNey.hashes(lang, np.array([[ord(START)]], np.uint32)))
+                probs.append(np.zeros(1))
             else:
                 at, hit = model.find(KneserNey.hashes(lang, codes[:, 1:]))
                 lower = np.where(hit, np.exp(model.logs[at]), np.exp(unknown[lang]))
                 contexts.append(KneserNey.hashes(lang, codes[:, :-1]))
                 gammas.append(gamma)
             keys.append(KneserNey.hashes(lang, codes))
-            probs.append(np.maximum(n[i] - d[np.minimum(n[i], 3).astype(int) - 1], 0) / total[i] + gamma * lower)
-        old, weights = len(model.keys), model.weights
+            probs.append(np.maximum(n - d[np.minimum(n, 3).astype(int) - 1], 0) / total + gamma * lower)
+        del table
         key, p = np.concatenate(keys), np.concatenate(probs)
-        w = np.concatenate([weights, np.zeros(len(key) - old)])
+        w = np.concatenate([model.weights, np.zeros(len(key) - len(model.keys))])
         sort = np.argsort(key, kind="stable")
         model = KneserNey(key[sort], np.log(np.maximum(p[sort], 1e-300)), w[sort], unknown, order)
         if contexts:
