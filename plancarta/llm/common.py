@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -24,7 +27,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_plancarta_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
-    to = os.path.join(tempfile.mkdtemp(prefix="plancarta"), "plancarta.zip")
+    folder = tempfile.mkdtemp(prefix="plancarta")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    to = os.path.join(folder, "plancarta.zip")
     with zipfile.ZipFile(to, "w") as z:
         for p in sorted((root / "plancarta").rglob("*.py")):
             z.write(p, p.relative_to(root))
@@ -38,16 +43,24 @@ def shared_dir(spark: SparkSession) -> str:
     if not to:
         to = getattr(spark.sparkContext, "_plancarta_dir", None)
         if not to:
-            to = "file://" + tempfile.mkdtemp(prefix="plancarta-shared")
-            spark.sparkContext._plancarta_dir = to
+            folder = tempfile.mkdtemp(prefix="plancarta-shared")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            to = spark.sparkContext._plancarta_dir = f"file://{folder}"
     return to.rstrip("/")
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Shuffle files go when the driver's collector finds their job's objects unused; it is run here, since a driver with
+    little to do would otherwise leave the executors' disks to fill.
+    """
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(to)
+    for _ in range(2):  # what the first round lets go of holds the rest
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(df.schema).parquet(to)
 
 

@@ -7,6 +7,9 @@ quarter of the positions are counted. Level 2 extends the half windows that repe
 twice that length less the shared middle word, which is `size`. Longer windows are made of these and can't cover
 another word, so no candidate goes on from there.
 
+Hashes meet in one shuffle each. Before it, a map task settles what its own batch shows: that a seed repeats, or that a
+smaller document has a window; so a hash sends one row that asks or tells per batch, however many documents share it.
+
 Defined cases: null text has no words; documents shorter than a window are returned whole; rows with a null id are
 returned whole and are no source for others; rows that share an id are one document's windows but keep a row each, and
 don't remove each other's words; an empty table gives no rows; other columns are not read.
@@ -18,10 +21,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, id_column, raw, rows_of, ship, store, word_hashes
+from .common import grams, id_column, mix, raw, rows_of, ship, store, word_hashes
 
 SIZE = 13
 
@@ -46,11 +50,34 @@ def _hashes(text: bytes, memo) -> tuple[list[bytes], np.ndarray]:
     return words, np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
-_SEED = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64())])
-_WINDOW = pa.schema([("w", pa.int64()), ("v", pa.int32()), ("doc_id", pa.int64())])
+#: key: the hash by which rows meet. state: ASKS whether its hash is elsewhere, TELLS that it is here, or KNOWN to repeat.
+_SEED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("seed", pa.int64()), ("state", pa.int32())])
+_WINDOW = pa.schema([("key", pa.int64()), ("v", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("known", pa.bool_())])
+ASKS, TELLS, KNOWN = 0, 1, 2
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where rows, sorted by columns, begin a new group."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _spread(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Keys for rows that need not meet others."""
+    return mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + places.view(np.uint64)).view(np.int64)
+
+
+def _tag(text: bytes) -> int:
+    """Tells rows apart that share an id; above a place in a text."""
+    return (xxhash.xxh3_64_intdigest(text) & 0x7F) << 48
 
 
 def _seed_rows(size: int):
+    """Seeds of documents. Those of several documents of a batch are known to repeat; one row tells other batches."""
+
     def run(batches):
         memo = word_hashes()
         for b in batches:
@@ -60,55 +87,105 @@ def _seed_rows(size: int):
                 if len(h) >= size:
                     seeds.append(np.unique(_seeds(h, size)))
                     ids.append(np.full(len(seeds[-1]), i, np.int64))
-            yield rows_of(_SEED, seed=np.concatenate(seeds).view(np.int64), doc_id=np.concatenate(ids))
+            seed, doc = np.concatenate(seeds).view(np.int64), np.concatenate(ids)
+            order = np.argsort(seed, kind="stable")
+            seed, doc = seed[order], doc[order]
+            begin = _starts(seed) if len(seed) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[begin, len(seed)])
+            many = np.repeat(n > 1, n)
+            tells = begin[n > 1]
+            key = np.r_[np.where(many, _spread(doc, seed), seed), seed[tells]]
+            state = np.r_[np.where(many, KNOWN, ASKS), np.full(len(tells), TELLS)]
+            # only rows that are spread need their seed beside the key
+            yield rows_of(_SEED, key=key, doc_id=np.r_[doc, doc[tells]], seed=np.r_[np.where(many, seed, 0), np.zeros(len(tells), np.int64)], state=state)
 
     return run
 
 
+def _repeated_seeds(batches):
+    """Over seed rows by key: doc_id and seed of those that repeat. A hash has a row for each batch at most."""
+    held = None
+
+    def found(key, doc, seed, state):
+        begin = _starts(key) if len(key) else np.zeros(0, np.int64)
+        n = np.diff(np.r_[begin, len(key)])
+        tells = np.add.reduceat(state == TELLS, begin) if len(key) else n
+        hit = (np.repeat((n > 1) | (tells > 0), n) & (state == ASKS)) | (state == KNOWN)
+        return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(np.where(state == KNOWN, seed, key)[hit])], ["doc_id", "seed"])
+
+    for b in batches:
+        rows = [b.column(i).to_numpy() for i in range(4)]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if not len(rows[0]):
+            continue
+        last = int(_starts(rows[0])[-1])  # its group may go on
+        held = [x[last:] for x in rows]
+        yield found(*[x[:last] for x in rows])
+    if held is not None:
+        yield found(*held)
+
+
 def _window_rows(size: int):
+    """Windows whose seed repeats. In a batch, only the smallest document must ask for a smaller one."""
+
     def run(batches):
         memo = word_hashes()
         for b in batches:
-            w, v, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            parts = []
             for i, text, found in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2), strict=True):
                 _, h = _hashes(text, memo)
                 if len(h) >= size:
-                    at = np.isin(_seeds(h, size).view(np.int64), found.values.to_numpy(zero_copy_only=False))
+                    at = np.flatnonzero(np.isin(_seeds(h, size).view(np.int64), found.values.to_numpy(zero_copy_only=False)))
                     x, y = _windows(h, size)
-                    one = np.unique(np.rec.fromarrays([x[at], y[at]], names="x,y"))
-                    w.append(one.x)
-                    v.append(one.y)
-                    ids.append(np.full(len(one), i, np.int64))
-            yield rows_of(_WINDOW, w=np.concatenate(w), v=np.concatenate(v), doc_id=np.concatenate(ids))
+                    parts.append((x[at], y[at], np.full(len(at), i, np.int64), at + _tag(text)))
+            w, v, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, k) for k in (np.int64, np.int32, np.int64, np.int64))
+            order = np.lexsort((doc, v, w))
+            w, v, doc, at = (c[order] for c in (w, v, doc, at))
+            begin = _starts(w, v) if len(w) else np.zeros(0, np.int64)
+            known = doc > np.repeat(doc[begin], np.diff(np.r_[begin, len(w)]))
+            yield rows_of(_WINDOW, key=np.where(known, _spread(doc, at), w), v=np.where(known, 0, v), doc_id=doc, at=at, known=known)
 
     return run
 
 
+def _later(batches):
+    """Over window rows by key, v and document: doc_id and at of those that a smaller document has too."""
+    last = None  # of the group that the batch before ended in
+    for b in batches:
+        key, v, doc, at, known = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        asks = np.flatnonzero(~known)
+        hit = known.copy()
+        if len(asks):
+            k, x, d = key[asks], v[asks], doc[asks]
+            begin = _starts(k, x)
+            low = np.repeat(d[begin], np.diff(np.r_[begin, len(k)]))
+            if last is not None and (k[0], x[0]) == last[:2]:
+                low[: begin[1] if len(begin) > 1 else len(k)] = last[2]
+            last = (k[-1], x[-1], low[-1])
+            hit[asks] = d > low
+        yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(at[hit])], ["doc_id", "at"])
+
+
 def _kept(size: int, with_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), *([("kept_text", pa.string())] if with_text else [])])
 
     def run(batches):
-        memo = word_hashes()
         for b in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
             for i, text, found in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2), strict=True):
                 gone = 0
-                if found.is_valid and len(found.values):
-                    words, h = _hashes(text, memo)
-                    if len(h) >= size:
-                        x, y = _windows(h, size)
-                        w, v = (found.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-                        hit = np.isin(np.rec.fromarrays([x, y]), np.rec.fromarrays([w, v]))
-                        step = np.zeros(len(h) + 1, np.int64)
-                        step[: len(hit)] += hit
-                        step[size : size + len(hit)] -= hit
-                        covered = np.cumsum(step[:-1]) > 0
-                        gone = int(covered.sum())
-                        kept = [words[k] for k in np.flatnonzero(~covered)]
-                    else:
-                        kept = words
-                else:
-                    kept = words = text.split()
+                words = kept = text.split()
+                if found.is_valid:
+                    tag = _tag(text)
+                    at = found.values.to_numpy(zero_copy_only=False)
+                    at = at[at >> 48 == tag >> 48] - tag
+                    step = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(step, at, 1)
+                    np.add.at(step, at + size, -1)
+                    covered = np.cumsum(step[:-1]) > 0
+                    gone = int(covered.sum())
+                    kept = [words[k] for k in np.flatnonzero(~covered)]
                 data = b" ".join(kept)
                 out["doc_id"].append(i)
                 out["n_words"].append(len(words))
@@ -124,14 +201,15 @@ def _kept(size: int, with_text: bool):
 def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text of each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), "text")
-    known = docs.where("doc_id is not null")
-    seeds = known.mapInArrow(_seed_rows(size), "seed long, doc_id long")
-    repeated = seeds.groupBy("seed").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("seed")
-    found = store(seeds.join(repeated, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "seeds")
-    windows = store(known.join(found, "doc_id").mapInArrow(_window_rows(size), "w long, v int, doc_id long"), "windows")
-    first = windows.groupBy("w", "v").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("w", "v", "lo")
-    later = windows.join(first, ["w", "v"]).where("doc_id > lo")
-    cover = later.groupBy("doc_id").agg(F.collect_set(F.struct("w", "v")).alias("found"))
+    # an id that is a long already is read as it is, so that both joins' plans are alike
+    docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else id_column(docs, "doc_id").alias("doc_id"), "text")
+    known, null = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    seeds = known.mapInArrow(_seed_rows(size), "key long, doc_id long, seed long, state int").repartition("key").sortWithinPartitions("key")
+    found = store(seeds.mapInArrow(_repeated_seeds, "doc_id long, seed long").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "seeds")
+    windows = known.join(found, "doc_id").mapInArrow(_window_rows(size), "key long, v int, doc_id long, at long, known boolean")
+    later = windows.repartition("key").sortWithinPartitions("key", "v", "doc_id").mapInArrow(_later, "doc_id long, at long")
+    cover = later.groupBy("doc_id").agg(F.collect_set("at").alias("found"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.join(cover, "doc_id", "left").mapInArrow(_kept(size, with_text), out)
+    # both joins read one shuffle of the texts
+    rows = known.join(cover, "doc_id", "left").unionByName(null.withColumn("found", F.lit(None).cast("array<long>")))
+    return rows.select("doc_id", "text", "found").mapInArrow(_kept(size, with_text), out)
