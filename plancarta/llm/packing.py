@@ -104,11 +104,11 @@ def place(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
     levels: dict[int, deque[int]] = defaultdict(deque)
     windows, offsets, made = [], [], 0
     for n in lengths:
-        # growth of the sum of squares / 2, for a window of level h = 0 ... size - n that becomes h + n
-        rise = counts[n:] - counts[: size - n + 1] + 1
-        rise[-1] = -counts[size - n]
+        # growth of the sum of squares, for a window of level h = 0 ... size - n that becomes h + n
+        rise = 2 * (counts[n:] - counts[: size - n + 1]) + 2
+        rise[-1] = 1 - 2 * counts[size - n]
         rise = np.where(counts[: size - n + 1] > 0, rise, np.iinfo(np.int64).max)
-        rise[0] = counts[n] + (n < size)  # a new window: n + 1 squared less n squared, over 2, rounded up
+        rise[0] = 2 * counts[n] + 1 if n < size else 0
         h = len(rise) - 1 - int(np.argmin(rise[::-1]))
         if h and counts[h] > 0:
             counts[h] -= 1
