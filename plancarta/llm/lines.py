@@ -8,8 +8,9 @@ Equal sets first: one set's earliest line stands for it, and its others go. For
 rarity, by counts over all documents in a table of fixed size (a bucket may hold several words, which can cost work but no
 result), and the first n - ceil(similarity * n) + 1 of them are sent to their token's group; map tasks send a set once.
 In a group, pairs must pass the length filter, the positional filter, and a bound from parities of the sets' hashed
-bits. Each set asks for its TRIES earliest possible partners; sets with more, of which none proves right, ask again for
-all. Partners are proved on the whole token sets.
+bits. A group names the NAMED partners with the fewest differing bits. Each set tries the TRIES nearest first, then the other
+named ones; sets of which none proves right and that have more, try all.
+Partners are proved on the whole token sets.
 
 Defined cases: null or empty text has one empty line; rows with a null id are returned whole and are no source for
 others; rows that share an id are one document's lines; an empty table gives no rows; other columns are not read.
@@ -17,8 +18,6 @@ others; rows that share an id are one document's lines; an empty table gives no
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,11 +25,10 @@ from pyspark.sql import functions as F
 
 from .common import id_column, mix, raw, rows_of, ship, store, word_hashes
 
-SIMILARITY, LEAST, TRIES = 0.8, 5, 4
+SIMILARITY, LEAST, TRIES, NAMED = 0.8, 5, 3, 32
 BUCKETS, CHUNK = 1 << 18, 1 << 14
 #: Sets that a map task remembers to have sent.
 SENT = 500_000
-_INT = np.iinfo(np.int64).max
 
 
 def _flat(texts: list[bytes], memo) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,48 +131,83 @@ def _rows(counts, similarity: float):
     return run
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("doc_a", pa.int64()), ("line_a", pa.int32()), ("b", pa.int64()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("more", pa.bool_())])
-_PAIR_SQL = "a long, doc_a long, line_a int, b long, doc_b long, line_b int, more boolean"
+_PAIR = pa.schema([("a", pa.int64()), ("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("apart", pa.int32()), ("more", pa.bool_())])
+_PAIR_SQL = "a long, doc_a long, line_a int, doc_b long, line_b int, apart int, more boolean"
 
 
-def possible(n, at, bits, n1: int, at1: int, bits1, similarity: float):
-    """Which sets (arrays) may reach the similarity with one set, both with the token at their places in order."""
+def possible(n, at, bits, n1, at1, bits1, similarity: float):
+    """Which sets may reach the similarity with others, both with the token at their places in order."""
     need = np.ceil(similarity / (1 + similarity) * (n + n1) - 1e-9)
-    most = np.minimum(at, at1) + 1 + np.minimum(n - at, n1 - at1) - 1
-    return (n >= similarity * n1 - 1e-9) & (n1 >= similarity * n - 1e-9) & (most >= need) & (np.bitwise_count(bits ^ bits1) <= n + n1 - 2 * need)
-
-
-def _pairs(similarity: float, tries: int | None):
+    most = np.minimum(at, at1) + np.minimum(n - at, n1 - at1)
+    return (np.minimum(n, n1) >= similarity * np.maximum(n, n1) - 1e-9) & (most >= need) & (np.bitwise_count(bits ^ bits1) <= n + n1 - 2 * need)
+
+
+#: So many neighbours before a row are compared for all rows at once; rows further back in a group one by one.
+NEIGHBOURS = 32
+
+
+def _before(rows: list[np.ndarray], similarity: float, every: bool) -> tuple[np.ndarray, ...]:
+    """i, j, apart, more: for rows of whole groups, in order, possible partners j of i before it in its group: all, or the
+    NAMED with the fewest differing bits and whether there are more."""
+    token, key, _, _, n, at, bits, asks = rows
+    n, at, bits = n.astype(np.int64), at.astype(np.int64), bits.view(np.uint64)
+    size = len(token)
+    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    place = np.arange(size) - np.repeat(begin, np.diff(np.r_[begin, size]))
+    asks = asks.copy()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for back in range(1, min(NEIGHBOURS, int(place.max()) if size else 0) + 1):
+        i = np.flatnonzero(place >= back)
+        j = i - back
+        same = key[i] == key[j]
+        asks[i[same]] = False  # a set asks from its earliest line
+        i, j = i[~same], j[~same]
+        i, j = i[asks[i]], j[asks[i]]
+        ok = possible(n[j], at[j], bits[j], n[i], at[i], bits[i], similarity)
+        found.append((i[ok], j[ok]))
+    for i in np.flatnonzero(asks & (place > NEIGHBOURS)):
+        first = i - place[i]
+        far = slice(first, i - NEIGHBOURS)
+        if (key[far] == key[i]).any():
+            asks[i] = False
+            continue
+        j = first + np.flatnonzero(possible(n[far], at[far], bits[far], n[i], at[i], bits[i], similarity))
+        found.append((np.full(len(j), i), j))
+    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+    i, j = i[asks[i]], j[asks[i]]
+    apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int32)
+    if every:
+        return i, j, apart, np.zeros(len(i), bool)
+    order = np.lexsort((j, apart, i))
+    i, j, apart = i[order], j[order], apart[order]
+    begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[begin, len(i)])
+    first = np.arange(len(i)) - np.repeat(begin, count) < NAMED
+    return i[first], j[first], apart[first], np.repeat(count > NAMED, count)[first]
+
+
+def _pairs(similarity: float, every: bool):
     """Over rows (token, key, doc_id, line, n, at, bits, asks) by token and place: possible partners before each set."""
 
-    def group(rows, out: list[tuple]) -> None:
-        key, doc, line, n, at, bits, asks = rows
-        one = np.sort(np.unique(key, return_index=True)[1])  # a set's earliest line
-        key, doc, line, n, at, bits, asks = (x[one] for x in (key, doc, line, n, at, bits.view(np.uint64), asks))
-        for i in np.flatnonzero(asks)[int(bool(len(asks) and asks[0])) :]:
-            j = np.flatnonzero(possible(n[:i], at[:i], bits[:i], n[i], at[i], bits[i], similarity))
-            for x in j[:tries]:
-                out.append((key[i], doc[i], line[i], key[x], doc[x], line[x], tries is not None and len(j) > tries))
+    def pairs(rows) -> pa.RecordBatch:
+        i, j, apart, more = _before(rows, similarity, every)
+        _, key, doc, line = rows[:4]
+        return rows_of(_PAIR, a=key[i], doc_a=doc[i], line_a=line[i], doc_b=doc[j], line_b=line[j], apart=apart, more=more)
 
     def run(batches):
         held = None
         for b in batches:
             rows = [b.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            if not len(rows[0]):
+                continue
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            token = rows[0]
-            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            end = np.r_[begin[1:], len(token)]
-            out: list[tuple] = []
-            for i, j in zip(begin[:-1], end[:-1], strict=True):
-                if j - i > 1:
-                    group([x[i:j] for x in rows[1:]], out)
-            held = [x[begin[-1] :] for x in rows]
-            yield rows_of(_PAIR, **dict(zip(_PAIR.names, zip(*out, strict=True) if out else [[]] * 7, strict=True)))
-        out = []
-        if held is not None and len(held[0]) > 1:
-            group(held[1:], out)
-        yield rows_of(_PAIR, **dict(zip(_PAIR.names, zip(*out, strict=True) if out else [[]] * 7, strict=True)))
+            last = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1])  # its group may go on
+            held = [x[last:] for x in rows]
+            if last:
+                yield pairs([x[:last] for x in rows])
+        if held is not None:
+            yield pairs(held)
 
     return run
 
@@ -209,7 +242,7 @@ def _proved(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= (F.size("aa") + F.size("bb") - common) * similarity - 1e-9).select("a", "doc_a", "line_a")
 
 
-def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, tries: int = TRIES) -> DataFrame:
+def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and gone, the places of the lines to remove, of documents (doc_id, text) that have some."""
     spark = docs.sparkSession
     ship(spark)
@@ -221,17 +254,27 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, tries: int =
     place = F.struct("doc_id", "line")
     equal = lines.join(first, "key").where(place > F.col("first")).select("doc_id", "line")
 
-    def found(asking: DataFrame, tries: int | None) -> DataFrame:
+    def found(asking: DataFrame, every: bool) -> DataFrame:
         groups = asking.repartition("token").sortWithinPartitions("token", "doc_id", "line")
-        pairs = groups.select("token", "key", "doc_id", "line", "n", "at", "bits", "asks").mapInArrow(_pairs(similarity, tries), _PAIR_SQL)
-        return store(pairs.groupBy("a", "doc_a", "line_a", "b", "doc_b", "line_b").agg(F.max("more").alias("more")), "pairs")
-
-    pairs = found(sent.withColumn("asks", F.lit(True)), tries)
-    near = store(_proved(pairs, docs, similarity).distinct(), "near")
-    again = store(pairs.groupBy("a").agg(F.max("more").alias("more")).where("more").join(near, "a", "left_anti").select(F.col("a").alias("key"), F.lit(True).alias("asks")), "again")
+        return groups.select("token", "key", "doc_id", "line", "n", "at", "bits", "asks").mapInArrow(_pairs(similarity, every), _PAIR_SQL)
+
+    def proved(named: DataFrame, partners) -> DataFrame:
+        pairs = named.select("a", "doc_a", "line_a", F.explode(partners).alias("b")).select("a", "doc_a", "line_a", "b.*")
+        return store(_proved(store(pairs, "pairs"), docs, similarity).distinct(), "near")
+
+    partners = F.array_sort(F.collect_set(F.struct("apart", "doc_b", "line_b")))
+    named = found(sent.withColumn("asks", F.lit(True)), False).groupBy("a", "doc_a", "line_a").agg(partners.alias("b"), F.max("more").alias("more"))
+    named = store(named, "named")
+    near = proved(named, F.slice("b", 1, TRIES))
+    rest = store(named.where(F.size("b") > TRIES).join(near, "a", "left_anti"), "rest")
+    if rest.limit(1).count():
+        near = near.unionByName(proved(rest, F.slice("b", TRIES + 1, F.size("b"))))
+    again = store(named.where("more").join(near, "a", "left_anti").select(F.col("a").alias("key"), F.lit(True).alias("asks")), "again")
     if again.limit(1).count():
-        rest = found(sent.join(again, "key", "left").na.fill(False, ["asks"]), None)
-        near = near.unionByName(_proved(rest, docs, similarity).distinct())
+        asked = store(sent.join(again, "key").select("token").distinct(), "asked")
+        groups = sent.join(asked, "token", "left_semi").join(again, "key", "left").na.fill(False, ["asks"])
+        pairs = store(found(groups, True).drop("apart", "more").distinct(), "pairs")
+        near = near.unionByName(_proved(pairs, docs, similarity).distinct())
     gone = equal.unionByName(near.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
