@@ -27,8 +27,6 @@ from .common import id_column, mix, raw, rows_of, ship, store, word_hashes
 
 SIMILARITY, LEAST, TRIES, NAMED = 0.8, 5, 3, 32
 BUCKETS, CHUNK = 1 << 18, 1 << 14
-#: Sets that a map task remembers to have sent.
-SENT = 500_000
 
 
 def _flat(texts: list[bytes], memo) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,17 +54,33 @@ def _sets(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line[new], h[new]
 
 
-_COUNTS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+_LINE = pa.schema([("chunk", pa.int32()), ("counts", pa.binary()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
+_LINE_SQL = "chunk int, counts binary, key long, doc_id long, line int"
 
 
-def _count(batches):
+def _keys(line: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of size sets: the number of its words, the place of its first, and a hash of all."""
+    n = np.bincount(line, minlength=size)
+    first = np.cumsum(n) - n
+    return n, first, mix(np.add.reduceat(mix(h + np.uint64(1)), first)).view(np.int64)
+
+
+def _lines(batches):
+    """A row (chunk null) for each line, and the task's counts of words by bucket of their hash, a row a chunk."""
     memo, counts = word_hashes(), np.zeros(BUCKETS, np.int64)
     for b in batches:
-        texts = raw(b.column(0))
+        docs, texts = b.column(0).to_numpy(zero_copy_only=False), raw(b.column(1))
         for k in range(0, len(texts), 200):
-            h, _, _, _ = _flat(texts[k : k + 200], memo)
+            h, sizes, owner, place = _flat(texts[k : k + 200], memo)
+            if not len(h):
+                continue
             counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-    yield rows_of(_COUNTS, chunk=range(BUCKETS // CHUNK), counts=[c.tobytes() for c in counts.reshape(-1, CHUNK)])
+            n, _, key = _keys(*_sets(h, sizes), len(sizes))
+            fit = n >= LEAST
+            none = pa.nulls(int(fit.sum()))
+            yield rows_of(_LINE, chunk=none.cast(pa.int32()), counts=none.cast(pa.binary()), key=key[fit], doc_id=docs[k + owner[fit]].astype(np.int64), line=place[fit])
+    none = pa.nulls(BUCKETS // CHUNK)
+    yield rows_of(_LINE, chunk=range(BUCKETS // CHUNK), counts=[c.tobytes() for c in counts.reshape(-1, CHUNK)], key=none.cast(pa.int64()), doc_id=none.cast(pa.int64()), line=none.cast(pa.int32()))
 
 
 def _add(key, chunks):
@@ -75,9 +89,9 @@ def _add(key, chunks):
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def token_counts(docs: DataFrame) -> np.ndarray:
-    """Words of compared lines by bucket of their hash: BUCKETS numbers, however many documents."""
-    chunks = docs.select("text").mapInArrow(_count, "chunk int, counts binary").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
+def token_counts(rows: DataFrame) -> np.ndarray:
+    """Words of compared lines by bucket of their hash, of rows of _lines: BUCKETS numbers, however many documents."""
+    chunks = rows.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
     out = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
     for r in chunks:
         out[r.chunk] = np.frombuffer(r.counts, np.int64)
@@ -94,39 +108,28 @@ def prefix(n, similarity: float = SIMILARITY):
 
 
 def _rows(counts, similarity: float):
-    """A row (token null) for each line, and for each set that the task hasn't sent yet one for each token sent."""
+    """Over rows (doc_id, text, wanted), wanted holding places and keys of lines: a row for each token that those send."""
 
     def run(batches):
-        memo, sent = word_hashes(), set()
+        memo = word_hashes()
         for b in batches:
-            docs, texts = b.column(0).to_numpy(zero_copy_only=False), raw(b.column(1))
+            docs, texts, wanted = b.column(0).to_numpy(zero_copy_only=False), raw(b.column(1)), b.column(2).to_pylist()
             for k in range(0, len(texts), 200):
                 h, sizes, owner, place = _flat(texts[k : k + 200], memo)
                 line, h = _sets(h, sizes)
                 if not len(h):
                     continue
-                n = np.bincount(line, minlength=len(sizes))
-                first = np.cumsum(n) - n
-                key = mix(np.add.reduceat(mix(h + np.uint64(1)), first)).view(np.int64)
+                n, first, key = _keys(line, h, len(sizes))
                 bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first).view(np.int64)
-                doc, fit = docs[k + owner], n >= LEAST
-                if len(sent) > SENT:
-                    sent.clear()
-                new = np.zeros(len(n), bool)
-                for i in np.flatnonzero(fit):
-                    x = key[i]
-                    if x not in sent:
-                        sent.add(x)
-                        new[i] = True
+                asked = {(i, x["line"], x["key"]) for i, w in enumerate(wanted[k : k + 200]) for x in w}
+                # rows that share an id share wanted places, so the key must be the line's own
+                here = np.fromiter((x in asked for x in zip(owner.tolist(), place.tolist(), key.tolist(), strict=True)), bool, len(n))
                 order = np.lexsort((h, counts.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], line))
                 line, h = line[order], h[order]
                 at = np.arange(len(h)) - first[line]
-                use = new[line] & (at < prefix(n, similarity)[line])
+                use = here[line] & (at < prefix(n, similarity)[line])
                 i = line[use]
-                none = np.zeros(int(fit.sum()), np.int64)
-                tokens = pa.concat_arrays([pa.array(h[use].view(np.int64)), pa.nulls(len(none), pa.int64())])
-                both = np.r_[i, np.flatnonzero(fit)]
-                yield rows_of(_ROW, token=tokens, key=key[both], doc_id=doc[both].astype(np.int64), line=place[both], n=n[both], at=np.r_[at[use], none], bits=bits[both])
+                yield rows_of(_ROW, token=h[use].view(np.int64), key=key[i], doc_id=docs[k + owner[i]].astype(np.int64), line=place[i], n=n[i], at=at[use], bits=bits[i])
 
     return run
 
@@ -247,10 +250,12 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), "text").where("doc_id is not null")
-    counts = spark.sparkContext.broadcast(token_counts(docs))
-    rows = store(docs.mapInArrow(_rows(counts, similarity), _ROW_SQL), "lines")
-    lines, sent = rows.where("token is null"), rows.where("token is not null")
+    rows = store(docs.mapInArrow(_lines, _LINE_SQL), "lines")
+    counts = spark.sparkContext.broadcast(token_counts(rows))
+    lines = rows.where("chunk is null")
     first = store(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first")), "first")
+    wanted = first.select(F.col("first.doc_id").alias("doc_id"), F.struct("first.line", "key").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
+    sent = store(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_rows(counts, similarity), _ROW_SQL), "sent")
     place = F.struct("doc_id", "line")
     equal = lines.join(first, "key").where(place > F.col("first")).select("doc_id", "line")
 

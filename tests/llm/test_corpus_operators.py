@@ -148,6 +148,14 @@ def test_line_dedup(spark, docs, none):
     assert lines.line_dedup(none).count() == 0
 
 
+def test_line_dedup_in_any_order_of_rows(spark):
+    line = [f"w{i}" for i in range(20)]
+    a, b = " ".join(line), " ".join([*line[:-1], "other"])
+    for rows in ([(10, a), (5, a), (7, b)], [(10, a), (5, a), (3, b)], [(k, RNG.choice([a, b]) + f"\n{prose(9)}") for k in range(40, 0, -1)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: {*r.gone} for r in lines.repeated_lines(df).collect()} == gone_lines(rows)
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "\\e\\b\\l", "<s>", "[ROLE] x [/ROLE]", "", None, "a\n\nb", "\x00 é😀", "< /s>", "[/INST", "[INST] "]
     rows = [(c, t, role, odd[(c * 5 + t) % len(odd)]) for c in range(12) for t, role in enumerate(["user", "assistant", "system", "us\\er<s>", None, "assistant"])]
