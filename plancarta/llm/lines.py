@@ -1,10 +1,11 @@
 """Line dedup by an exact set-similarity join.
 
-A line's tokens are its distinct words; lines of at least LEAST tokens are compared. A line goes if an earlier one, by
+A line's tokens are its distinct words; every line with a word is compared. A line goes if an earlier one, by
 document id and then place, has a Jaccard similarity of at least `similarity`; whether that one goes too makes no
 difference, so the result needs no order of work.
 
-Equal sets first: one set's earliest line stands for it, and its others go. For the rest, tokens are put in order of
+Equal sets first: one set's earliest line stands for it, and its others go. Sets too small to be similar to any but
+their equals (under 4 words at 0.8; 4 words of 5 are similar) are done with that. For the rest, tokens are put in order of
 rarity, by counts over all documents in a table of fixed size (a bucket may hold several words, which can cost work but no
 result), and the first n - ceil(similarity * n) + 1 of them are sent to their token's group; map tasks send a set once.
 In a group, pairs must pass the length filter, the positional filter, and a bound from parities of the sets' hashed
@@ -18,6 +19,8 @@ others; rows that share an id are one document's lines; an empty table gives no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import id_column, mix, raw, rows_of, ship, store, word_hashes
 
-SIMILARITY, LEAST, TRIES, NAMED = 0.8, 5, 3, 32
+SIMILARITY, LEAST, TRIES, NAMED = 0.8, 1, 3, 32
 BUCKETS, CHUNK = 1 << 18, 1 << 14
 
 
@@ -54,8 +57,8 @@ def _sets(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return line[new], h[new]
 
 
-_LINE = pa.schema([("chunk", pa.int32()), ("counts", pa.binary()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
-_LINE_SQL = "chunk int, counts binary, key long, doc_id long, line int"
+_LINE = pa.schema([("chunk", pa.int32()), ("counts", pa.binary()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())])
+_LINE_SQL = "chunk int, counts binary, key long, doc_id long, line int, n int"
 
 
 def _keys(line: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,9 +81,9 @@ def _lines(batches):
             n, _, key = _keys(*_sets(h, sizes), len(sizes))
             fit = n >= LEAST
             none = pa.nulls(int(fit.sum()))
-            yield rows_of(_LINE, chunk=none.cast(pa.int32()), counts=none.cast(pa.binary()), key=key[fit], doc_id=docs[k + owner[fit]].astype(np.int64), line=place[fit])
+            yield rows_of(_LINE, chunk=none.cast(pa.int32()), counts=none.cast(pa.binary()), key=key[fit], doc_id=docs[k + owner[fit]].astype(np.int64), line=place[fit], n=n[fit])
     none = pa.nulls(BUCKETS // CHUNK)
-    yield rows_of(_LINE, chunk=range(BUCKETS // CHUNK), counts=[c.tobytes() for c in counts.reshape(-1, CHUNK)], key=none.cast(pa.int64()), doc_id=none.cast(pa.int64()), line=none.cast(pa.int32()))
+    yield rows_of(_LINE, chunk=range(BUCKETS // CHUNK), counts=[c.tobytes() for c in counts.reshape(-1, CHUNK)], key=none.cast(pa.int64()), doc_id=none.cast(pa.int64()), line=none.cast(pa.int32()), n=none.cast(pa.int32()))
 
 
 def _add(key, chunks):
@@ -253,8 +256,9 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     rows = store(docs.mapInArrow(_lines, _LINE_SQL), "lines")
     counts = spark.sparkContext.broadcast(token_counts(rows))
     lines = rows.where("chunk is null")
-    first = store(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first")), "first")
-    wanted = first.select(F.col("first.doc_id").alias("doc_id"), F.struct("first.line", "key").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
+    first = store(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("n").alias("n")), "first")
+    least = similarity / (1 - similarity) if similarity < 1 else math.inf  # n of n + 1 words must be similar
+    wanted = first.where(F.col("n") >= least - 1e-9).select(F.col("first.doc_id").alias("doc_id"), F.struct("first.line", "key").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
     sent = store(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_rows(counts, similarity), _ROW_SQL), "sent")
     place = F.struct("doc_id", "line")
     equal = lines.join(first, "key").where(place > F.col("first")).select("doc_id", "line")

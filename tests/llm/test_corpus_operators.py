@@ -156,6 +156,12 @@ def test_line_dedup_in_any_order_of_rows(spark):
         assert {r.doc_id: {*r.gone} for r in lines.repeated_lines(df).collect()} == gone_lines(rows)
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "All rights reserved.\n\none"), (2, "x\nreserved. All rights\none"), (3, "a b c d"), (4, "a b c d e"), (5, "c b a"), (6, "a b c"), (7, "la la la la la la"), (8, "la\n ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: {*r.gone} for r in lines.repeated_lines(df).collect()} == {2: {1, 2}, 4: {0}, 6: {0}, 8: {0}}
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "\\e\\b\\l", "<s>", "[ROLE] x [/ROLE]", "", None, "a\n\nb", "\x00 é😀", "< /s>", "[/INST", "[INST] "]
     rows = [(c, t, role, odd[(c * 5 + t) % len(odd)]) for c in range(12) for t, role in enumerate(["user", "assistant", "system", "us\\er<s>", None, "assistant"])]
