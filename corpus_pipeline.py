@@ -15,8 +15,9 @@ from plancarta.llm.packing import pack
 from plancarta.llm.quality import kept_documents
 from plancarta.llm.simhash import one_of_each
 
-#: Near-duplicates share shingles of so many words; their fingerprints differ in so many bits at most.
-SHINGLE, RADIUS = 5, 3
+#: Near-duplicates share shingles of so many words; their sets of these have that Jaccard similarity at least, or their
+#: fingerprints differ in so many bits at most.
+SHINGLE, RADIUS, SIMILARITY = 5, 3, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
-    return one_of_each(docs, SHINGLE, RADIUS)
+    return one_of_each(docs, SHINGLE, RADIUS, SIMILARITY)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,12 @@ each shard a BK-tree, children keyed by the Hamming distance to their parent, is
 edges within the radius of the distance. Trees stay with their shard: broadcasting them would grow with the corpus.
 Each shard returns a spanning star per group, not its pairs, and alternating stars join these into components.
 
+Fingerprints of texts with a Jaccard similarity of 0.8 mostly differ by more bits than any block rule finds. Where a
+`similarity` is asked, texts whose shingle sets reach it are linked as well: BANDS hashes of ROWS smallest shingle hashes
+name candidates, and the whole sets prove them. A pair at 0.8 shares no band with a chance of (1 - 0.8^4)^25, 2 in a
+million; more alike, less. Each band's texts are first compared with one of them, then all that this left in different
+components with each other.
+
 Defined cases: null or empty text has fingerprint zero, which links like any other; fewer words than a shingle give one
 shingle of all words; shingles count as often as they occur; repeated rows each get a row; rows with a null id get a row
 but no say in the component's id; an empty table gives no rows; other columns are not read.
@@ -23,11 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, raw, rows_of, ship, store
+from .common import factors, grams, id_column, mix, raw, rows_of, ship, store, word_hashes
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
 SHARD = 1000
+BANDS, ROWS = 25, 4
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _AT = np.arange(8, dtype=np.int64) * 256
@@ -180,21 +187,118 @@ def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return sharded.mapInArrow(_search(radius), "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of its group, of docs (doc_id, text)."""
+_SEEDS = factors(BANDS * ROWS, 1)[:, None], factors(BANDS * ROWS, 2)[:, None]
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+_SET = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def shingles(text: bytes, n: int, memo) -> np.ndarray:
+    """Hashes of the distinct shingles of n words, or the one of all words where there are fewer."""
+    words = text.lower().split()
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    return np.unique(grams(h, min(n, len(h)))) if len(h) else h
+
+
+def _key(s: np.ndarray) -> int:
+    return int(mix(np.add.reduce(mix(s + np.uint64(1)), keepdims=True)).view(np.int64)[0])
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """Hashes of ROWS smallest hashes of a set of shingles, BANDS of them."""
+    low = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for i in range(0, len(s), 4096):
+        low = np.minimum(low, ((s[None, i : i + 4096] ^ _SEEDS[0]) * _SEEDS[1]).min(axis=1))
+    return mix((mix(low).reshape(BANDS, ROWS) * factors(ROWS, 3)).sum(axis=1, dtype=np.uint64) + factors(BANDS, 4)).view(np.int64)
+
+
+def _signed(n: int):
+    def run(batches):
+        memo = word_hashes()
+        for b in batches:
+            texts = raw(b.column(1))
+            sets = [shingles(t, n, memo) for t in texts]
+            fp = np.array([fingerprint(t, n) for t in texts], np.uint64)
+            yield rows_of(_SIGNED, doc_id=b.column(0), fp=fp.view(np.int64), key=[_key(s) if len(s) else None for s in sets], n=[len(s) for s in sets], bands=[bands(s) if len(s) else None for s in sets])
+
+    return run
+
+
+def _sets(n: int):
+    """The shingle sets of rows (text, keys) whose key is one of keys."""
+
+    def run(batches):
+        memo = word_hashes()
+        for b in batches:
+            sets = [shingles(t, n, memo) for t in raw(b.column(0))]
+            found = [(k, s.view(np.int64)) for s, keys in zip(sets, b.column(1).to_pylist(), strict=True) if len(s) and (k := _key(s)) in keys]
+            yield rows_of(_SET, key=[k for k, _ in found], shingles=[s for _, s in found])
+
+    return run
+
+
+def similar(docs: DataFrame, signed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between fingerprints that join the texts whose shingle sets have that similarity."""
+    signed = signed.where("doc_id is not null and key is not null")
+    prints = signed.select("key", "fp").distinct()
+    sets = store(signed.groupBy("key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bands").alias("bands")), "keys")
+    rows = sets.select(F.explode("bands").alias("band"), "key", "n")
+    low = rows.groupBy("band").agg(F.min("key").alias("low"), F.count("*").alias("c")).where("c > 1").drop("c")
+    rows = store(rows.join(low, "band"), "bands")
+
+    def fits(n, m):
+        return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+    def proved(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+        wanted = sets.join(ends, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        whole = store(docs.join(wanted, "doc_id").select("text", "keys").mapInArrow(_sets(words), "key long, shingles array<long>").dropDuplicates(["key"]), "sets")
+        of = lambda x: whole.select(F.col("key").alias(x), F.col("shingles").alias(x * 2))
+        common = F.size(F.array_intersect("aa", "bb"))
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return store(both.where(common >= (F.size("aa") + F.size("bb") - common) * similarity - 1e-9).select("a", "b"), "similar")
+
+    first = rows.where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct()
+    size = lambda x: sets.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"))
+    first = first.join(size("a"), "a").join(size("b"), "b").where(fits(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    found = proved(store(first, "pairs"))
+    roots = components(found).withColumnRenamed("v", "key")
+    rooted = store(rows.join(roots, "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")), "rooted")
+    open_ = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    left = store(rooted.join(open_, "band"), "open")
+    l, r = left.alias("l"), left.alias("r")
+    rest = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.root") < F.col("r.root")) & fits(F.col("l.n"), F.col("r.n")))
+    rest = rest.select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).distinct()
+    found = found.unionByName(proved(store(rest, "pairs")))
+    fp = lambda x: sets.select(F.col("key").alias(x), F.col("fp").alias(f"fp_{x}"))
+    edges = found.join(fp("a"), "a").join(fp("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    # a set with several fingerprints, its shingles being repeated otherwise
+    same = prints.join(sets.select("key", F.col("fp").alias("b")), "key").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return edges.unionByName(same)
+
+
+def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id of its group, of docs (doc_id, text).
+
+    With a similarity, texts whose sets of shingles reach it are linked too.
+    """
     ship(docs.sparkSession)
     docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), "text")
-    prints = store(docs.mapInArrow(_prints(words), "doc_id long, fp long"), "prints")
+    if similarity is None:
+        prints = store(docs.mapInArrow(_prints(words), "doc_id long, fp long"), "prints")
+    else:
+        signed = store(docs.mapInArrow(_signed(words), "doc_id long, fp long, key long, n int, bands array<long>"), "signed")
+        prints = signed.select("doc_id", "fp")
     vertices = store(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), "vertices")
     # vertices sort as unsigned or signed alike: roots only name a group
-    roots = components(links(vertices.select("fp"), radius))
+    edges = links(vertices.select("fp"), radius)
+    roots = components(edges if similarity is None else edges.unionByName(similar(docs, signed, words, similarity)))
     grouped = store(vertices.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")), "grouped")
     lowest = store(grouped.groupBy("root").agg(F.min("lo").alias("component_id")), "lowest")
     named = store(grouped.join(lowest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int, radius: int) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int, radius: int, similarity: float | None = None) -> DataFrame:
     """The rows of docs (doc_id, text and others) whose id is its group's smallest; rows with a null id stay."""
-    gone = simhash_groups(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = simhash_groups(docs, words, radius, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -47,6 +47,36 @@ def test_stages(stages):
     assert len(pieces) >= mixed.count()
 
 
+def test_near_copies(spark):
+    import corpus_pipeline
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    texts = {}
+    for i in range(30):
+        base = prose(200).split()
+        texts[i] = base
+        for k, changed in ((100, 1), (200, 3), (300, 4), (400, 6), (500, 12)):
+            copy = [*base]
+            for at in RNG.sample(range(200), changed):
+                copy[at] = "other"
+            texts[k + i] = copy
+    root = {i: i for i in texts}
+    ids, sets = sorted(texts), {i: shingles(w) for i, w in texts.items()}
+    top = lambda i: i if root[i] == i else top(root[i])
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    rows = [(i, " ".join(w), "en", "s", len(" ".join(w))) for i, w in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i in ids if top(i) == i}
+    assert len(want) < len(ids) - 60
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
 def test_empty(spark, stages):
     import corpus_pipeline
 
