@@ -7,7 +7,8 @@ into tokens and concatenated, a suffix array, built by doubling, finds the subst
 distinct pages, and only the runs it leaves uncovered are kept. Repetition alone can't decide for marked articles: pages
 share passages inside articles, and menus and adverts that occur once are no less boilerplate.
 
-A block that several pages of a host share is counted once, and drops out as a whole. A host of over SHARD tokens is cut into
+A block of RUN tokens or more that several pages of a host share is counted once, and drops out as a whole; shorter ones,
+such as headings that articles share, stay. A host of over SHARD tokens is cut into
 shards: each window of RUN tokens goes to the shard of its smallest inner hash, so equal windows meet, and neighbours
 mostly travel as one piece. Pages with the same blocks count as one page.
 
@@ -263,7 +264,7 @@ def _unique_runs(open_pages: DataFrame, run: int, shard: int) -> DataFrame:
     cover = store(cover.where(F.size("covered") > 0).groupBy("host", "key").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered")), "cover")
     left = F.filter(F.split("block", " "), lambda w, i: ~F.array_contains(F.coalesce("covered", F.array().cast("array<int>")), i))
     kept = apart.alias("a").join(cover.alias("c"), F.col("a.host").eqNullSafe(F.col("c.host")) & (F.col("a.key") == F.col("c.key")), "left")
-    kept = store(kept.select("a.host", "a.key", F.when(F.col("page") == F.col("other"), F.array_join(left, " ")).otherwise("").alias("kept")), "kept")
+    kept = store(kept.select("a.host", "a.key", F.when((F.col("page") == F.col("other")) | (words < run), F.array_join(left, " ")).otherwise("").alias("kept")), "kept")
     return one.alias("o").join(kept.alias("k"), F.col("o.host").eqNullSafe(F.col("k.host")) & (F.col("o.key") == F.col("k.key"))).select("p", "place", "kept")
 
 

@@ -237,6 +237,12 @@ def test_html_host_boilerplate(spark):
         assert notice in got[6]
 
 
+def test_html_shared_short_blocks_stay(spark):
+    pages = [(i, "http://a/p", f"<h2>Introduction</h2><p>own{i} {' '.join(f'w{i}x{k}' for k in range(12))}</p><div>{'the same long notice on every page of it'}</div>") for i in range(3)]
+    got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Introduction\n\nown{i} " + " ".join(f"w{i}x{k}" for k in range(12)) for i in range(3)}
+
+
 def test_suffix_array_cover():
     for _ in range(30):
         n, size = RNG.randint(1, 60), RNG.randint(2, 7)
