@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
-import time
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -41,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (local runs) a new one."""
     to = spark.conf.get("spark.checkpoint.dir", None)
     if not to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         to = getattr(spark.sparkContext, "_plancarta_dir", None)
         if not to:
             folder = tempfile.mkdtemp(prefix="plancarta-shared")
@@ -49,19 +52,28 @@ def shared_dir(spark: SparkSession) -> str:
     return to.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    Shuffle files go when the driver's collector finds their job's objects unused; it is run here, since a driver with
-    little to do would otherwise leave the executors' disks to fill.
+    Shuffle files go when the driver's collector finds their job's objects unused; with release, after large shuffles, it
+    is run here, since a driver with little to do would otherwise leave the executors' disks to fill.
     """
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(to)
-    for _ in range(2):  # what the first round lets go of holds the rest
+    if release:
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(df.schema).parquet(to)
+    out = spark.read.schema(df.schema).parquet(to)
+    out._stored_at = to
+    return out
+
+
+def forget(*stored: DataFrame) -> None:
+    """Delete tables that store() wrote, once all that was made of them is stored itself."""
+    for df in stored:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +85,53 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+#: The characters that separate words: [\\x20\\x09-\\x0D].
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def texts_of(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A string column in runs of rows of about `most` bytes: the first row's number, the UTF-8 bytes of all texts, eight
+    spaces behind them, and where each text begins and the last ends. Null is an empty text."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        after = max(row + 1, int(np.searchsorted(ends, ends[row] + most, "right")) - 1)
+        part = np.concatenate([data[ends[row] : ends[after]], np.full(8, 32, np.uint8)])
+        yield row, part, ends[row : after + 1] - ends[row]
+        row = after
+
+
+def word_places(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end in their bytes, as texts_of gives them."""
+    inside = ~SPACE[data]
+    cut = np.zeros(len(data), bool)
+    cut[ends[:-1]] = True
+    joined = inside[1:] & inside[:-1] & ~cut[1:]  # with the byte before
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~joined
+    last[:-1] &= ~joined
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def places_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at places in bytes that end in eight spaces."""
+    eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    n = end - begin
+    h = mix((eight[begin] & _LOW[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    done, more = 8, np.flatnonzero(n > 8)
+    while len(more):
+        h[more] = mix(h[more] ^ (eight[begin[more] + done] & _LOW[np.minimum(n[more] - done, 8)]) * np.uint64(0xC2B2AE3D27D4EB4F))
+        done += 8
+        more = more[n[more] > done]
+    return h
+
+
 class Memo(dict):
     """A bounded memo of a function of one key."""
 

@@ -4,17 +4,24 @@ A line's tokens are its distinct words; every line with a word is compared. A li
 document id and then place, has a Jaccard similarity of at least `similarity`; whether that one goes too makes no
 difference, so the result needs no order of work.
 
-Equal sets first: one set's earliest line stands for it, and its others go. Sets too small to be similar to any but
-their equals (under 4 words at 0.8; 4 words of 5 are similar) are done with that. For the rest, tokens are put in order of
-rarity, by counts over all documents in a table of fixed size (a bucket may hold several words, which can cost work but no
-result), and the first n - ceil(similarity * n) + 1 of them are sent to their token's group; map tasks send a set once.
-In a group, pairs must pass the length filter, the positional filter, and a bound from parities of the sets' hashed
-bits. A group names the NAMED partners with the fewest differing bits. Each set tries the TRIES nearest first, then the other
-named ones; sets of which none proves right and that have more, try all.
-Partners are proved on the whole token sets.
+Equal sets first: one set's earliest line stands for it, and its others go; a map task settles this for what it reads
+together, so a hot line sends a row a task. Sets too small to be similar to any but their equals (under 4 words at 0.8; 4
+words of 5 are similar) are done with that. For the rest, tokens are put in order of rarity, by counts over all documents
+in a table of fixed size (a bucket may hold several words, which can cost work but no result), and the first
+n - ceil(similarity * n) + 1 of them are sent to their token's group. Tokens travel in blocks of rows by a hash, and groups
+are found by sorting a block.
+
+In a group, pairs must pass the length filter, the positional filter (for both the token must lie in the prefix that the
+pair's own lengths ask for, and what lies before and after it must suffice), and a bound from parities of the sets' hashed
+bits. A group names for each set the NAMED earlier partners with the fewest differing bits; in groups of over LEADERS
+sets only the earliest LEADERS are looked at. Each set tries the TRIES nearest first, then the other named ones;
+sets of which none proves right and that had more, try all. Partners are proved on the whole token sets, which are read
+from the texts once: a table of bits of bounded size says which lines may be wanted, and the join drops the others.
 
 Defined cases: null or empty text has one empty line; rows with a null id are returned whole and are no source for
-others; rows that share an id are one document's lines; an empty table gives no rows; other columns are not read.
+others; rows that share an id are one document: where a line of one goes, that place goes in each of them, but equal lines
+at one place don't remove each other; an empty table gives no rows; other columns are not read, and
+may have any names.
 """
 
 from __future__ import annotations
@@ -23,67 +30,41 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, mix, raw, rows_of, ship, store, word_hashes
+from .common import forget, id_column, mix, places_hashes, rows_of, ship, store, texts_of, word_places
 
-SIMILARITY, LEAST, TRIES, NAMED = 0.8, 1, 3, 32
+SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 3, 32, 4096
 BUCKETS, CHUNK = 1 << 18, 1 << 14
-
-
-def _flat(texts: list[bytes], memo) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all lines, the number of words of each line, and each line's text and place in it."""
-    words: list[bytes] = []
-    sizes, owner, place = [], [], []
-    for i, t in enumerate(texts):
-        for j, line in enumerate(t.split(b"\n")):
-            w = line.split()
-            if len(w) >= LEAST:
-                words += w
-                sizes.append(len(w))
-                owner.append(i)
-                place.append(j)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    return h, np.array(sizes, np.int64), np.array(owner, np.int64), np.array(place, np.int64)
-
-
-def _sets(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Line numbers and hashes of the distinct words, in order."""
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
-    new = np.r_[True, (line[1:] != line[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool)
-    return line[new], h[new]
-
-
-_LINE = pa.schema([("chunk", pa.int32()), ("counts", pa.binary()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32())])
-_LINE_SQL = "chunk int, counts binary, key long, doc_id long, line int, n int"
-
-
-def _keys(line: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each of size sets: the number of its words, the place of its first, and a hash of all."""
-    n = np.bincount(line, minlength=size)
-    first = np.cumsum(n) - n
-    return n, first, mix(np.add.reduceat(mix(h + np.uint64(1)), first)).view(np.int64)
-
-
-def _lines(batches):
-    """A row (chunk null) for each line, and the task's counts of words by bucket of their hash, a row a chunk."""
-    memo, counts = word_hashes(), np.zeros(BUCKETS, np.int64)
+#: Rows of tokens in a block, about, and how many a map task gathers before it sends blocks on.
+BLOCK, GATHERED = 1 << 16, 1 << 20
+#: The table of wanted lines has 2 ** WANTED bits at most, whatever the input.
+WANTED = 26
+
+
+def _lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of all words and their line's number; each line's text and place in it. Lines without words count too."""
+    begin, end = word_places(data, ends)
+    breaks = np.flatnonzero(data[:-8] == 10) + 1
+    starts = np.concatenate([ends[:-1], breaks])
+    owner = np.concatenate([np.arange(len(ends) - 1), np.searchsorted(ends, breaks - 1, "right") - 1])
+    order = np.argsort(owner * (len(data) + 1) + starts, kind="stable")
+    starts, owner = starts[order], owner[order]
+    place = np.arange(len(starts)) - np.searchsorted(owner, owner)
+    line = np.searchsorted(starts, begin, "right") - 1
+    return places_hashes(data, begin, end), line, owner, place
+
+
+def _counts(batches):
+    """The task's counts of words by bucket of their hash, a row a chunk."""
+    counts = np.zeros(BUCKETS, np.int64)
     for b in batches:
-        docs, texts = b.column(0).to_numpy(zero_copy_only=False), raw(b.column(1))
-        for k in range(0, len(texts), 200):
-            h, sizes, owner, place = _flat(texts[k : k + 200], memo)
-            if not len(h):
-                continue
+        for _, data, ends in texts_of(b.column(0)):
+            h = places_hashes(data, *word_places(data, ends))
             counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            n, _, key = _keys(*_sets(h, sizes), len(sizes))
-            fit = n >= LEAST
-            none = pa.nulls(int(fit.sum()))
-            yield rows_of(_LINE, chunk=none.cast(pa.int32()), counts=none.cast(pa.binary()), key=key[fit], doc_id=docs[k + owner[fit]].astype(np.int64), line=place[fit], n=n[fit])
-    none = pa.nulls(BUCKETS // CHUNK)
-    yield rows_of(_LINE, chunk=range(BUCKETS // CHUNK), counts=[c.tobytes() for c in counts.reshape(-1, CHUNK)], key=none.cast(pa.int64()), doc_id=none.cast(pa.int64()), line=none.cast(pa.int32()), n=none.cast(pa.int32()))
+    yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS // CHUNK), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(-1, CHUNK)])], ["chunk", "counts"])
 
 
 def _add(key, chunks):
@@ -92,17 +73,13 @@ def _add(key, chunks):
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def token_counts(rows: DataFrame) -> np.ndarray:
-    """Words of compared lines by bucket of their hash, of rows of _lines: BUCKETS numbers, however many documents."""
-    chunks = rows.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
+def rarity(docs: DataFrame) -> np.ndarray:
+    """Ranks, up to 4095, of words by bucket of their hash, the rarest first: BUCKETS numbers, however many documents."""
+    chunks = docs.select("text").mapInArrow(_counts, "chunk int, counts binary").groupBy("chunk").applyInArrow(_add, "chunk int, counts binary").collect()
     out = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
     for r in chunks:
         out[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return out.ravel()
-
-
-_ROW = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("at", pa.int32()), ("bits", pa.int64())])
-_ROW_SQL = "token long, key long, doc_id long, line int, n int, at int, bits long"
+    return np.minimum(np.round(np.log2(out.ravel() + 1) * 64), 4095).astype(np.uint64)
 
 
 def prefix(n, similarity: float = SIMILARITY):
@@ -110,142 +87,279 @@ def prefix(n, similarity: float = SIMILARITY):
     return n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
 
 
-def _rows(counts, similarity: float):
-    """Over rows (doc_id, text, wanted), wanted holding places and keys of lines: a row for each token that those send."""
+def ordered(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each line, by rank and then hash, and their lines. One sort of packed numbers does it, but for
+    words of a line that these can't tell apart."""
+    if not len(h) or line[-1] < 1 << 20:
+        packed = (line.astype(np.uint64) << np.uint64(44)) | (rank << np.uint64(32)) | (h >> np.uint64(32))
+        order = np.argsort(packed)
+        packed, sort = packed[order], h[order]
+        same = packed[1:] == packed[:-1]
+        if (sort[1:][same] == sort[:-1][same]).all():
+            new = np.r_[True, ~same][: len(h)]
+            return sort[new], line[order][new]
+    order = np.lexsort((h, rank, line))
+    h, line = h[order], line[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])]
+    return h[new], line[new]
+
+
+def _keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each set, whatever its order; first: where sets begin."""
+    return mix(np.add.reduceat(mix(h + np.uint64(1)), first)).view(np.int64)
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of bytes as a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+#: n 0: a line that goes. prefix: the tokens to send, five bytes each.
+_SET = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("bits", pa.int64()), ("prefix", pa.binary())])
+_SET_SQL = "key long, doc_id long, line int, n int, bits long, prefix binary"
+TOKEN = 5
+
+
+def _later(key: np.ndarray, doc: np.ndarray, place: np.ndarray, last=None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows by key, document and place: which are behind their key's first, and which are no repetition of it at its own
+    place. last: the first row of the key that the rows before ended with."""
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.r_[begin, len(key)])
+    first = [np.repeat(x[begin], sizes) for x in (doc, place)]
+    again = np.arange(len(key)) != np.repeat(begin, sizes)
+    if last is not None and len(key) and key[0] == last[0]:
+        for x, y in zip(first, last[1:], strict=True):
+            x[: sizes[0]] = y
+        again[0] = True
+    later = (doc != first[0]) | (place != first[1])
+    return later, later | ~again
+
+
+def _sets(ranks, similarity: float, least: float):
+    """Over rows (doc_id, text): the sets of lines, one of the equal ones read together, and the others as lines to go."""
 
     def run(batches):
-        memo = word_hashes()
         for b in batches:
-            docs, texts, wanted = b.column(0).to_numpy(zero_copy_only=False), raw(b.column(1)), b.column(2).to_pylist()
-            for k in range(0, len(texts), 200):
-                h, sizes, owner, place = _flat(texts[k : k + 200], memo)
-                line, h = _sets(h, sizes)
+            docs = b.column(0).to_numpy(zero_copy_only=False)
+            for row, data, ends in texts_of(b.column(1)):
+                h, line, owner, place = _lines(data, ends)
                 if not len(h):
                     continue
-                n, first, key = _keys(line, h, len(sizes))
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first).view(np.int64)
-                asked = {(i, x["line"], x["key"]) for i, w in enumerate(wanted[k : k + 200]) for x in w}
-                # rows that share an id share wanted places, so the key must be the line's own
-                here = np.fromiter((x in asked for x in zip(owner.tolist(), place.tolist(), key.tolist(), strict=True)), bool, len(n))
-                order = np.lexsort((h, counts.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], line))
-                line, h = line[order], h[order]
-                at = np.arange(len(h)) - first[line]
-                use = here[line] & (at < prefix(n, similarity)[line])
-                i = line[use]
-                yield rows_of(_ROW, token=h[use].view(np.int64), key=key[i], doc_id=docs[k + owner[i]].astype(np.int64), line=place[i], n=n[i], at=at[use], bits=bits[i])
+                h, line = ordered(h, line, ranks.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)])
+                first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+                n, own = np.diff(np.r_[first, len(h)]), line[first]
+                key, bits = _keys(h, first), np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first).view(np.int64)
+                doc, place = docs[row + owner[own]].astype(np.int64), place[own]
+                order = np.lexsort((place, doc, key))
+                later, kept = (np.zeros(len(n), bool) for _ in range(2))
+                later[order], kept[order] = _later(key[order], doc[order], place[order])
+                sent = np.where(later | (n < least - 1e-9), 0, prefix(n, similarity))
+                use = np.arange(len(h)) - np.repeat(first, n) < np.repeat(sent, n)
+                tokens = (h[use] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN]
+                # lines that go meet no others, so their key need not be the set's
+                spread = mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.view(np.uint64)).view(np.int64)
+                out = pa.RecordBatch.from_arrays([pa.array(np.where(later, spread, key)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(np.where(later, 0, n).astype(np.int32)), pa.array(np.where(later, 0, bits)), _binary(tokens, sent * TOKEN)], schema=_SET)
+                yield out if kept.all() else out.filter(pa.array(kept))
 
     return run
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("apart", pa.int32()), ("more", pa.bool_())])
-_PAIR_SQL = "a long, doc_a long, line_a int, doc_b long, line_b int, apart int, more boolean"
+def _firsts(batches):
+    """Over sets by key, document and line: the first of each key that sends tokens, and the others as lines to go."""
+    last = None
+    for b in batches:
+        key, doc, line, n = (b.column(i).to_numpy() for i in range(4))
+        own = np.flatnonzero(n > 0)
+        later, kept = _later(key[own], doc[own], line[own], last)
+        gone, use = n == 0, np.ones(len(n), bool)
+        gone[own], use[own] = later, kept
+        if len(own):
+            first = np.searchsorted(key[own], key[own[-1]])
+            last = last if last is not None and last[0] == key[own[-1]] else tuple(x[own[first]] for x in (key, doc, line))
+        sends = np.array(pc.binary_length(b.column(5))) > 0
+        yield b.set_column(3, "n", pa.array(np.where(gone, 0, n).astype(np.int32))).filter(pa.array(use & (gone | sends)))
+
+
+_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("asks", "?")])
+
+
+def _blocks(blocks: int):
+    """Over sets (key, doc_id, line, n, bits, prefix, asks): a row for each token, in blocks by the token's hash."""
+
+    def sent(parts: list[np.ndarray]):
+        rows = np.concatenate(parts)
+        to = (rows["token"] % np.uint64(blocks)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        rows, to = rows[order], to[order]
+        begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
+        # columns of bytes, so that those that are all alike take no room
+        data = rows.view(np.uint8).reshape(-1, _ROW.itemsize)
+        return pa.RecordBatch.from_arrays([pa.array(to[begin]), pa.array([data[i:j].T.tobytes() for i, j in zip(begin, np.r_[begin[1:], len(to)], strict=True)], pa.binary())], ["block", "rows"])
 
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            column = b.column(5)
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            sizes = np.diff(ends) // TOKEN
+            rows = np.zeros(int(sizes.sum()), _ROW)
+            tokens = np.zeros((len(rows), 8), np.uint8)
+            if len(rows):
+                tokens[:, :TOKEN] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, TOKEN)
+            rows["token"] = tokens.view("<u8").ravel()
+            for name, i in (("key", 0), ("doc", 1), ("line", 2), ("n", 3), ("asks", 6)):
+                rows[name] = np.repeat(b.column(i).to_numpy(zero_copy_only=False), sizes)
+            rows["bits"] = np.repeat(b.column(4).to_numpy().view(np.uint64), sizes)
+            rows["at"] = np.arange(len(rows)) - np.repeat((ends[:-1] - ends[0]) // TOKEN, sizes)
+            held.append(rows)
+            size += len(rows)
+            if size >= GATHERED:
+                yield sent(held)
+                held, size = [], 0
+        if size:
+            yield sent(held)
 
-def possible(n, at, bits, n1, at1, bits1, similarity: float):
-    """Which sets may reach the similarity with others, both with the token at their places in order."""
-    need = np.ceil(similarity / (1 + similarity) * (n + n1) - 1e-9)
-    most = np.minimum(at, at1) + np.minimum(n - at, n1 - at1)
-    return (np.minimum(n, n1) >= similarity * np.maximum(n, n1) - 1e-9) & (most >= need) & (np.bitwise_count(bits ^ bits1) <= n + n1 - 2 * need)
+    return run
 
 
-#: So many neighbours before a row are compared for all rows at once; rows further back in a group one by one.
-NEIGHBOURS = 32
+_PAIR = pa.schema([("a", pa.int64()), ("doc_a", pa.int64()), ("line_a", pa.int32()), ("b", pa.int64()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("apart", pa.int32()), ("more", pa.bool_())])
+_PAIR_SQL = "a long, doc_a long, line_a int, b long, doc_b long, line_b int, apart int, more boolean"
 
 
-def _before(rows: list[np.ndarray], similarity: float, every: bool) -> tuple[np.ndarray, ...]:
-    """i, j, apart, more: for rows of whole groups, in order, possible partners j of i before it in its group: all, or the
-    NAMED with the fewest differing bits and whether there are more."""
-    token, key, _, _, n, at, bits, asks = rows
-    n, at, bits = n.astype(np.int64), at.astype(np.int64), bits.view(np.uint64)
-    size = len(token)
+def possible(n, at, bits, n1, at1, bits1, similarity: float):
+    """Which sets may reach the similarity with others, their lengths being near enough, if the token at their places in
+    order is the first that both have. A pair that reaches it passes at its first common token."""
+    need = np.ceil(similarity / (1 + similarity) * (n + n1) - 1e-9)
+    return (np.minimum(n - at, n1 - at1) >= need) & (np.bitwise_count(bits ^ bits1) <= n + n1 - 2 * need)
+
+
+def _earlier(rows: np.ndarray, similarity: float, every: bool) -> tuple[np.ndarray, ...]:
+    """i, j, apart, more: for rows of whole groups, sorted by token, document and line, the possible partners j before i
+    in its group: all, or the NAMED with the fewest differing bits, and whether there may be more; j -1: none but more."""
+    token = rows["token"]
+    n, at, bits = rows["n"].astype(np.int64), rows["at"].astype(np.int64), rows["bits"]
     begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    place = np.arange(size) - np.repeat(begin, np.diff(np.r_[begin, size]))
-    asks = asks.copy()
+    sizes = np.diff(np.r_[begin, len(token)])
+    place = np.arange(len(token)) - np.repeat(begin, sizes)
+    asks = rows["asks"]
+    near = np.minimum(place, LEADERS) if not every else place  # so many partners are looked at
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for back in range(1, min(NEIGHBOURS, int(place.max()) if size else 0) + 1):
-        i = np.flatnonzero(place >= back)
-        j = i - back
-        same = key[i] == key[j]
-        asks[i[same]] = False  # a set asks from its earliest line
-        i, j = i[~same], j[~same]
-        i, j = i[asks[i]], j[asks[i]]
+    ask = np.flatnonzero(asks & (near > 0))
+    # rows with the fewest partners leave the round first
+    ask = ask[np.argsort(-near[ask], kind="stable")]
+    left, head = -near[ask], ask - place[ask]
+    for k in range(int(near[ask[0]]) if len(ask) else 0):
+        size = np.searchsorted(left, -k, "left")
+        i, j = ask[:size], head[:size] + k
+        ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[ok], j[ok]
         ok = possible(n[j], at[j], bits[j], n[i], at[i], bits[i], similarity)
         found.append((i[ok], j[ok]))
-    for i in np.flatnonzero(asks & (place > NEIGHBOURS)):
-        first = i - place[i]
-        far = slice(first, i - NEIGHBOURS)
-        if (key[far] == key[i]).any():
-            asks[i] = False
-            continue
-        j = first + np.flatnonzero(possible(n[far], at[far], bits[far], n[i], at[i], bits[i], similarity))
-        found.append((np.full(len(j), i), j))
     i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
-    i, j = i[asks[i]], j[asks[i]]
     apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int32)
     if every:
         return i, j, apart, np.zeros(len(i), bool)
     order = np.lexsort((j, apart, i))
     i, j, apart = i[order], j[order], apart[order]
-    begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[begin, len(i)])
-    first = np.arange(len(i)) - np.repeat(begin, count) < NAMED
-    return i[first], j[first], apart[first], np.repeat(count > NAMED, count)[first]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[first, len(i)])
+    use = np.arange(len(i)) - np.repeat(first, count) < NAMED
+    more = np.repeat(count > NAMED, count)[use]
+    left = np.flatnonzero(asks & (place > near))
+    return np.r_[i[use], left], np.r_[j[use], np.full(len(left), -1)], np.r_[apart[use], np.zeros(len(left), np.int32)], np.r_[more, np.ones(len(left), bool)]
 
 
 def _pairs(similarity: float, every: bool):
-    """Over rows (token, key, doc_id, line, n, at, bits, asks) by token and place: possible partners before each set."""
-
-    def pairs(rows) -> pa.RecordBatch:
-        i, j, apart, more = _before(rows, similarity, every)
-        _, key, doc, line = rows[:4]
-        return rows_of(_PAIR, a=key[i], doc_a=doc[i], line_a=line[i], doc_b=doc[j], line_b=line[j], apart=apart, more=more)
+    """Over blocks in order: possible partners before each set that asks."""
+
+    def pairs(parts: list[bytes]) -> pa.RecordBatch:
+        rows = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(_ROW.itemsize, -1).T).view(_ROW).ravel() for x in parts])
+        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["token"]))]
+        i, j, apart, more = _earlier(rows, similarity, every)
+        a, b = rows[i], rows[np.maximum(j, 0)]
+        # a pair that meets at several tokens of the block is named once
+        order = np.lexsort((~more, j < 0, b["key"], a["key"]))
+        x, y = a["key"][order], np.where(j < 0, 0, b["key"])[order]
+        order = order[np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | ((j < 0)[order][1:] != (j < 0)[order][:-1])][: len(order)]]
+        a, b, none = a[order], b[order], (j < 0)[order]
+        return rows_of(_PAIR, a=a["key"], doc_a=a["doc"], line_a=a["line"], b=pa.array(b["key"], mask=none), doc_b=pa.array(b["doc"], mask=none), line_b=pa.array(b["line"], mask=none), apart=apart[order], more=more[order])
 
     def run(batches):
-        held = None
+        block, held = None, []
         for b in batches:
-            rows = [b.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
-            if not len(rows[0]):
-                continue
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            last = int(np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])[-1])  # its group may go on
-            held = [x[last:] for x in rows]
-            if last:
-                yield pairs([x[:last] for x in rows])
-        if held is not None:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if k != block and held:
+                    yield pairs(held)
+                    held = []
+                block = k
+                held.append(x)
+        if held:
             yield pairs(held)
 
     return run
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("tokens", pa.list_(pa.int64()))])
+def _places(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
+    """Where the table of wanted lines has a line."""
+    x = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64) + np.uint64(1))
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _tokens(batches):
-    """The sets of the wanted lines of rows (doc_id, text, wanted)."""
-    memo = word_hashes()
-    for b in batches:
-        out: dict[str, list] = {"doc_id": [], "line": [], "tokens": []}
-        for i, text, wanted in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2).to_pylist(), strict=True):
-            lines = text.split(b"\n")
-            for j in wanted:
-                if j < len(lines):
-                    words = {*lines[j].split()}
-                    out["doc_id"].append(i)
-                    out["line"].append(j)
-                    out["tokens"].append(np.array([memo[w] for w in words], np.uint64).view(np.int64))
-        yield rows_of(_TOKENS, **out)
-
-
-def _proved(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of that similarity."""
-    ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")))
-    wanted = store(ends.groupBy("doc_id").agg(F.collect_set("line").alias("wanted")), "wanted")
-    sets = store(docs.join(wanted, "doc_id").mapInArrow(_tokens, "doc_id long, line int, tokens array<long>"), "sets")
-    of = lambda x: sets.select(F.col("doc_id").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("tokens").alias(x * 2))
-    both = pairs.join(of("a"), ["doc_a", "line_a"]).join(of("b"), ["doc_b", "line_b"])
-    common = F.size(F.array_intersect("aa", "bb"))
-    return both.where(common >= (F.size("aa") + F.size("bb") - common) * similarity - 1e-9).select("a", "doc_a", "line_a")
+_BITS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+
+
+def _mark(bits: int):
+    """Over rows (doc_id, line): the table's bytes that are not zero, as (place, byte) by chunk of it."""
+
+    def run(batches):
+        table = np.zeros(1 << bits, bool)
+        for b in batches:
+            table[_places(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)] = True
+        packed = np.packbits(table).reshape(-1, min(CHUNK, (1 << bits) // 8))
+        some = np.flatnonzero(packed.any(axis=1))
+        yield rows_of(_BITS, chunk=some, counts=[packed[k].tobytes() for k in some])
+
+    return run
+
+
+def _or(key, chunks):
+    total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in chunks["counts"].to_pylist()])
+    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def _wanted(lines: DataFrame) -> tuple[np.ndarray, int]:
+    """A table of bits that has all lines (doc_id, line), and perhaps others, and the number of bits' own bits."""
+    bits = min(WANTED, max(10, math.ceil(math.log2(8 * lines.count() + 1))))
+    chunk = min(CHUNK, (1 << bits) // 8)
+    out = np.zeros(((1 << bits) // 8 // chunk, chunk), np.uint8)
+    for r in lines.coalesce(64).mapInArrow(_mark(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or, "chunk int, counts binary").collect():
+        out[r.chunk] = np.frombuffer(r.counts, np.uint8)
+    return out.ravel(), bits
+
+
+_WHOLE = pa.schema([("key", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+
+
+def _whole(wanted):
+    """The whole sets of the lines that may be wanted, of rows (doc_id, text)."""
+
+    def run(batches):
+        table, bits = wanted.value
+        for b in batches:
+            docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for row, data, ends in texts_of(b.column(1)):
+                h, line, owner, place = _lines(data, ends)
+                at = _places(docs[row + owner], place, bits)
+                use = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)[line]
+                h, line = h[use], line[use]
+                if not len(h):
+                    continue
+                h, line = ordered(h, line, np.zeros(len(h), np.uint64))
+                first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(_keys(h, first)), tokens], schema=_WHOLE)
+
+    return run
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -253,50 +367,66 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), "text").where("doc_id is not null")
-    rows = store(docs.mapInArrow(_lines, _LINE_SQL), "lines")
-    counts = spark.sparkContext.broadcast(token_counts(rows))
-    lines = rows.where("chunk is null")
-    first = store(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("n").alias("n")), "first")
+    ranks = spark.sparkContext.broadcast(rarity(docs))
     least = similarity / (1 - similarity) if similarity < 1 else math.inf  # n of n + 1 words must be similar
-    wanted = first.where(F.col("n") >= least - 1e-9).select(F.col("first.doc_id").alias("doc_id"), F.struct("first.line", "key").alias("x")).groupBy("doc_id").agg(F.collect_list("x").alias("wanted"))
-    sent = store(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_rows(counts, similarity), _ROW_SQL), "sent")
-    place = F.struct("doc_id", "line")
-    equal = lines.join(first, "key").where(place > F.col("first")).select("doc_id", "line")
+    lines = docs.mapInArrow(_sets(ranks, similarity, least), _SET_SQL).repartition("key").sortWithinPartitions("key", "doc_id", "line")
+    sets = store(lines.mapInArrow(_firsts, _SET_SQL), "sets", release=True)
+    sending = sets.where("n > 0")
+    tokens = sending.agg(F.sum(F.length("prefix"))).first()[0] or 0
+    blocks = max(1, -(-tokens // TOKEN // BLOCK))
 
     def found(asking: DataFrame, every: bool) -> DataFrame:
-        groups = asking.repartition("token").sortWithinPartitions("token", "doc_id", "line")
-        return groups.select("token", "key", "doc_id", "line", "n", "at", "bits", "asks").mapInArrow(_pairs(similarity, every), _PAIR_SQL)
-
-    def proved(named: DataFrame, partners) -> DataFrame:
-        pairs = named.select("a", "doc_a", "line_a", F.explode(partners).alias("b")).select("a", "doc_a", "line_a", "b.*")
-        return store(_proved(store(pairs, "pairs"), docs, similarity).distinct(), "near")
-
-    partners = F.array_sort(F.collect_set(F.struct("apart", "doc_b", "line_b")))
-    named = found(sent.withColumn("asks", F.lit(True)), False).groupBy("a", "doc_a", "line_a").agg(partners.alias("b"), F.max("more").alias("more"))
-    named = store(named, "named")
-    near = proved(named, F.slice("b", 1, TRIES))
-    rest = store(named.where(F.size("b") > TRIES).join(near, "a", "left_anti"), "rest")
-    if rest.limit(1).count():
-        near = near.unionByName(proved(rest, F.slice("b", TRIES + 1, F.size("b"))))
+        rows = asking.select("key", "doc_id", "line", "n", "bits", "prefix", "asks").mapInArrow(_blocks(blocks), "block int, rows binary")
+        return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(similarity, every), _PAIR_SQL)
+
+    partners = F.array_sort(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "doc_b", "line_b", "b"))))
+    named = found(sending.withColumn("asks", F.lit(True)), False).groupBy("a", "doc_a", "line_a").agg(partners.alias("bs"), F.max("more").alias("more"))
+    named = store(named, "named", release=True)
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        """The whole sets of lines in pairs."""
+        ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")))
+        wanted = spark.sparkContext.broadcast(_wanted(ends))
+        return store(docs.mapInArrow(_whole(wanted), "key long, tokens array<long>"), "whole")
+
+    def proved(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """Of pairs (a, doc_a, line_a, b) of that similarity: a and its place."""
+        of_ = lambda x: of.select(F.col("key").alias(x), F.col("tokens").alias(x * 2))
+        both = pairs.select("a", "doc_a", "line_a", "b").join(of_("b"), "b").join(of_("a"), "a")
+        common = F.size(F.array_intersect("aa", "bb"))
+        right = both.where(common >= (F.size("aa") + F.size("bb") - common) * similarity - 1e-9)
+        return store(right.select("a", "doc_a", "line_a").distinct(), "near", release=True)
+
+    of = whole(named.select("doc_a", "line_a", F.explode("bs").alias("b")).select("doc_a", "line_a", "b.*"))
+    partner = lambda bs: named.select("a", "doc_a", "line_a", F.explode(bs).alias("b")).select("a", "doc_a", "line_a", "b.b")
+    near = proved(partner(F.slice("bs", 1, TRIES)), of)
+    near = near.unionByName(proved(partner(F.slice("bs", TRIES + 1, F.size("bs"))).join(near, "a", "left_anti"), of))
     again = store(named.where("more").join(near, "a", "left_anti").select(F.col("a").alias("key"), F.lit(True).alias("asks")), "again")
+    forget(of, named)
     if again.limit(1).count():
-        asked = store(sent.join(again, "key").select("token").distinct(), "asked")
-        groups = sent.join(asked, "token", "left_semi").join(again, "key", "left").na.fill(False, ["asks"])
-        pairs = store(found(groups, True).drop("apart", "more").distinct(), "pairs")
-        near = near.unionByName(_proved(pairs, docs, similarity).distinct())
-    gone = equal.unionByName(near.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")))
+        pairs = store(found(sending.join(again, "key", "left").na.fill(False, ["asks"]), True).distinct(), "pairs")
+        near = near.unionByName(proved(pairs, whole(pairs)))
+    gone = sets.where("n = 0").select("doc_id", "line").unionByName(near.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")))
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
 
+def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """row (the columns of docs), kept (its text without the lines to remove), n_lines and n_removed."""
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(gone.withColumnRenamed("doc_id", "id"), F.col("row.doc_id").cast("long") == F.col("id"), "left")
+    split = F.split(F.coalesce("row.text", F.lit("")), "\n")
+    # places that a repeated id's other rows have, and this text doesn't, remove nothing
+    there = F.filter(F.coalesce("gone", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "there")
+    kept = F.when(F.size("there") == 0, F.col("row.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return out.withColumn("lines", split).withColumn("there", there).select("row", kept.alias("kept"), F.size("lines").cast("long").alias("n_lines"), F.size("there").cast("long").alias("n_removed"))
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs (doc_id, text and others) with n_lines and n_removed, its text without the lines to remove."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    out = docs.join(gone.select(F.col("doc_id").alias("_doc_id"), F.col("gone").alias("_gone")), F.col("doc_id").cast("long") == F.col("_doc_id"), "left")
-    left = F.filter(split, lambda x, i: ~F.array_contains("_gone", i))
-    return out.select(*[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    """docs (doc_id, text and others), its text without the lines to remove."""
+    return _joined(docs, gone).select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text, n_lines and n_removed of each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    return without(docs, repeated_lines(docs, similarity))
+    return _joined(docs, repeated_lines(docs, similarity)).select("row.doc_id", F.col("kept").alias("text"), "n_lines", "n_removed")

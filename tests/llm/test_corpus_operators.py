@@ -10,6 +10,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -119,7 +120,7 @@ def gone_lines(texts, t=0.8):
     for i, text in sorted((x for x in texts if x[0] is not None), key=lambda x: x[0]):
         for j, line in enumerate((text or "").split("\n")):
             w = frozenset(words(line))
-            if len(w) >= lines.LEAST:
+            if w:
                 if any((a, b) < (i, j) and len(w & x) >= t * len(w | x) - 1e-9 for a, b, x in seen):
                     out[i].add(j)
                 seen.append((i, j, w))
@@ -162,6 +163,50 @@ def test_line_dedup_of_short_lines(spark):
     assert {r.doc_id: {*r.gone} for r in lines.repeated_lines(df).collect()} == {2: {1, 2}, 4: {0}, 6: {0}, 8: {0}}
 
 
+def test_line_dedup_beyond_named_partners(spark, monkeypatch):
+    monkeypatch.setattr(lines, "NAMED", 2)
+    monkeypatch.setattr(lines, "TRIES", 1)
+    monkeypatch.setattr(lines, "LEADERS", 3)
+    monkeypatch.setattr(lines, "BLOCK", 50)
+    base = [[RNG.choice(WORDS) for _ in range(RNG.randint(8, 14))] for _ in range(3)]
+    rows = []
+    for i in range(120):
+        line = list(RNG.choice(base))
+        for _ in range(RNG.choice([1, 1, 2, 3])):
+            line[RNG.randrange(len(line))] = RNG.choice(WORDS)
+        rows.append((i, " ".join(line)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: {*r.gone} for r in lines.repeated_lines(df).collect()} == gone_lines(rows)
+
+
+def test_line_dedup_with_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d\nx", 5, "u"), (1, "a b c d\nx", 5, "u"), (2, "x\ny", None, "v"), (2, "z", 1, "w"), (None, "x", 2, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, _gone string")
+    for name in ("gone", "row", "id", "kept", "there", "lines", "n_removed", "block"):
+        df = df.withColumn(name, df["_gone"])
+    out = lines.without(df, lines.repeated_lines(df))
+    assert out.columns == df.columns
+    # rows that share an id are one document: where a line goes, it goes in each of them
+    assert sorted(r.text for r in out.collect()) == ["", "a b c d\nx", "a b c d\nx", "x", "y"]
+
+
+def test_words_of_bytes():
+    from plancarta.llm import common
+
+    texts = ["", None, " a\n", "a", "longer-than-eight b", "\tx\x0by\x0cz\r", "\n\n", "é😀 a\u2003b", "w" * 100, "w" * 100 + " "]
+    seen = {}
+    for most in (1, 20, 1000):
+        got = [[] for _ in texts]
+        for row, data, ends in common.texts_of(pa.array(texts), most):
+            begin, end = common.word_places(data, ends)
+            for b, e, h in zip(begin, end, common.places_hashes(data, begin, end), strict=True):
+                w = bytes(data[b:e])
+                assert seen.setdefault(w, h) == h
+                got[row + np.searchsorted(ends, b, "right") - 1].append(w)
+        assert got == [(t or "").encode().split() for t in texts]
+    assert len({*seen.values()}) == len(seen)
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "\\", "\\e\\b\\l", "<s>", "[ROLE] x [/ROLE]", "", None, "a\n\nb", "\x00 é😀", "< /s>", "[/INST", "[INST] "]
     rows = [(c, t, role, odd[(c * 5 + t) % len(odd)]) for c in range(12) for t, role in enumerate(["user", "assistant", "system", "us\\er<s>", None, "assistant"])]
