@@ -14,9 +14,9 @@ are found by sorting a block.
 In a group, pairs must pass the length filter, the positional filter (for both the token must lie in the prefix that the
 pair's own lengths ask for, and what lies before and after it must suffice), and a bound from parities of the sets' hashed
 bits. A group names for each set the NAMED earlier partners with the fewest differing bits; in groups of over LEADERS
-sets only the earliest LEADERS are looked at. Each set tries the TRIES nearest first, then the other named ones;
-sets of which none proves right and that had more, try all. Partners are proved on the whole token sets, which are read
-from the texts once: a table of bits of bounded size says which lines may be wanted, and the join drops the others.
+sets only the earliest LEADERS are looked at. Sets of which none of these proves right and that had more, try all.
+Partners are proved on the whole token sets, which are read from the texts once: a table of bits of bounded size says
+which lines may be wanted, and the join drops the others.
 
 Defined cases: null or empty text has one empty line; rows with a null id are returned whole and are no source for
 others; rows that share an id are one document: where a line of one goes, that place goes in each of them, but equal lines
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, id_column, mix, places_hashes, rows_of, ship, store, texts_of, word_places
 
-SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 3, 32, 4096
+SIMILARITY, NAMED, LEADERS = 0.8, 16, 4096
 BUCKETS, CHUNK = 1 << 18, 1 << 14
 #: Rows of tokens in a block, about, and how many a map task gathers before it sends blocks on.
 BLOCK, GATHERED = 1 << 16, 1 << 20
@@ -45,16 +45,14 @@ WANTED = 26
 
 
 def _lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hashes of all words and their line's number; each line's text and place in it. Lines without words count too."""
-    begin, end = word_places(data, ends)
-    breaks = np.flatnonzero(data[:-8] == 10) + 1
-    starts = np.concatenate([ends[:-1], breaks])
-    owner = np.concatenate([np.arange(len(ends) - 1), np.searchsorted(ends, breaks - 1, "right") - 1])
-    order = np.argsort(owner * (len(data) + 1) + starts, kind="stable")
-    starts, owner = starts[order], owner[order]
-    place = np.arange(len(starts)) - np.searchsorted(owner, owner)
-    line = np.searchsorted(starts, begin, "right") - 1
-    return places_hashes(data, begin, end), line, owner, place
+    """Where the lines of texts begin and end, each line's text and its place in it."""
+    breaks = np.flatnonzero(data[:-8] == 10)
+    owner = np.concatenate([np.arange(len(ends) - 1), np.searchsorted(ends, breaks, "right") - 1])
+    order = np.argsort(owner, kind="stable")  # a text's first line, then those behind its breaks
+    starts, owner = np.concatenate([ends[:-1], breaks + 1])[order], owner[order]
+    last = np.r_[owner[1:] != owner[:-1], True][: len(owner)]
+    stops = np.where(last, ends[owner + 1], np.r_[starts[1:], 0][: len(owner)] - 1)
+    return starts, stops, owner, np.arange(len(owner)) - np.searchsorted(owner, owner)
 
 
 def _counts(batches):
@@ -142,9 +140,11 @@ def _sets(ranks, similarity: float, least: float):
         for b in batches:
             docs = b.column(0).to_numpy(zero_copy_only=False)
             for row, data, ends in texts_of(b.column(1)):
-                h, line, owner, place = _lines(data, ends)
-                if not len(h):
+                starts, _, owner, place = _lines(data, ends)
+                begin, end = word_places(data, ends)
+                if not len(begin):
                     continue
+                h, line = places_hashes(data, begin, end), np.searchsorted(starts, begin, "right") - 1
                 h, line = ordered(h, line, ranks.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)])
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 n, own = np.diff(np.r_[first, len(h)]), line[first]
@@ -180,11 +180,11 @@ def _firsts(batches):
         yield b.set_column(3, "n", pa.array(np.where(gone, 0, n).astype(np.int32))).filter(pa.array(use & (gone | sends)))
 
 
-_ROW = np.dtype([("token", "<u8"), ("key", "<i8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("asks", "?")])
+_ROW = np.dtype([("token", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("asks", "?")])
 
 
 def _blocks(blocks: int):
-    """Over sets (key, doc_id, line, n, bits, prefix, asks): a row for each token, in blocks by the token's hash."""
+    """Over sets (doc_id, line, n, bits, prefix, asks): a row for each token, in blocks by the token's hash."""
 
     def sent(parts: list[np.ndarray]):
         rows = np.concatenate(parts)
@@ -199,7 +199,7 @@ def _blocks(blocks: int):
     def run(batches):
         held, size = [], 0
         for b in batches:
-            column = b.column(5)
+            column = b.column(4)
             ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             sizes = np.diff(ends) // TOKEN
             rows = np.zeros(int(sizes.sum()), _ROW)
@@ -207,9 +207,9 @@ def _blocks(blocks: int):
             if len(rows):
                 tokens[:, :TOKEN] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, TOKEN)
             rows["token"] = tokens.view("<u8").ravel()
-            for name, i in (("key", 0), ("doc", 1), ("line", 2), ("n", 3), ("asks", 6)):
+            for name, i in (("doc", 0), ("line", 1), ("n", 2), ("asks", 5)):
                 rows[name] = np.repeat(b.column(i).to_numpy(zero_copy_only=False), sizes)
-            rows["bits"] = np.repeat(b.column(4).to_numpy().view(np.uint64), sizes)
+            rows["bits"] = np.repeat(b.column(3).to_numpy().view(np.uint64), sizes)
             rows["at"] = np.arange(len(rows)) - np.repeat((ends[:-1] - ends[0]) // TOKEN, sizes)
             held.append(rows)
             size += len(rows)
@@ -222,8 +222,8 @@ def _blocks(blocks: int):
     return run
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("doc_a", pa.int64()), ("line_a", pa.int32()), ("b", pa.int64()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("apart", pa.int32()), ("more", pa.bool_())])
-_PAIR_SQL = "a long, doc_a long, line_a int, b long, doc_b long, line_b int, apart int, more boolean"
+_PAIR = pa.schema([("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.int64()), ("line_b", pa.int32()), ("apart", pa.int32()), ("more", pa.bool_())])
+_PAIR_SQL = "doc_a long, line_a int, doc_b long, line_b int, apart int, more boolean"
 
 
 def possible(n, at, bits, n1, at1, bits1, similarity: float):
@@ -233,56 +233,75 @@ def possible(n, at, bits, n1, at1, bits1, similarity: float):
     return (np.minimum(n - at, n1 - at1) >= need) & (np.bitwise_count(bits ^ bits1) <= n + n1 - 2 * need)
 
 
-def _earlier(rows: np.ndarray, similarity: float, every: bool) -> tuple[np.ndarray, ...]:
-    """i, j, apart, more: for rows of whole groups, sorted by token, document and line, the possible partners j before i
-    in its group: all, or the NAMED with the fewest differing bits, and whether there may be more; j -1: none but more."""
-    token = rows["token"]
-    n, at, bits = rows["n"].astype(np.int64), rows["at"].astype(np.int64), rows["bits"]
-    begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    sizes = np.diff(np.r_[begin, len(token)])
-    place = np.arange(len(token)) - np.repeat(begin, sizes)
-    asks = rows["asks"]
-    near = np.minimum(place, LEADERS) if not every else place  # so many partners are looked at
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    ask = np.flatnonzero(asks & (near > 0))
-    # rows with the fewest partners leave the round first
-    ask = ask[np.argsort(-near[ask], kind="stable")]
-    left, head = -near[ask], ask - place[ask]
-    for k in range(int(near[ask[0]]) if len(ask) else 0):
-        size = np.searchsorted(left, -k, "left")
-        i, j = ask[:size], head[:size] + k
-        ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-        i, j = i[ok], j[ok]
-        ok = possible(n[j], at[j], bits[j], n[i], at[i], bits[i], similarity)
-        found.append((i[ok], j[ok]))
-    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
-    apart = np.bitwise_count(bits[i] ^ bits[j]).astype(np.int32)
-    if every:
-        return i, j, apart, np.zeros(len(i), bool)
-    order = np.lexsort((j, apart, i))
-    i, j, apart = i[order], j[order], apart[order]
-    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[first, len(i)])
-    use = np.arange(len(i)) - np.repeat(first, count) < NAMED
-    more = np.repeat(count > NAMED, count)[use]
-    left = np.flatnonzero(asks & (place > near))
-    return np.r_[i[use], left], np.r_[j[use], np.full(len(left), -1)], np.r_[apart[use], np.zeros(len(left), np.int32)], np.r_[more, np.ones(len(left), bool)]
+class Rows:
+    """Token rows of whole groups, by token and length."""
+
+    def __init__(self, parts: list[bytes]):
+        columns = np.concatenate([np.frombuffer(x, np.uint8).reshape(_ROW.itemsize, -1) for x in parts], axis=1)
+        fields = {name: np.ascontiguousarray(columns[at : at + kind.itemsize].T).view(kind).ravel() for name, (kind, at) in _ROW.fields.items()}
+        self.short = np.minimum(fields["n"], (1 << 24) - 1).astype(np.int64)  # lengths to sort and stop by
+        order = np.argsort((fields["token"] << np.uint64(24)) | self.short.astype(np.uint64), kind="stable")
+        self.token, self.bits, self.doc, self.line, n, at, self.asks = (x[order] for x in fields.values())
+        self.short, self.n, self.at = self.short[order], n.astype(np.int64), at.astype(np.int64)
+
+    def possible(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        return possible(self.n[i], self.at[i], self.bits[i], self.n[j], self.at[j], self.bits[j], similarity)
+
+    def partners(self, similarity: float, every: bool) -> tuple[np.ndarray, ...]:
+        """i, j, apart, more: possible partners j of rows i that ask, earlier than these and in their group: all, or the
+        NAMED with the fewest differing bits, and whether there may be more; j -1: none, but there may be more."""
+        begin = np.flatnonzero(np.r_[True, self.token[1:] != self.token[:-1]])
+        sizes = np.diff(np.r_[begin, len(self.token)])
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        place = np.arange(len(self.token)) - np.repeat(begin, sizes)
+        live, back = np.flatnonzero((place > 0) & np.repeat(sizes <= LEADERS, sizes)), 1
+        while len(live):
+            near = self.short[live - back] >= similarity * self.short[live] - 1e-9  # once not, nothing further back is
+            live = live[near]
+            ok = self.possible(live, live - back, similarity)
+            found.append((live[ok], live[ok] - back))
+            back += 1
+            live = live[place[live] >= back]
+        left = [np.zeros(0, np.int64)]
+        for a, size in zip(begin[sizes > LEADERS], sizes[sizes > LEADERS], strict=True):
+            rows = a + np.lexsort((self.line[a : a + size], self.doc[a : a + size]))
+            asks = np.flatnonzero(self.asks[rows])
+            for k in range(size - 1 if every else LEADERS):
+                i = rows[asks[np.searchsorted(asks, k, "right") :]]
+                i = i[self.possible(i, rows[k], similarity)]
+                found.append((i, np.full(len(i), rows[k])))
+            left.append(rows[asks[asks > LEADERS]])
+        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        later = (self.doc[i] > self.doc[j]) | (self.doc[i] == self.doc[j]) & (self.line[i] > self.line[j])
+        i, j = np.where(later, i, j), np.where(later, j, i)
+        use = self.asks[i] & ((self.doc[i] != self.doc[j]) | (self.line[i] != self.line[j]))
+        i, j = i[use], j[use]
+        apart = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int32)
+        if every:
+            return i, j, apart, np.zeros(len(i), bool)
+        order = np.lexsort((j, apart, i))
+        i, j, apart = i[order], j[order], apart[order]
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[first, len(i)])
+        use = np.arange(len(i)) - np.repeat(first, count) < NAMED
+        rest = np.concatenate(left)
+        return np.r_[i[use], rest], np.r_[j[use], np.full(len(rest), -1)], np.r_[apart[use], np.zeros(len(rest), np.int32)], np.r_[np.repeat(count > NAMED, count)[use], np.ones(len(rest), bool)]
 
 
 def _pairs(similarity: float, every: bool):
     """Over blocks in order: possible partners before each set that asks."""
 
     def pairs(parts: list[bytes]) -> pa.RecordBatch:
-        rows = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(_ROW.itemsize, -1).T).view(_ROW).ravel() for x in parts])
-        rows = rows[np.lexsort((rows["line"], rows["doc"], rows["token"]))]
-        i, j, apart, more = _earlier(rows, similarity, every)
-        a, b = rows[i], rows[np.maximum(j, 0)]
+        rows = Rows(parts)
+        i, j, apart, more = rows.partners(similarity, every)
+        columns = [rows.doc[i], rows.line[i], np.where(j < 0, 0, rows.doc[j]), np.where(j < 0, -1, rows.line[j])]
         # a pair that meets at several tokens of the block is named once
-        order = np.lexsort((~more, j < 0, b["key"], a["key"]))
-        x, y = a["key"][order], np.where(j < 0, 0, b["key"])[order]
-        order = order[np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | ((j < 0)[order][1:] != (j < 0)[order][:-1])][: len(order)]]
-        a, b, none = a[order], b[order], (j < 0)[order]
-        return rows_of(_PAIR, a=a["key"], doc_a=a["doc"], line_a=a["line"], b=pa.array(b["key"], mask=none), doc_b=pa.array(b["doc"], mask=none), line_b=pa.array(b["line"], mask=none), apart=apart[order], more=more[order])
+        order = np.lexsort((~more, *columns))
+        columns = [x[order] for x in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+        doc_a, line_a, doc_b, line_b = (x[new] for x in columns)
+        return rows_of(_PAIR, doc_a=doc_a, line_a=line_a, doc_b=doc_b, line_b=pa.array(line_b, mask=line_b < 0), apart=apart[order][new], more=more[order][new])
 
     def run(batches):
         block, held = None, []
@@ -337,7 +356,7 @@ def _wanted(lines: DataFrame) -> tuple[np.ndarray, int]:
     return out.ravel(), bits
 
 
-_WHOLE = pa.schema([("key", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+_WHOLE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
 
 def _whole(wanted):
@@ -348,16 +367,24 @@ def _whole(wanted):
         for b in batches:
             docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, ends in texts_of(b.column(1)):
-                h, line, owner, place = _lines(data, ends)
+                starts, stops, owner, place = _lines(data, ends)
                 at = _places(docs[row + owner], place, bits)
-                use = ((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)[line]
-                h, line = h[use], line[use]
-                if not len(h):
+                use = np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                # only these lines, each like a text
+                step = np.zeros(len(data) + 1, np.int32)
+                np.add.at(step, starts[use], 1)
+                np.add.at(step, stops[use], -1)
+                data = np.concatenate([data[np.cumsum(step[:-1]) > 0], np.full(8, 32, np.uint8)])
+                ends = np.r_[0, np.cumsum(stops[use] - starts[use])]
+                begin, end = word_places(data, ends)
+                if not len(begin):
                     continue
+                h, line = places_hashes(data, begin, end), np.searchsorted(ends, begin, "right") - 1
                 h, line = ordered(h, line, np.zeros(len(h), np.uint64))
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(_keys(h, first)), tokens], schema=_WHOLE)
+                own = use[line[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[row + owner[own]]), pa.array(place[own].astype(np.int32)), tokens], schema=_WHOLE)
 
     return run
 
@@ -376,38 +403,36 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     blocks = max(1, -(-tokens // TOKEN // BLOCK))
 
     def found(asking: DataFrame, every: bool) -> DataFrame:
-        rows = asking.select("key", "doc_id", "line", "n", "bits", "prefix", "asks").mapInArrow(_blocks(blocks), "block int, rows binary")
+        rows = asking.select("doc_id", "line", "n", "bits", "prefix", "asks").mapInArrow(_blocks(blocks), "block int, rows binary")
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(similarity, every), _PAIR_SQL)
 
-    partners = F.array_sort(F.collect_set(F.when(F.col("b").isNotNull(), F.struct("apart", "doc_b", "line_b", "b"))))
-    named = found(sending.withColumn("asks", F.lit(True)), False).groupBy("a", "doc_a", "line_a").agg(partners.alias("bs"), F.max("more").alias("more"))
-    named = store(named, "named", release=True)
-
-    def whole(pairs: DataFrame) -> DataFrame:
-        """The whole sets of lines in pairs."""
-        ends = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).unionByName(pairs.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")))
-        wanted = spark.sparkContext.broadcast(_wanted(ends))
-        return store(docs.mapInArrow(_whole(wanted), "key long, tokens array<long>"), "whole")
-
-    def proved(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        """Of pairs (a, doc_a, line_a, b) of that similarity: a and its place."""
-        of_ = lambda x: of.select(F.col("key").alias(x), F.col("tokens").alias(x * 2))
-        both = pairs.select("a", "doc_a", "line_a", "b").join(of_("b"), "b").join(of_("a"), "a")
-        common = F.size(F.array_intersect("aa", "bb"))
-        right = both.where(common >= (F.size("aa") + F.size("bb") - common) * similarity - 1e-9)
-        return store(right.select("a", "doc_a", "line_a").distinct(), "near", release=True)
-
-    of = whole(named.select("doc_a", "line_a", F.explode("bs").alias("b")).select("doc_a", "line_a", "b.*"))
-    partner = lambda bs: named.select("a", "doc_a", "line_a", F.explode(bs).alias("b")).select("a", "doc_a", "line_a", "b.b")
-    near = proved(partner(F.slice("bs", 1, TRIES)), of)
-    near = near.unionByName(proved(partner(F.slice("bs", TRIES + 1, F.size("bs"))).join(near, "a", "left_anti"), of))
-    again = store(named.where("more").join(near, "a", "left_anti").select(F.col("a").alias("key"), F.lit(True).alias("asks")), "again")
-    forget(of, named)
+    def proved(pairs: DataFrame) -> DataFrame:
+        """doc_id and line of the later lines in pairs of that similarity."""
+        a, b = (pairs.select(F.col(f"doc_{x}").alias("doc_id"), F.col(f"line_{x}").alias("line")) for x in "ab")
+        wanted = spark.sparkContext.broadcast(_wanted(a.unionByName(b)))
+        whole = store(docs.mapInArrow(_whole(wanted), "doc_id long, line int, tokens array<long>"), "whole")
+        of = lambda x: whole.select(F.col("doc_id").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("tokens").alias(x))
+        both = pairs.select("doc_a", "line_a", "doc_b", "line_b").join(of("b"), ["doc_b", "line_b"]).join(of("a"), ["doc_a", "line_a"])
+        common = F.size(F.array_intersect("a", "b"))
+        right = both.where(common >= (F.size("a") + F.size("b") - common) * similarity - 1e-9)
+        right = store(right.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).distinct(), "near", release=True)
+        forget(whole)
+        return right
+
+    partners = F.array_sort(F.collect_set(F.when(F.col("line_b").isNotNull(), F.struct("apart", "doc_b", "line_b"))))
+    named = found(sending.withColumn("asks", F.lit(True)), False).groupBy("doc_a", "line_a").agg(partners.alias("b"), F.max("more").alias("more"))
+    named = store(named.select("doc_a", "line_a", F.slice("b", 1, NAMED).alias("b"), (F.col("more") | (F.size("b") > NAMED)).alias("more")), "named", release=True)
+    near = proved(named.select("doc_a", "line_a", F.explode("b").alias("b")).select("doc_a", "line_a", "b.*"))
+    open_ = named.where("more").select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line"))
+    again = store(open_.join(near, ["doc_id", "line"], "left_anti").withColumn("asks", F.lit(True)), "again")
+    forget(named)
     if again.limit(1).count():
-        pairs = store(found(sending.join(again, "key", "left").na.fill(False, ["asks"]), True).distinct(), "pairs")
-        near = near.unionByName(proved(pairs, whole(pairs)))
-    gone = sets.where("n = 0").select("doc_id", "line").unionByName(near.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")))
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+        pairs = store(found(sending.join(again, ["doc_id", "line"], "left").na.fill(False, ["asks"]), True).drop("apart", "more").distinct(), "pairs")
+        near = near.unionByName(proved(pairs))
+    gone = sets.where("n = 0").select("doc_id", "line").unionByName(near)
+    gone = store(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone", release=True)
+    forget(sets, again)
+    return gone
 
 
 def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
