@@ -86,8 +86,10 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOS
     goals = store(targets(sized, weights, share, most), "targets")
     counts = store(sized.groupBy("source", "size").agg(F.count("*").alias("c")), "counts")
     solved = tilts(counts, goals, most)
-    rated = sized.join(solved, _same("source", "s"))
-    group = F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / GROUP))
+    # rows alike are numbered by their count, so that they spread over groups too
+    alike = sized.groupBy("source", "doc_id", "size").agg(F.count("*").alias("c"))
+    rated = alike.select("source", "doc_id", "size", F.explode(F.sequence(F.lit(1).cast("long"), "c")).alias("i")).join(solved, _same("source", "s"))
+    group = F.pmod(F.xxhash64("doc_id", "size", "i"), F.ceil(F.col("n") / GROUP))
     rate = F.when(F.col("full"), float(most)).otherwise(float(most) / (1 + F.exp(-F.col("tilt") * F.col("size") / F.col("mean"))))
     doc = F.struct((-F.col("size")).alias("less"), "doc_id", "size", rate.alias("rate"))
     groups = rated.groupBy("source", group.alias("group")).agg(F.sort_array(F.collect_list(doc)).alias("docs"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
@@ -112,11 +114,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     Rows that share an id take the copies of all of them, dealt to these rows in turn.
     """
     copies = mix(sizes(docs), weights, share, most).groupBy("doc_id").agg(F.sum("copies").alias("c"), F.count("*").alias("m"))
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("c").alias("_c"), F.col("m").alias("_m"))
-    alone = docs.join(copies.where("_m = 1 and _c > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    shared = docs.join(copies.where("_m > 1 and _c > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    turn = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text", "source")))
-    own = F.floor(F.col("_c") / F.col("_m")) + F.when(turn <= F.col("_c") % F.col("_m"), 1).otherwise(0)
-    shared = shared.withColumn("_c", own.cast("long")).where("_c > 0")
-    rows = alone.unionByName(shared)
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), "_c"))).select(*docs.columns)
+    copies = copies.where("c > 0").withColumnRenamed("doc_id", "id")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(copies, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    turn = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("row.text", "row.source")))
+    own = F.floor(F.col("c") / F.col("m")) + F.when(turn <= F.col("c") % F.col("m"), 1).otherwise(0)
+    alone, shared = rows.where("m = 1").drop("m"), rows.where("m > 1").withColumn("c", own.cast("long")).where("c > 0").drop("m")
+    every = alone.unionByName(shared).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "c")))
+    return every.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -1,12 +1,13 @@
 """Packing of tokenised documents into windows by the sum-of-squares rule.
 
-A document's ids are cut into pieces of at most `size`. Pieces are dealt at random to shards of about SHARD pieces; in
-each, in order of document and place, a piece goes to the fill level for which the sum of squares of the counts of
+A document's ids are cut into pieces of at most `size`. Pieces are dealt at random, by their place in a stored table, to
+shards of about SHARD pieces, so that repeated rows spread too; in each, in order of document and place, a piece goes to the fill level for which the sum of squares of the counts of
 partially filled windows grows least, a new window being level 0 and full windows not counted; equal growth goes to the
 fullest level. An array over levels holds the counts.
 
 Ids: text is cut at [\\x20\\x09-\\x0D]+, at which this tokenizer's normaliser and pre-tokeniser always cut, so each
-stretch between is tokenised alone and remembered; the end id follows the last.
+stretch between is tokenised alone and remembered; the end id follows the last. This, and that case makes no difference,
+holds for tokenizers with the RULES of the usual one; with any other, whole texts are tokenised.
 
 Defined cases: null or empty text is the end id alone; repeated rows are packed once each; rows with a null id are packed
 like others; an empty table gives no rows; other columns are not read.
@@ -14,6 +15,7 @@ like others; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict, deque
 from functools import cache
@@ -34,27 +36,45 @@ REMEMBERED = 800_000
 
 
 #: ASCII signs that are one pre-token with their like and never part of a contraction.
+DOTTED = "\u0130".encode()
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
+# fixed values: the steps before the vocabulary that this module's short ways rely on
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class Ids(dict):
     """Little-endian 32-bit ids by stretch of text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, rules = tokenizer.encode, json.loads(tokenizer.to_str())
+        self.short = all(rules[k] == v for k, v in RULES.items())
 
     def __missing__(self, w: bytes) -> bytes:
         letters = w.rstrip(SIGNS)
-        if letters and letters.decode().isalpha():
+        if DOTTED in w:  # its lower case ends in a mark that goes with what follows
+            ids = self.said(w.decode())
+        elif letters and letters.decode().isalpha():
             if letters != w:  # letters, then signs: two pre-tokens, known apart
                 ids = self[letters] + self[w[len(letters) :]]
             else:
                 text = w.decode()
                 lower = text.lower().encode()
-                # lower case is taken letter by letter, which two letters can't be
-                ids = self[lower] if lower != w and "\u03a3" not in text and "\u0130" not in text else self.said(text)
+                # lower case is taken letter by letter, which final sigma can't be
+                ids = self[lower] if lower != w and "\u03a3" not in text else self.said(text)
         else:
             ids = self.said(w.decode())
         self[w] = ids
@@ -64,6 +84,8 @@ class Ids(dict):
         return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: bytes, end: bytes) -> bytes:
+        if not self.short:
+            return self.said(text.decode()) + end
         if len(self) > REMEMBERED:
             self.clear()
         return b"".join(map(self.__getitem__, text.split())) + end
@@ -140,5 +162,5 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str = TOKENIZER, end: int
     docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), "text")
     pieces = store(docs.mapInArrow(_pieces(tokenizer, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     shards = max(1, -(-pieces.count() // shard))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(shards)))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack(size), _OUT)

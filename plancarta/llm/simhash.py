@@ -301,4 +301,5 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, si
 def one_of_each(docs: DataFrame, words: int, radius: int, similarity: float | None = None) -> DataFrame:
     """The rows of docs (doc_id, text and others) whose id is its group's smallest; rows with a null id stay."""
     gone = simhash_groups(docs, words, radius, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(gone, F.col("row.doc_id").cast("long") == gone["_gone"], "left_anti")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
