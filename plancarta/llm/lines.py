@@ -14,7 +14,8 @@ are found by sorting a block.
 In a group, pairs must pass the length filter, the positional filter (for both the token must lie in the prefix that the
 pair's own lengths ask for, and what lies before and after it must suffice), and a bound from parities of the sets' hashed
 bits. A group names for each set the NAMED earlier partners with the fewest differing bits; in groups of over LEADERS
-sets only the earliest LEADERS are looked at. Sets of which none of these proves right and that had more, try all.
+sets only the earliest LEADERS are looked at. Each set tries the TRIES nearest first, then the other named ones; sets of
+which none proves right and that had more, try all.
 Partners are proved on the whole token sets, which are read from the texts once: a table of bits of bounded size says
 which lines may be wanted, and the join drops the others.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, id_column, mix, places_hashes, rows_of, ship, store, texts_of, word_places
 
-SIMILARITY, NAMED, LEADERS = 0.8, 16, 4096
+SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 2, 32, 4096
 BUCKETS, CHUNK = 1 << 18, 1 << 14
 #: Rows of tokens in a block, about, and how many a map task gathers before it sends blocks on.
 BLOCK, GATHERED = 1 << 16, 1 << 20
@@ -55,13 +56,19 @@ def _lines(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     return starts, stops, owner, np.arange(len(owner)) - np.searchsorted(owner, owner)
 
 
+def _line_of(begin: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which line each word is in, of words and lines in order."""
+    first = np.searchsorted(begin, starts)
+    return np.repeat(np.arange(len(starts)), np.diff(np.r_[first, len(begin)]))
+
+
 def _counts(batches):
     """The task's counts of words by bucket of their hash, a row a chunk."""
     counts = np.zeros(BUCKETS, np.int64)
     for b in batches:
         for _, data, ends in texts_of(b.column(0)):
             h = places_hashes(data, *word_places(data, ends))
-            counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            counts += np.bincount((h & np.uint64(BUCKETS - 1)).view(np.int64), minlength=BUCKETS)
     yield pa.RecordBatch.from_arrays([pa.array(range(BUCKETS // CHUNK), pa.int32()), pa.array([c.tobytes() for c in counts.reshape(-1, CHUNK)])], ["chunk", "counts"])
 
 
@@ -77,7 +84,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     out = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
     for r in chunks:
         out[r.chunk] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(np.round(np.log2(out.ravel() + 1) * 64), 4095).astype(np.uint64)
+    return np.minimum(np.round(np.log2(out.ravel() + 1) * 64), 4095).astype(np.uint16)
 
 
 def prefix(n, similarity: float = SIMILARITY):
@@ -144,8 +151,8 @@ def _sets(ranks, similarity: float, least: float):
                 begin, end = word_places(data, ends)
                 if not len(begin):
                     continue
-                h, line = places_hashes(data, begin, end), np.searchsorted(starts, begin, "right") - 1
-                h, line = ordered(h, line, ranks.value[(h & np.uint64(BUCKETS - 1)).astype(np.int64)])
+                h, line = places_hashes(data, begin, end), _line_of(begin, starts)
+                h, line = ordered(h, line, ranks.value[h & np.uint64(BUCKETS - 1)].astype(np.uint64))
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 n, own = np.diff(np.r_[first, len(h)]), line[first]
                 key, bits = _keys(h, first), np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first).view(np.int64)
@@ -183,8 +190,9 @@ def _firsts(batches):
 _ROW = np.dtype([("token", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("asks", "?")])
 
 
-def _blocks(blocks: int):
-    """Over sets (doc_id, line, n, bits, prefix, asks): a row for each token, in blocks by the token's hash."""
+def _blocks(blocks: int, wanted=None):
+    """Over sets (doc_id, line, n, bits, prefix, asks): a row for each token, of those that may be wanted, in blocks by the
+    token's hash."""
 
     def sent(parts: list[np.ndarray]):
         rows = np.concatenate(parts)
@@ -199,18 +207,15 @@ def _blocks(blocks: int):
     def run(batches):
         held, size = [], 0
         for b in batches:
-            column = b.column(4)
-            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            sizes = np.diff(ends) // TOKEN
-            rows = np.zeros(int(sizes.sum()), _ROW)
-            tokens = np.zeros((len(rows), 8), np.uint8)
-            if len(rows):
-                tokens[:, :TOKEN] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, TOKEN)
-            rows["token"] = tokens.view("<u8").ravel()
+            tokens, sizes = _tokens_of(b.column(4))
+            rows = np.zeros(len(tokens), _ROW)
+            rows["token"] = tokens
             for name, i in (("doc", 0), ("line", 1), ("n", 2), ("asks", 5)):
                 rows[name] = np.repeat(b.column(i).to_numpy(zero_copy_only=False), sizes)
             rows["bits"] = np.repeat(b.column(3).to_numpy().view(np.uint64), sizes)
-            rows["at"] = np.arange(len(rows)) - np.repeat((ends[:-1] - ends[0]) // TOKEN, sizes)
+            rows["at"] = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            if wanted is not None:
+                rows = rows[wanted.value.has(_spread(tokens))]
             held.append(rows)
             size += len(rows)
             if size >= GATHERED:
@@ -318,22 +323,32 @@ def _pairs(similarity: float, every: bool):
     return run
 
 
-def _places(doc: np.ndarray, line: np.ndarray, bits: int) -> np.ndarray:
-    """Where the table of wanted lines has a line."""
-    x = mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64) + np.uint64(1))
-    return (x >> np.uint64(64 - bits)).astype(np.int64)
+def _places(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Hashes of lines."""
+    return mix(doc.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64) + np.uint64(1))
+
+
+class Wanted:
+    """A table of bits by hash, which has all that was put in, and perhaps others; 2 ** WANTED bits at most."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed, self.shift = packed, np.uint64(64 - (8 * len(packed)).bit_length() + 1)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at = (h >> self.shift).astype(np.int64)
+        return ((self.packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 _BITS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
 
-def _mark(bits: int):
-    """Over rows (doc_id, line): the table's bytes that are not zero, as (place, byte) by chunk of it."""
+def _mark(bits: int, hashes):
+    """The table's chunks that are not zero, of all that hashes(batch) gives."""
 
     def run(batches):
         table = np.zeros(1 << bits, bool)
         for b in batches:
-            table[_places(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)] = True
+            table[(hashes(b) >> np.uint64(64 - bits)).astype(np.int64)] = True
         packed = np.packbits(table).reshape(-1, min(CHUNK, (1 << bits) // 8))
         some = np.flatnonzero(packed.any(axis=1))
         yield rows_of(_BITS, chunk=some, counts=[packed[k].tobytes() for k in some])
@@ -346,14 +361,45 @@ def _or(key, chunks):
     return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def _wanted(lines: DataFrame) -> tuple[np.ndarray, int]:
-    """A table of bits that has all lines (doc_id, line), and perhaps others, and the number of bits' own bits."""
-    bits = min(WANTED, max(10, math.ceil(math.log2(8 * lines.count() + 1))))
+def _wanted(rows: DataFrame, n: int, hashes) -> Wanted:
+    """A table of about 8 bits for each of n things whose hashes rows give."""
+    bits = min(WANTED, max(10, math.ceil(math.log2(8 * n + 1))))
     chunk = min(CHUNK, (1 << bits) // 8)
     out = np.zeros(((1 << bits) // 8 // chunk, chunk), np.uint8)
-    for r in lines.coalesce(64).mapInArrow(_mark(bits), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or, "chunk int, counts binary").collect():
+    for r in rows.coalesce(64).mapInArrow(_mark(bits, hashes), "chunk int, counts binary").groupBy("chunk").applyInArrow(_or, "chunk int, counts binary").collect():
         out[r.chunk] = np.frombuffer(r.counts, np.uint8)
-    return out.ravel(), bits
+    return Wanted(out.ravel())
+
+
+def _line_hashes(b: pa.RecordBatch) -> np.ndarray:
+    return _places(b.column(0).to_numpy(), b.column(1).to_numpy())
+
+
+def _token_hashes(b: pa.RecordBatch) -> np.ndarray:
+    return _spread(_tokens_of(b.column(0))[0])
+
+
+def _tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of a column of prefixes, and how many each has."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    out = np.zeros((int(ends[-1] - ends[0]) // TOKEN, 8), np.uint8)
+    if len(out):
+        out[:, :TOKEN] = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, TOKEN)
+    return out.view("<u8").ravel(), np.diff(ends) // TOKEN
+
+
+def _spread(tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens + np.uint64(1))
+
+
+def _those(wanted):
+    """Rows (doc_id, line, ...) of lines that may be wanted."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(wanted.value.has(_line_hashes(b))))
+
+    return run
 
 
 _WHOLE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("tokens", pa.list_(pa.int64()))])
@@ -363,13 +409,11 @@ def _whole(wanted):
     """The whole sets of the lines that may be wanted, of rows (doc_id, text)."""
 
     def run(batches):
-        table, bits = wanted.value
         for b in batches:
             docs = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, ends in texts_of(b.column(1)):
                 starts, stops, owner, place = _lines(data, ends)
-                at = _places(docs[row + owner], place, bits)
-                use = np.flatnonzero((table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
+                use = np.flatnonzero(wanted.value.has(_places(docs[row + owner], place)))
                 # only these lines, each like a text
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, starts[use], 1)
@@ -379,7 +423,7 @@ def _whole(wanted):
                 begin, end = word_places(data, ends)
                 if not len(begin):
                     continue
-                h, line = places_hashes(data, begin, end), np.searchsorted(ends, begin, "right") - 1
+                h, line = places_hashes(data, begin, end), _line_of(begin, ends[:-1])
                 h, line = ordered(h, line, np.zeros(len(h), np.uint64))
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(h.view(np.int64)))
@@ -402,33 +446,44 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     tokens = sending.agg(F.sum(F.length("prefix"))).first()[0] or 0
     blocks = max(1, -(-tokens // TOKEN // BLOCK))
 
-    def found(asking: DataFrame, every: bool) -> DataFrame:
-        rows = asking.select("doc_id", "line", "n", "bits", "prefix", "asks").mapInArrow(_blocks(blocks), "block int, rows binary")
+    def found(asking: DataFrame, every: bool, wanted=None) -> DataFrame:
+        rows = asking.select("doc_id", "line", "n", "bits", "prefix", "asks").mapInArrow(_blocks(blocks, wanted), "block int, rows binary")
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(similarity, every), _PAIR_SQL)
 
-    def proved(pairs: DataFrame) -> DataFrame:
-        """doc_id and line of the later lines in pairs of that similarity."""
+    def ends(pairs: DataFrame):
         a, b = (pairs.select(F.col(f"doc_{x}").alias("doc_id"), F.col(f"line_{x}").alias("line")) for x in "ab")
-        wanted = spark.sparkContext.broadcast(_wanted(a.unionByName(b)))
-        whole = store(docs.mapInArrow(_whole(wanted), "doc_id long, line int, tokens array<long>"), "whole")
-        of = lambda x: whole.select(F.col("doc_id").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("tokens").alias(x))
-        both = pairs.select("doc_a", "line_a", "doc_b", "line_b").join(of("b"), ["doc_b", "line_b"]).join(of("a"), ["doc_a", "line_a"])
+        both = a.unionByName(b)
+        return spark.sparkContext.broadcast(_wanted(both, both.count(), _line_hashes))
+
+    def whole(pairs: DataFrame) -> DataFrame:
+        return store(docs.mapInArrow(_whole(ends(pairs)), "doc_id long, line int, tokens array<long>"), "whole")
+
+    def proved(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        """doc_id and line of the later lines in pairs of that similarity."""
+        of = of.mapInArrow(_those(ends(pairs)), of.schema)
+        side = lambda x: of.select(F.col("doc_id").alias(f"doc_{x}"), F.col("line").alias(f"line_{x}"), F.col("tokens").alias(x))
+        both = pairs.select("doc_a", "line_a", "doc_b", "line_b").join(side("b"), ["doc_b", "line_b"]).join(side("a"), ["doc_a", "line_a"])
         common = F.size(F.array_intersect("a", "b"))
         right = both.where(common >= (F.size("a") + F.size("b") - common) * similarity - 1e-9)
-        right = store(right.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).distinct(), "near", release=True)
-        forget(whole)
-        return right
+        return store(right.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).distinct(), "near")
 
     partners = F.array_sort(F.collect_set(F.when(F.col("line_b").isNotNull(), F.struct("apart", "doc_b", "line_b"))))
-    named = found(sending.withColumn("asks", F.lit(True)), False).groupBy("doc_a", "line_a").agg(partners.alias("b"), F.max("more").alias("more"))
-    named = store(named.select("doc_a", "line_a", F.slice("b", 1, NAMED).alias("b"), (F.col("more") | (F.size("b") > NAMED)).alias("more")), "named", release=True)
-    near = proved(named.select("doc_a", "line_a", F.explode("b").alias("b")).select("doc_a", "line_a", "b.*"))
-    open_ = named.where("more").select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line"))
-    again = store(open_.join(near, ["doc_id", "line"], "left_anti").withColumn("asks", F.lit(True)), "again")
-    forget(named)
+    named = found(sending.withColumn("asks", F.lit(True)), False).groupBy(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).agg(partners.alias("b"), F.max("more").alias("more"))
+    named = store(named.select("doc_id", "line", F.slice("b", 1, NAMED).alias("b"), (F.col("more") | (F.size("b") > NAMED)).alias("more")), "named", release=True)
+    paired = lambda df, bs: df.select(F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a"), F.explode(bs).alias("b")).select("doc_a", "line_a", "b.*")
+    of = whole(paired(named, F.col("b")))
+    near = proved(paired(named, F.slice("b", 1, TRIES)), of)
+    rest = store(named.where((F.size("b") > TRIES) | F.col("more")).join(near, ["doc_id", "line"], "left_anti"), "rest", release=True)
+    near = near.unionByName(proved(paired(rest, F.slice("b", TRIES + 1, NAMED)), of))
+    again = store(rest.where("more").join(near, ["doc_id", "line"], "left_anti").select("doc_id", "line", F.lit(True).alias("asks")), "again", release=True)
+    forget(of, named, rest)
     if again.limit(1).count():
-        pairs = store(found(sending.join(again, ["doc_id", "line"], "left").na.fill(False, ["asks"]), True).drop("apart", "more").distinct(), "pairs")
-        near = near.unionByName(proved(pairs))
+        asking = store(sending.join(again, ["doc_id", "line"], "left").na.fill(False, ["asks"]), "asking")
+        tokens = asking.where("asks").select("prefix")
+        wanted = spark.sparkContext.broadcast(_wanted(tokens, tokens.agg(F.sum(F.length("prefix"))).first()[0] // TOKEN, _token_hashes))
+        pairs = store(found(asking, True, wanted).drop("apart", "more").distinct(), "pairs")
+        forget(asking)
+        near = near.unionByName(proved(pairs, whole(pairs)))
     gone = sets.where("n = 0").select("doc_id", "line").unionByName(near)
     gone = store(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone", release=True)
     forget(sets, again)
