@@ -1,16 +1,20 @@
-"""HTML extraction: page structure first, and a suffix array per host for what structure leaves open.
+"""HTML extraction: page structure, and a suffix array per host for all that structure leaves open.
 
 A page's elements are read in order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are known by element, role, class or id and dropped. Where the page marks its article (`article`, else
-`main`), the text in it is the main text. Where it doesn't, each remaining block is open: the blocks of a host are cut
-into tokens and concatenated, a suffix array, built by doubling, finds the substrings of RUN tokens or more that repeat on
-distinct pages, and only the runs it leaves uncovered are kept. Repetition alone can't decide for marked articles: pages
-share passages inside articles, and menus and adverts that occur once are no less boilerplate.
-
-A block of RUN tokens or more that several pages of a host share is counted once, and drops out as a whole; shorter ones,
-such as headings that articles share, stay. A host of over SHARD tokens is cut into
+reader comments are dropped where an element or role says so, or the whole name of a container's class or id does
+(`comment-list`, but not `share-price`). Where the page marks its article (`article`, else `main`), its text is the main
+text, and what stands in `main` beside an article inside it is open. Open too are containers inside an article that have a
+class or id of any name and less than half of its text, and everything on a page that marks nothing.
+
+Open blocks that follow each other in one container are a unit. The units of a host are cut into tokens and concatenated,
+a suffix array, built by doubling, finds the substrings of RUN tokens or more that repeat on distinct pages, and covered
+text goes: inside an article a block that is covered whole, elsewhere the covered tokens, so that the unique runs stay.
+Repetition alone can't decide for what an article plainly holds: pages share passages inside articles, and menus and
+adverts that occur once are no less boilerplate.
+
+Equal units of a host's pages are one, and covered whole. A host of over SHARD tokens is cut into
 shards: each window of RUN tokens goes to the shard of its smallest inner hash, so equal windows meet, and neighbours
-mostly travel as one piece. Pages with the same blocks count as one page.
+mostly travel as one piece. Pages with the same open units count as one page.
 
 Defined cases: null or empty html gives an empty text; a null url is a host of its own; open elements end with their
 parent or the page; repeated rows each get a row; null ids are allowed; an empty table gives no rows; other columns are
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,41 +45,61 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 SPACES = {"br", "td", "th", "img", "wbr"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 NAMES = {"ad", "ads", "adbox", "advert", "advertisement", "advertising", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
+#: What else the name of such a part may hold.
+PARTS = {"area", "article", "articles", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "center", "col", "container", "content", "form", "global", "group", "header", "icon", "icons", "inner", "item", "items", "js", "label", "left", "link", "links", "list", "main", "media", "message", "more", "news", "outer", "page", "post", "posts", "reader", "readers", "right", "row", "section", "side", "site", "slot", "sticky", "stories", "story", "text", "thread", "title", "top", "unit", "user", "users", "wrap", "wrapper", "x"}
 #: Start tags that end an open element of these names, up to a container.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body", "main", "nav", "aside", "footer", "header", "form"}
+#: Containers whose class or id may name a part.
+NAMED = CONTAINERS - {"article", "body", "main"} | {"figure", "details", "p", "li", "fieldset", "center", "iframe"}
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|([^\s=/"'>]+)""")
 _NOT = {"no", "has", "with", "without", "is"}
 
 
-def _dropped(name: str, attributes: str, marked: bool) -> bool:
-    """Whether an element is a part that doesn't belong to the main text. marked: inside an article or main."""
-    if name in DROPPED or name == "header" and not marked:
-        return True
-    if not attributes or name in ("html", "body", "main"):
-        return False
-    for key, value, lone in _ATTRIBUTE.findall(attributes):
-        key = (key or lone).lower()
-        value = value.strip("\"'").lower()
-        if key == "hidden" or key == "role" and value in ROLES:
+def _names_part(value: str) -> bool:
+    """Whether a word of a class or id is the name of a part, as a whole."""
+    for word in value.split():
+        parts = [x for x in re.split(r"[^a-z]+", word) if x]
+        if parts and parts[0] not in _NOT and any(x in NAMES for x in parts) and all(x in NAMES or x in PARTS for x in parts):
             return True
-        if key in ("class", "id"):
-            for word in value.split():
-                parts = re.split(r"[^a-z0-9]+", word)
-                if any(p in NAMES and (i == 0 or parts[i - 1] not in _NOT) for i, p in enumerate(parts)):
-                    return True
     return False
 
 
-def blocks(page: str) -> tuple[bool, list[str]]:
-    """Whether the page marks its main text, and the blocks of that, or else all blocks that aren't dropped."""
-    # open elements: name, and whether it begins something dropped, an article, or main
-    stack: list[tuple[str, bool, str]] = []
-    drop = 0
+def _seen(name: str, attributes: str, marked: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is a part that doesn't belong to the main text, is a container with a class or id, and has the
+    role of main. marked: inside an article or main."""
+    drop = name in DROPPED or name == "header" and not marked
+    if drop or not attributes:
+        return drop, False, False
+    labelled = main = False
+    for key, value, lone in _ATTRIBUTE.findall(attributes):
+        key = (key or lone).lower()
+        value = value.strip("\"'").lower()
+        if name not in ("html", "body") and (key == "hidden" or key == "role" and value in ROLES):
+            return True, False, False
+        main |= key == "role" and value == "main"
+        if key in ("class", "id") and name in NAMED:
+            if _names_part(value):
+                return True, False, False
+            labelled |= name in CONTAINERS
+    return False, labelled, main
+
+
+#: How a block is judged: kept, dropped if covered whole, or without its covered tokens.
+KEPT, WHOLE, TOKENS = 0, 1, 2
+
+
+def blocks(page: str) -> list[tuple[int, int, str]]:
+    """How to judge, the container, and the text of each block that structure doesn't drop."""
+    # open elements: name, whether it begins something dropped, an article or main, and its own number as a container
+    stack: list[tuple[str, bool, str, int]] = []
+    opened: Counter = Counter()
+    drop, made = 0, 0
     inside = {"article": 0, "main": 0}
-    found: dict[str, list[str]] = {"article": [], "main": [], "": []}
+    labels, holders = [0], [0]  # of open elements: labelled ones inside an article, and containers
+    found: list[tuple[bool, bool, int, int, str]] = []
     here: list[str] = []
 
     def end() -> None:
@@ -82,19 +107,21 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             text = " ".join(entities.unescape("".join(here)).split())
             here.clear()
             if text:
-                found[""].append(text)
-                for k in inside:
-                    if inside[k]:
-                        found[k].append(text)
+                found.append((inside["article"] > 0, inside["main"] > 0, labels[-1], holders[-1], text))
 
     def pop() -> None:
         nonlocal drop
-        name, dropped, kind = stack.pop()
+        name, dropped, kind, number = stack.pop()
+        opened[name] -= 1
         if name in BLOCKS or kind:
             end()
         drop -= dropped
         if kind:
             inside[kind] -= 1
+        if number:
+            holders.pop()
+            if labels[-1] == number:
+                labels.pop()
 
     at, size = 0, len(page)
     while at < size:
@@ -108,7 +135,7 @@ def blocks(page: str) -> tuple[bool, list[str]]:
             continue
         name = m[2].lower()
         if m[1]:
-            if any(x[0] == name for x in stack):
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -122,51 +149,94 @@ def blocks(page: str) -> tuple[bool, list[str]]:
                 here.append(" " * (name not in ("script", "style", "template")))
             continue
         if name in ENDS:
-            for k in range(len(stack) - 1, -1, -1):
+            k = len(stack) - 1
+            while k >= 0 and any(opened[x] for x in ENDS[name]) and stack[k][0] not in CONTAINERS:
                 if stack[k][0] in ENDS[name]:
                     while len(stack) > k:
                         pop()
-                if k < len(stack) and stack[k][0] in CONTAINERS or k == 0:
-                    break
+                k -= 1
         if name in BLOCKS:
-            while stack and any(x[0] == "p" for x in stack[-8:]) and not any(x[0] in CONTAINERS for x in stack[max(i for i, x in enumerate(stack) if x[0] == "p") :]):
-                p = max(i for i, x in enumerate(stack) if x[0] == "p")
-                while len(stack) > p:
-                    pop()
+            while opened["p"]:  # no container can be open inside it
+                pop()
             end()
         elif name in SPACES and not drop:
             here.append(" ")
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
-        dropped = _dropped(name, m[3], bool(inside["article"] or inside["main"]))
-        role = 'role="main"' in m[3] or "role='main'" in m[3]
-        kind = "" if drop or dropped else "article" if name == "article" else "main" if name == "main" or role else ""
-        stack.append((name, dropped, kind))
+        dropped, labelled, main = _seen(name, m[3], bool(inside["article"] or inside["main"]))
+        kind = "" if drop or dropped else "article" if name == "article" else "main" if name == "main" or main else ""
+        number = 0
+        if name in CONTAINERS:
+            made += 1
+            number = made
+            holders.append(number)
+            if labelled and inside["article"] and not dropped:
+                labels.append(number)
+        stack.append((name, dropped, kind, number))
+        opened[name] += 1
         drop += dropped
         if kind:
             inside[kind] += 1
     while stack:
         pop()
     end()
-    for k in ("article", "main"):
-        if found[k]:
-            return True, found[k]
-    return False, found[""]
+    return _judged(found)
+
+
+def _judged(found: list[tuple[bool, bool, int, int, str]]) -> list[tuple[int, int, str]]:
+    article = [x for x in found if x[0]]
+    if not article:
+        main = [x for x in found if x[1]]
+        return [(KEPT, 0, x[4]) for x in main] or [(TOKENS, x[3], x[4]) for x in found]
+    by: Counter = Counter()
+    for x in article:
+        by[x[2]] += len(x[4])
+    half = sum(by.values()) / 2
+    within = any(x[1] for x in article)
+    return [(WHOLE if x[2] and by[x[2]] < half else KEPT, x[2], x[4]) if x[0] else (TOKENS, -x[3], x[4]) for x in found if x[0] or within and x[1]]
+
 
+_UNITS = pa.list_(pa.struct([("judge", pa.int32()), ("text", pa.string())]))
+_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("open", _UNITS)])
+BREAK = "\n\n"
 
-_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("open", pa.list_(pa.string()))])
+
+def units(page: str) -> list[dict]:
+    """Blocks that follow each other in one container and are judged alike, as one text."""
+    out: list[dict] = []
+    last = None
+    for judge, container, text in blocks(page):
+        if (judge, container) == last:
+            out[-1]["text"] += BREAK + text
+        else:
+            out.append({"judge": judge, "text": text})
+            last = judge, container
+    return out
 
 
 def _parse(batches):
     for b in batches:
         texts, opens = [], []
         for page in raw(b.column(2)):
-            marked, found = blocks(page.decode())
-            texts.append("\n\n".join(found) if marked or not found else None)
-            opens.append(None if marked or not found else found)
+            found = units(page.decode())
+            sure = all(u["judge"] == KEPT for u in found)
+            texts.append(BREAK.join(u["text"] for u in found) if sure else None)
+            opens.append(None if sure else found)
         yield rows_of(_PAGE, page_id=b.column(0), url=b.column(1), text=texts, open=opens)
 
 
+def left_of(unit: str, judge: int, covered: set[int]) -> str:
+    """A unit's blocks without what is covered, the places of its tokens being counted over all of it."""
+    at, kept = 0, []
+    for block in unit.split(BREAK):
+        words = block.split(" ")
+        left = [w for i, w in enumerate(words, at) if i not in covered]
+        at += len(words)
+        if left:
+            kept.append(block if judge == WHOLE else " ".join(left))
+    return BREAK.join(kept)
+
+
 def repeated(tokens: np.ndarray, page: np.ndarray, size: int) -> np.ndarray:
     """Which tokens lie in a substring of size tokens that also starts on another page, by a suffix array.
 
@@ -250,22 +320,37 @@ def _suffixes(run: int):
     return find
 
 
+_LEFT = pa.schema([("p", pa.int64()), ("place", pa.int32()), ("kept", pa.string())])
+
+
+def _left(run: int):
+    def find(batches):
+        for b in batches:
+            kept = []
+            for judge, text, whole, covered in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                n = len(text.split())
+                kept.append(text if judge == KEPT else left_of(text, judge, {*range(n)} if whole and n >= run else {*(covered or ())}))
+            yield rows_of(_LEFT, p=b.column(0), place=b.column(1), kept=kept)
+
+    return find
+
+
 def _unique_runs(open_pages: DataFrame, run: int, shard: int) -> DataFrame:
-    """p, place, kept: what is left of each block of open_pages (p, host, open)."""
-    one = open_pages.select("p", "host", F.xxhash64("open").alias("page"), F.posexplode("open").alias("place", "block"))
-    one = store(one.withColumn("key", F.xxhash64("host", "block")), "blocks")
-    apart = one.groupBy("host", "key").agg(F.min("page").alias("page"), F.max("page").alias("other"), F.first("block").alias("block"))
+    """p, place, kept: what is left of each unit of open_pages (p, host, open)."""
+    one = open_pages.select("p", "host", F.xxhash64("open").alias("page"), F.posexplode("open").alias("place", "unit")).select("p", "host", "page", "place", "unit.judge", "unit.text")
+    one = store(one.withColumn("key", F.xxhash64("host", "text")), "units")
+    apart = one.where(F.col("judge") != KEPT).groupBy("host", "key").agg(F.min("page").alias("page"), F.max("page").alias("other"), F.first("text").alias("text"))
     apart = store(apart, "apart")
-    words = F.size(F.split("block", " "))
+    words = F.size(F.split("text", r"\s+"))
     hosts = store(apart.groupBy("host").agg(F.ceil(F.sum(words) / shard).cast("int").alias("shards")), "hosts")
-    known = apart.join(hosts, apart.host.eqNullSafe(hosts.host)).select(apart.host, "shards", "key", "page", "block")
+    known = apart.join(hosts, apart.host.eqNullSafe(hosts.host)).select(apart.host, "shards", "key", "page", "text")
     pieces = known.mapInArrow(_pieces(run), "host string, shard int, key long, page long, start int, tokens array<long>")
     cover = pieces.groupBy("host", "shard").applyInArrow(_suffixes(run), "host string, key long, covered array<int>")
     cover = store(cover.where(F.size("covered") > 0).groupBy("host", "key").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered")), "cover")
-    left = F.filter(F.split("block", " "), lambda w, i: ~F.array_contains(F.coalesce("covered", F.array().cast("array<int>")), i))
-    kept = apart.alias("a").join(cover.alias("c"), F.col("a.host").eqNullSafe(F.col("c.host")) & (F.col("a.key") == F.col("c.key")), "left")
-    kept = store(kept.select("a.host", "a.key", F.when((F.col("page") == F.col("other")) | (words < run), F.array_join(left, " ")).otherwise("").alias("kept")), "kept")
-    return one.alias("o").join(kept.alias("k"), F.col("o.host").eqNullSafe(F.col("k.host")) & (F.col("o.key") == F.col("k.key"))).select("p", "place", "kept")
+    said = apart.alias("a").join(cover.alias("c"), F.col("a.host").eqNullSafe(F.col("c.host")) & (F.col("a.key") == F.col("c.key")), "left")
+    said = store(said.select(F.col("a.key").alias("key"), (F.col("page") != F.col("other")).alias("whole"), "covered"), "said")
+    rows = one.join(said, "key", "left").select("p", "place", "judge", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "covered")
+    return rows.mapInArrow(_left(run), "p long, place int, kept string")
 
 
 def host(url: str):
@@ -276,7 +361,7 @@ def extract(pages: DataFrame, run: int = RUN, shard: int = SHARD) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    read = store(rows.mapInArrow(_parse, "page_id long, url string, text string, open array<string>"), "read")
+    read = store(rows.mapInArrow(_parse, "page_id long, url string, text string, open array<struct<judge: int, text: string>>"), "read")
     done = read.where("open is null").select("page_id", "url", "text")
     # rows alike get the same text, so they share a number
     left = read.where("open is not null").withColumn("p", F.xxhash64("page_id", "url", "open")).withColumn("host", host("url"))

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plancarta.llm import chat, components, embeddings, html, langid, lines, mixing, packing, quality, simhash, substring
 
@@ -165,6 +166,7 @@ def test_line_dedup_of_short_lines(spark):
 
 def test_line_dedup_beyond_named_partners(spark, monkeypatch):
     monkeypatch.setattr(lines, "NAMED", 2)
+    monkeypatch.setattr(lines, "TRIES", 1)
     monkeypatch.setattr(lines, "LEADERS", 3)
     monkeypatch.setattr(lines, "BLOCK", 50)
     base = [[RNG.choice(WORDS) for _ in range(RNG.randint(8, 14))] for _ in range(3)]
@@ -253,6 +255,10 @@ PAGES = [
     ("<body class='has-sidebar'><header>no</header><p>only\n\n text</p><div role=navigation>no</div></body>", "only text"),
     ("<article><header><h1>Head</h1></header><aside>no</aside><p>x &lt;b&gt; &#233; &#x41;</p></article>", "Head\n\nx <b> é A"),
     ("plain text", "plain text"),
+    ("<article class='post related-posts-enabled'><p>hi</p></article>", "hi"),
+    ("<article><p>costs <span class='share-price'>5</span> now</p><div class='share-buttons'>no</div><div class='menu-card-prices'>dish</div></article>", "costs 5 now\n\ndish"),
+    ("<main><h1>Title</h1><article><p>text of it</p></article><nav>no</nav></main>", "Title\n\ntext of it"),
+    ("<nav>no</nav><main role=main><p>a</p></main><article hidden>no</article>", "a"),
     (None, ""),
     ("", ""),
     ("<p>un<closed <p title='>'>z", "unz"),  # as HTML reads it: one tag, with attributes <p and title
@@ -281,6 +287,27 @@ def test_html_host_boilerplate(spark):
         assert notice in got[6]
 
 
+def test_html_host_boilerplate_in_articles(spark):
+    notice = "write to us and get every new text of this house by post"
+    own = lambda i: f"own{i} " + " ".join(f"w{i}x{k}" for k in range(30))
+    shared = "a passage of some ten words that two plain paragraphs share here"
+    pages = [(i, "http://a/p", f"<body><article><h1>H</h1><div class='x9-foo'><p>{notice}</p></div><p>{own(i)}</p><p>{shared}</p><div class='x9-foo'><p>alone {i} here</p></div></article><footer>f</footer></body>") for i in range(4)]
+    pages.append((9, "http://other/p", pages[0][2]))
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(4):
+        assert got[i] == f"H\n\n{own(i)}\n\n{shared}\n\nalone {i} here"
+    assert notice in got[9]
+
+
+def test_html_of_deep_pages():
+    import time
+
+    page = "<article>" + "<i>" * 20_000 + "x" + "</b>" * 20_000 + "".join(f"<div><p>{k}" for k in range(3000)) + "<li>" * 3000
+    began = time.time()
+    found = html.blocks(page)
+    assert [x for _, _, x in found][:2] == ["x", "0"] and len(found) == 3001 and time.time() - began < 10
+
+
 def test_html_shared_short_blocks_stay(spark):
     pages = [(i, "http://a/p", f"<h2>Introduction</h2><p>own{i} {' '.join(f'w{i}x{k}' for k in range(12))}</p><div>{'the same long notice on every page of it'}</div>") for i in range(3)]
     got = html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
@@ -386,16 +413,25 @@ def test_quality_counts(docs, none):
     assert quality.quality_rules(none).count() == 0
 
 
+def model_of(df, order):
+    return quality.held_model(quality.train(df, order).mapInArrow(quality._hashed, quality._ENTRY_SQL), order)
+
+
+def unknown(model):
+    at, hit = model.find(model.hashes("x", np.zeros((1, 0), np.uint32)))
+    return float(model.logs[at[0]]) if hit[0] else quality.UNKNOWN
+
+
 def test_quality_model_sums_to_one(spark):
     texts = [" ".join("".join(RNG.choice("aabc") for _ in range(RNG.randint(1, 5))) for _ in range(80)) for _ in range(6)]
     df = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string")
     for order in (1, 2, 3, 5):
-        model = quality.train(df, order)
+        model = model_of(df, order)
         for context in ("", "a", "ab", "cab"):
             # the chance of each next sign after a context is the ratio of two beginnings
             p = [math.exp(model.words("x", [f"{context}{c}".encode()])[0] - end(model, f"{context}{c}")) / math.exp(start(model, context)) for c in "abc"]
             p.append(math.exp(end(model, context)))
-            unseen = math.exp(model.unknown["x"]) if order == 1 else 0
+            unseen = math.exp(unknown(model)) if order == 1 else 0
             assert 0.97 < sum(p) + unseen <= 1 + 1e-6
 
 
@@ -418,26 +454,91 @@ def tail(model, signs):
     if hit[0]:
         return float(model.logs[at[0]])
     if len(signs) == 1:
-        return model.unknown["x"]
+        return unknown(model)
     at, hit = model.find(model.hashes("x", codes[:, :-1]))
     return (float(model.weights[at[0]]) if hit[0] else 0.0) + tail(model, signs[1:])
 
 
 def test_quality_word_scores(spark):
     texts = [prose(50) for _ in range(4)]
-    model = quality.train(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string"), 3)
+    model = model_of(spark.createDataFrame([(t, "x") for t in texts], "text string, lang string"), 3)
     for word in [*WORDS[:20], "zzz", "a", "éa"]:
         signs = quality.START + word + quality.END
         want = sum(tail(model, signs[: k + 1]) for k in range(1, len(signs)))
         assert math.isclose(model.words("x", [word.encode()])[0], want, rel_tol=1e-4, abs_tol=1e-4)
 
 
+def test_quality_bands_and_verdicts(spark):
+    rows = [(i, prose(RNG.randint(12, 60)), RNG.choice(["x", "y", None])) for i in range(60)]
+    rows += [(100 + i, " ".join(w[::-1] + "##" * (i % 4) for w in prose(20).split()), "x") for i in range(12)] + [(200, "", "x"), (201, None, "x"), (202, "short one", "y"), (203, "q " * 30, "x"), (203, "q " * 30, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = quality.judge(df, [], 3, 2.0, 0.05)
+    got = sorted(tuple(r) for r in found.select("doc_id", "kept", F.round("perplexity", 4), "base_failed").collect())
+    joined = quality.judge(df, [], 3, 2.0, 0.05, held=0)
+    assert sorted(tuple(r) for r in joined.select("doc_id", "kept", F.round("perplexity", 4), "base_failed").collect()) == got
+    hashed = quality.train(df, 3).mapInArrow(quality._hashed, quality._ENTRY_SQL)
+    model = quality.held_model(hashed, 3)
+    means = []
+    for i, text, lang in rows:
+        w = words(text)
+        n = sum(len(x) + 1 for x in w)
+        means.append(round(sum(model.words(lang or "", [x.encode() for x in w])) / n, 6) if n else None)
+
+    def middle(values):
+        return sorted(values)[(len(values) - 1) // 2]
+
+    want = []
+    for (i, text, lang), m in zip(rows, means, strict=True):
+        bins = [int(math.floor(abs(x) * 1000 + 0.5)) * (1 if x > 0 else -1) for x, r in zip(means, rows, strict=True) if x is not None and r[2] == lang]
+        ok = False
+        if m is not None:
+            mid = middle(bins)
+            side = max(2.0 * middle([abs(b - mid) for b in bins]), 50) / 1000
+            ok = mid / 1000 - side <= m <= mid / 1000 + side
+        w = words(text)
+        windows = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        repeat = {j for k in range(len(w) - 4) if windows[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)}
+        failed = len(w) < 10 or 100 * len(repeat) > 20 * len(w)
+        want.append((i, ok and not failed, None if m is None else round(math.exp(-m), 4), failed))
+    assert [(a, b, d) for a, b, _, d in got] == sorted((a, b, d) for a, b, _, d in want)
+    assert all(x[2] is None if y[2] is None else math.isclose(x[2], y[2], rel_tol=1e-3) for x, y in zip(got, sorted(want, key=str), strict=False) if x[0] == y[0])
+    assert {b for _, b, _, _ in got} == {True, False}
+
+
 def test_quality_bands_reject(spark):
     rows = [(i, prose(60), "en") for i in range(80)] + [(900, " ".join(w + "###%%%" for w in prose(60).split()), "en"), (901, " ".join("%$#" for _ in range(40)) + " " + prose(8), "en")]
     kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert sum(kept[i] for i in range(80)) >= 70 and not kept[900] and not kept[901]
 
 
+def test_packing_ids_of_odd_letters(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(packing.TOKENIZER), packing.Ids(packing.TOKENIZER)
+    rng = random.Random(5)
+    signs = ["\u0130", "\u03a3", "\u03c2", "a", "I", "'s", "'", ",", "=", "\u0338", "\u0301", "\u00df", "1", "\u0661", "\u200d", "\U0001f600", "\u01c5", "\ufb01", "\u1e9e", ".", "\u2126", "x"]
+    for text in ["\u0130,", "a\u0130.. \u0130\u0130!", *("".join(rng.choice([*signs, " "]) for _ in range(rng.randint(1, 12))) for _ in range(4000))]:
+        assert np.frombuffer(ids(text.encode(), b""), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_spreads_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a")] * 300, "doc_id long, text string")
+    rows = packing.pack(df, size=16, shard=20).collect()
+    assert len(rows) == 300 and len({r.sequence_id >> 32 for r in rows}) > 5
+
+
+def test_stages_bear_clashing_columns(spark):
+    rows = [(i, prose(30), "s", "en") for i in range(8)] + [(None, prose(30), None, None), (1, prose(30), "s", "en"), (1, prose(30), "s", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for name in ("_id", "_c", "_m", "id", "c", "m", "row", "_gone", "gone", "c0", "n_words", "kept", "fp", "component_id"):
+        df = df.withColumn(name, F.lit(1))
+    for out in (mixing.mixed_documents(df), simhash.one_of_each(df, 5, 3, 0.8), quality.kept_documents(df)):
+        assert out.columns == df.columns
+        out.collect()
+    mixed = mixing.mix(mixing.sizes(df)).agg(F.sum("copies")).first()[0]
+    assert mixing.mixed_documents(df).count() == mixed
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
