@@ -12,8 +12,8 @@ n - ceil(similarity * n) + 1 of them are sent to their token's group. Tokens tra
 are found by sorting a block.
 
 In a group, pairs must pass the length filter, the positional filter (for both the token must lie in the prefix that the
-pair's own lengths ask for, and what lies before and after it must suffice), and a bound from parities of the sets' hashed
-bits. A group names for each set the NAMED earlier partners with the fewest differing bits; in groups of over LEADERS
+pair's own lengths ask for, and what lies before and after it must suffice), and a bound from the parities of 128
+bits that the sets' words are hashed to. A group names for each set the NAMED earlier partners with the fewest differing bits; in groups of over LEADERS
 sets only the earliest LEADERS are looked at. Each set tries the TRIES nearest first, then the other named ones; sets of
 which none proves right and that had more, try all.
 Partners are proved on the whole token sets, which are read from the texts once: a table of bits of bounded size says
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import forget, id_column, mix, places_hashes, rows_of, ship, store, texts_of, word_places
 
-SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 2, 32, 4096
+SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 1, 4, 4096
 BUCKETS, CHUNK = 1 << 18, 1 << 14
 #: Rows of tokens in a block, about, and how many a map task gathers before it sends blocks on.
 BLOCK, GATHERED = 1 << 16, 1 << 20
@@ -114,14 +114,20 @@ def _keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(np.add.reduceat(mix(h + np.uint64(1)), first)).view(np.int64)
 
 
+def _parities(h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Of each set, whether each of 128 buckets holds an odd number of its words, in two numbers."""
+    bit, low = np.uint64(1) << ((h >> np.uint64(57)) & np.uint64(63)), h < np.uint64(1 << 63)
+    return [np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), first).view(np.int64) for x in (low, ~low)]
+
+
 def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     """Runs of bytes as a binary column."""
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 #: n 0: a line that goes. prefix: the tokens to send, five bytes each.
-_SET = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("bits", pa.int64()), ("prefix", pa.binary())])
-_SET_SQL = "key long, doc_id long, line int, n int, bits long, prefix binary"
+_SET = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("bits0", pa.int64()), ("bits1", pa.int64()), ("prefix", pa.binary())])
+_SET_SQL = "key long, doc_id long, line int, n int, bits0 long, bits1 long, prefix binary"
 TOKEN = 5
 
 
@@ -155,7 +161,7 @@ def _sets(ranks, similarity: float, least: float):
                 h, line = ordered(h, line, ranks.value[h & np.uint64(BUCKETS - 1)].astype(np.uint64))
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
                 n, own = np.diff(np.r_[first, len(h)]), line[first]
-                key, bits = _keys(h, first), np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), first).view(np.int64)
+                key, bits = _keys(h, first), _parities(h, first)
                 doc, place = docs[row + owner[own]].astype(np.int64), place[own]
                 order = np.lexsort((place, doc, key))
                 later, kept = (np.zeros(len(n), bool) for _ in range(2))
@@ -165,7 +171,7 @@ def _sets(ranks, similarity: float, least: float):
                 tokens = (h[use] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN]
                 # lines that go meet no others, so their key need not be the set's
                 spread = mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.view(np.uint64)).view(np.int64)
-                out = pa.RecordBatch.from_arrays([pa.array(np.where(later, spread, key)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(np.where(later, 0, n).astype(np.int32)), pa.array(np.where(later, 0, bits)), _binary(tokens, sent * TOKEN)], schema=_SET)
+                out = pa.RecordBatch.from_arrays([pa.array(np.where(later, spread, key)), pa.array(doc), pa.array(place.astype(np.int32)), pa.array(np.where(later, 0, n).astype(np.int32)), *(pa.array(np.where(later, 0, x)) for x in bits), _binary(tokens, sent * TOKEN)], schema=_SET)
                 yield out if kept.all() else out.filter(pa.array(kept))
 
     return run
@@ -183,15 +189,15 @@ def _firsts(batches):
         if len(own):
             first = np.searchsorted(key[own], key[own[-1]])
             last = last if last is not None and last[0] == key[own[-1]] else tuple(x[own[first]] for x in (key, doc, line))
-        sends = np.array(pc.binary_length(b.column(5))) > 0
+        sends = np.array(pc.binary_length(b.column(6))) > 0
         yield b.set_column(3, "n", pa.array(np.where(gone, 0, n).astype(np.int32))).filter(pa.array(use & (gone | sends)))
 
 
-_ROW = np.dtype([("token", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("asks", "?")])
+_ROW = np.dtype([("token", "<u8"), ("bits0", "<u8"), ("bits1", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<i4"), ("at", "<i4"), ("asks", "?")])
 
 
 def _blocks(blocks: int, wanted=None):
-    """Over sets (doc_id, line, n, bits, prefix, asks): a row for each token, of those that may be wanted, in blocks by the
+    """Over sets (doc_id, line, n, bits0, bits1, prefix, asks): a row for each token, of those that may be wanted, in blocks by the
     token's hash."""
 
     def sent(parts: list[np.ndarray]):
@@ -207,12 +213,11 @@ def _blocks(blocks: int, wanted=None):
     def run(batches):
         held, size = [], 0
         for b in batches:
-            tokens, sizes = _tokens_of(b.column(4))
+            tokens, sizes = _tokens_of(b.column(5))
             rows = np.zeros(len(tokens), _ROW)
             rows["token"] = tokens
-            for name, i in (("doc", 0), ("line", 1), ("n", 2), ("asks", 5)):
-                rows[name] = np.repeat(b.column(i).to_numpy(zero_copy_only=False), sizes)
-            rows["bits"] = np.repeat(b.column(3).to_numpy().view(np.uint64), sizes)
+            for name, i in (("doc", 0), ("line", 1), ("n", 2), ("bits0", 3), ("bits1", 4), ("asks", 6)):
+                rows[name] = np.repeat(b.column(i).to_numpy(zero_copy_only=False).astype(_ROW[name]), sizes)
             rows["at"] = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             if wanted is not None:
                 rows = rows[wanted.value.has(_spread(tokens))]
@@ -231,13 +236,6 @@ _PAIR = pa.schema([("doc_a", pa.int64()), ("line_a", pa.int32()), ("doc_b", pa.i
 _PAIR_SQL = "doc_a long, line_a int, doc_b long, line_b int, apart int, more boolean"
 
 
-def possible(n, at, bits, n1, at1, bits1, similarity: float):
-    """Which sets may reach the similarity with others, their lengths being near enough, if the token at their places in
-    order is the first that both have. A pair that reaches it passes at its first common token."""
-    need = np.ceil(similarity / (1 + similarity) * (n + n1) - 1e-9)
-    return (np.minimum(n - at, n1 - at1) >= need) & (np.bitwise_count(bits ^ bits1) <= n + n1 - 2 * need)
-
-
 class Rows:
     """Token rows of whole groups, by token and length."""
 
@@ -246,11 +244,20 @@ class Rows:
         fields = {name: np.ascontiguousarray(columns[at : at + kind.itemsize].T).view(kind).ravel() for name, (kind, at) in _ROW.fields.items()}
         self.short = np.minimum(fields["n"], (1 << 24) - 1).astype(np.int64)  # lengths to sort and stop by
         order = np.argsort((fields["token"] << np.uint64(24)) | self.short.astype(np.uint64), kind="stable")
-        self.token, self.bits, self.doc, self.line, n, at, self.asks = (x[order] for x in fields.values())
-        self.short, self.n, self.at = self.short[order], n.astype(np.int64), at.astype(np.int64)
+        self.token, self.bits0, self.bits1, self.doc, self.line, self.n, at, self.asks = (x[order] for x in fields.values())
+        self.short, self.rest = self.short[order], self.n - at
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.bits0[i] ^ self.bits0[j]).astype(np.int32) + np.bitwise_count(self.bits1[i] ^ self.bits1[j])
 
-    def possible(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-        return possible(self.n[i], self.at[i], self.bits[i], self.n[j], self.at[j], self.bits[j], similarity)
+    def possible(self, i: np.ndarray, j: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that may reach the similarity if their token is the first that both have: what is left from there on must
+        do, and the bits that differ must be few. A pair that reaches it passes at its first common token."""
+        both = self.n[i] + self.n[j].astype(np.int64)
+        ok = np.minimum(self.rest[i], self.rest[j]) * ((1 + similarity) / similarity) >= both - 1e-6
+        i, j, both = i[ok], j[ok], both[ok]
+        ok = self.apart(i, j) <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9)
+        return i[ok], j[ok]
 
     def partners(self, similarity: float, every: bool) -> tuple[np.ndarray, ...]:
         """i, j, apart, more: possible partners j of rows i that ask, earlier than these and in their group: all, or the
@@ -263,8 +270,7 @@ class Rows:
         while len(live):
             near = self.short[live - back] >= similarity * self.short[live] - 1e-9  # once not, nothing further back is
             live = live[near]
-            ok = self.possible(live, live - back, similarity)
-            found.append((live[ok], live[ok] - back))
+            found.append(self.possible(live, live - back, similarity))
             back += 1
             live = live[place[live] >= back]
         left = [np.zeros(0, np.int64)]
@@ -273,15 +279,14 @@ class Rows:
             asks = np.flatnonzero(self.asks[rows])
             for k in range(size - 1 if every else LEADERS):
                 i = rows[asks[np.searchsorted(asks, k, "right") :]]
-                i = i[self.possible(i, rows[k], similarity)]
-                found.append((i, np.full(len(i), rows[k])))
+                found.append(self.possible(i, np.full(len(i), rows[k]), similarity))
             left.append(rows[asks[asks > LEADERS]])
         i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
         later = (self.doc[i] > self.doc[j]) | (self.doc[i] == self.doc[j]) & (self.line[i] > self.line[j])
         i, j = np.where(later, i, j), np.where(later, j, i)
         use = self.asks[i] & ((self.doc[i] != self.doc[j]) | (self.line[i] != self.line[j]))
         i, j = i[use], j[use]
-        apart = np.bitwise_count(self.bits[i] ^ self.bits[j]).astype(np.int32)
+        apart = self.apart(i, j)
         if every:
             return i, j, apart, np.zeros(len(i), bool)
         order = np.lexsort((j, apart, i))
@@ -447,7 +452,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     blocks = max(1, -(-tokens // TOKEN // BLOCK))
 
     def found(asking: DataFrame, every: bool, wanted=None) -> DataFrame:
-        rows = asking.select("doc_id", "line", "n", "bits", "prefix", "asks").mapInArrow(_blocks(blocks, wanted), "block int, rows binary")
+        rows = asking.select("doc_id", "line", "n", "bits0", "bits1", "prefix", "asks").mapInArrow(_blocks(blocks, wanted), "block int, rows binary")
         return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(similarity, every), _PAIR_SQL)
 
     def ends(pairs: DataFrame):
@@ -455,8 +460,14 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         both = a.unionByName(b)
         return spark.sparkContext.broadcast(_wanted(both, both.count(), _line_hashes))
 
-    def whole(pairs: DataFrame) -> DataFrame:
-        return store(docs.mapInArrow(_whole(ends(pairs)), "doc_id long, line int, tokens array<long>"), "whole")
+    def whole(pairs: DataFrame, few: bool = False) -> DataFrame:
+        """The whole sets of lines in pairs; few: of so few documents that they may well fit a broadcast join."""
+        of = docs
+        if few:
+            places = [pairs.select(F.col(f"doc_{x}").alias("doc_id")) for x in "ab"]
+            own = store(places[0].unionByName(places[1]).distinct(), "own")
+            of = docs.join(own, "doc_id", "left_semi")
+        return store(of.mapInArrow(_whole(ends(pairs)), "doc_id long, line int, tokens array<long>"), "whole")
 
     def proved(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """doc_id and line of the later lines in pairs of that similarity."""
@@ -483,7 +494,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         wanted = spark.sparkContext.broadcast(_wanted(tokens, tokens.agg(F.sum(F.length("prefix"))).first()[0] // TOKEN, _token_hashes))
         pairs = store(found(asking, True, wanted).drop("apart", "more").distinct(), "pairs")
         forget(asking)
-        near = near.unionByName(proved(pairs, whole(pairs)))
+        near = near.unionByName(proved(pairs, whole(pairs, True)))
     gone = sets.where("n = 0").select("doc_id", "line").unionByName(near)
     gone = store(gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "gone", release=True)
     forget(sets, again)

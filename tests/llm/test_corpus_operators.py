@@ -89,6 +89,75 @@ def test_substring_dedup(docs, none):
     assert substring.substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize(("size", "first"), [(13, 2), (24, 3), (5, 7), (1, 1)])
+def test_substring_levels(spark, size, first):
+    assert (substring.levels(13), substring.levels(50), substring.levels(24, 3), substring.levels(1, 1)) == ([7, 13], [7, 14, 28, 50], [3, 6, 12, 24], [1])
+    base = [RNG.choice(WORDS) for _ in range(60)]
+    rows = []
+    for i in range(25):
+        a = RNG.randrange(40)
+        rows.append((i, " ".join([prose(RNG.randint(0, 12)), *base[a : a + RNG.randint(3, 60)], prose(5)])))
+    starts = {}
+    for i, t in rows:
+        w = words(t)
+        for k in range(len(w) - size + 1):
+            starts.setdefault(tuple(w[k : k + size]), i)
+    want = {}
+    for i, t in rows:
+        w = words(t)
+        want[i] = len({j for k in range(len(w) - size + 1) if starts[tuple(w[k : k + size])] < i for j in range(k, k + size)})
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.n_removed for r in substring.substring_dedup(df, size, False, first).collect()} == want
+
+
+def test_language_id_against_plain_sums(spark):
+    chars = {"one": "abcdefg", "two": "efghijk", "three": "acegik"}
+    rows = []
+    for i in range(90):
+        lang = RNG.choice([*chars])
+        rows.append((i, " ".join("".join(RNG.choice(chars[lang]) for _ in range(RNG.randint(1, 6))).title() + RNG.choice(["", ",", "1x"]) for _ in range(12)), lang))
+    rows += [(i, prose(8), None) for i in range(90, 100)] + [(100, prose(30_000), None)]
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = collections.defaultdict(collections.Counter)
+    for t, lang in learned:
+        counts[lang].update(w for token in t.split() for w in langid.words_of(token))
+    langs = sorted(counts)
+    tables = []
+    for n in range(6):
+        table = {x: collections.Counter() for x in langs}
+        for x in langs:
+            for w, c in counts[x].items():
+                for g in langid.ngrams(w, n) if n else [w]:
+                    table[x][g] += c
+        tables.append(({g for x in langs for g in table[x]}, table))
+    known = {x: sum(lang == x for _, lang in learned) for x in langs}
+
+    def log(n, g, x):
+        seen, table = tables[n]
+        return math.log((table[x][g] + 0.1) / (sum(table[x].values()) + 0.1 * (len(seen) + 1)))
+
+    def sums(text):
+        out = {x: math.log(known[x] / len(learned)) for x in langs}
+        for token in text.split():
+            for w in langid.words_of(token):
+                for n in [0, 5, 4, 3, 2, 1]:
+                    found = [g for g in (langid.ngrams(w, n) if n else [w]) if g in tables[n][0]]
+                    if found:
+                        for x in langs:
+                            out[x] += sum(log(n, g, x) for g in found) / len(found)
+                        break
+        return out
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for name in ("held_out", "n", "word", "score", "lang_pred"):
+        df = df.withColumn(name, F.lit("x"))
+    by = {r.doc_id: r for r in langid.language_id(df).collect()}
+    for i, t, _ in rows:
+        s = sums(t)
+        best = max(langs, key=lambda x: s[x])
+        assert by[i].lang_pred == best and math.isclose(by[i].score, 1 / sum(math.exp(s[x] - s[best]) for x in langs), rel_tol=1e-6, abs_tol=1e-9), i
+
+
 def test_language_id(spark, none):
     def text(chars, n):
         return " ".join("".join(RNG.choice(chars) for _ in range(RNG.randint(2, 5))) for _ in range(n))
