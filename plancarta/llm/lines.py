@@ -12,11 +12,10 @@ n - ceil(similarity * n) + 1 of them are sent to their token's group. Tokens tra
 are found by sorting a block.
 
 In a group, pairs must pass the length filter, the positional filter (for both the token must lie in the prefix that the
-pair's own lengths ask for, and what lies before and after it must suffice), and a bound from the parities of 128
-bits that the sets' words are hashed to. A group names for each set the NAMED earlier partners with the fewest differing bits; in groups of over LEADERS
-sets only the earliest LEADERS are looked at. Each set tries the TRIES nearest first, then the other named ones; sets of
-which none proves right and that had more, try all.
-Partners are proved on the whole token sets, which are read from the texts once: a table of bits of bounded size says
+pair's own lengths ask for, and what lies before and after it must suffice), and a bound from the parities of 128 bits that
+the sets' words are hashed to. A group names for each set the NAMED earlier partners with the fewest differing bits; in
+groups of over LEADERS sets only the earliest LEADERS are looked at. Each set tries the TRIES nearest first, then the
+other named ones; sets of which none proves right and that had more, try all. Partners are proved on the whole token sets, which are read from the texts once: a table of bits of bounded size says
 which lines may be wanted, and the join drops the others.
 
 Defined cases: null or empty text has one empty line; rows with a null id are returned whole and are no source for
@@ -503,7 +502,9 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
 def _joined(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """row (the columns of docs), kept (its text without the lines to remove), n_lines and n_removed."""
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(gone.withColumnRenamed("doc_id", "id"), F.col("row.doc_id").cast("long") == F.col("id"), "left")
+    # places to remove grow with the documents, so they are merged with these at every size, not sent to all executors
+    places = gone.withColumnRenamed("doc_id", "id").hint("merge")
+    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).join(places, F.col("row.doc_id").cast("long") == F.col("id"), "left")
     split = F.split(F.coalesce("row.text", F.lit("")), "\n")
     # places that a repeated id's other rows have, and this text doesn't, remove nothing
     there = F.filter(F.coalesce("gone", F.array().cast("array<int>")), lambda i: i < F.size("lines"))
