@@ -1,10 +1,11 @@
 """Substring dedup by level-wise doubling.
 
 A passage is removed where it repeats: a word goes if a window of `size` consecutive words that covers it also starts in
-a document with a smaller id. Level 1 looks at half windows of (size + 1) // 2 words. Of the half windows inside each
-full window, only the one with the smallest hash stands for it (two equal full windows choose the same), so about a
-quarter of the positions are counted. Level 2 extends the half windows that repeat across documents, and no others, to
-twice that length less the shared middle word, which is `size`. Longer windows are made of these and can't cover
+a document with a smaller id. The first level looks at windows of about `first` words: `size` halved, rounding up, until it
+is no more than that. A window that repeats across documents, and no other, is extended to twice its length for the next
+level, and so on until no candidate survives or the length is `size` (7 and 13 for 13, or 7, 14, 28 and 50 for 50). Of the
+shorter windows inside each full window, only the one with the smallest hash stands for it (two equal full windows choose
+the same), so about a quarter of the positions are counted. Windows beyond `size` are made of these and can't cover
 another word, so no candidate goes on from there.
 
 Hashes meet in one shuffle each. Before it, a map task settles what its own batch shows: that a seed repeats, or that a
@@ -18,6 +19,7 @@ don't remove each other's words; an empty table gives no rows; other columns are
 from __future__ import annotations
 
 import hashlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +27,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, id_column, mix, raw, rows_of, ship, store, word_hashes
+from .common import forget, grams, id_column, mix, raw, rows_of, ship, store, word_hashes
 
-SIZE = 13
+SIZE, FIRST = 13, 7
 
 
-def _seeds(h: np.ndarray, size: int) -> np.ndarray:
-    """For each full window the hash of the half window that stands for it."""
-    half = (size + 1) // 2
-    g, n = grams(h, half), len(h) - size + 1
+def levels(size: int, first: int = FIRST) -> list[int]:
+    """Lengths of windows, each twice the one before but for the last, which is size."""
+    out = [size]
+    while out[0] > first:
+        out[0] = (out[0] + 1) // 2
+    while out[-1] < size:
+        out.append(min(2 * out[-1], size))
+    return out
+
+
+def _seeds(h: np.ndarray, size: int, length: int) -> np.ndarray:
+    """For each full window the hash of the window of length that stands for it."""
+    g, n = grams(h, length), len(h) - size + 1
     m = g[:n].copy()
-    for j in range(1, size - half + 1):
+    for j in range(1, size - length + 1):
         np.minimum(m, g[j : j + n], out=m)
     return m
 
 
+def _going_on(h: np.ndarray, size: int, length: int | None, found: pa.Scalar | None) -> np.ndarray:
+    """Places of the full windows whose window of length is one of those found to repeat; all where there is no length."""
+    if length is None:
+        return np.arange(len(h) - size + 1)
+    return np.flatnonzero(np.isin(_seeds(h, size, length).view(np.int64), found.values.to_numpy(zero_copy_only=False)))
+
+
 def _windows(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """96 bits of each full window: 64 and 32."""
     return grams(h, size, 1).view(np.int64), grams(h, size, 2).astype(np.uint32).view(np.int32)
@@ -75,17 +93,17 @@ def _tag(text: bytes) -> int:
     return (xxhash.xxh3_64_intdigest(text) & 0x7F) << 48
 
 
-def _seed_rows(size: int):
-    """Seeds of documents. Those of several documents of a batch are known to repeat; one row tells other batches."""
+def _seed_rows(size: int, length: int, before: int | None):
+    """Windows of length of rows (doc_id, text, and seeds, those of the length before that repeat). Those of several documents of a batch are known to repeat; one row tells other batches."""
 
     def run(batches):
         memo = word_hashes()
         for b in batches:
             seeds, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
+            for i, text, found in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2) if before else repeat(None), strict=False):
                 _, h = _hashes(text, memo)
                 if len(h) >= size:
-                    seeds.append(np.unique(_seeds(h, size)))
+                    seeds.append(np.unique(_seeds(h, size, length)[_going_on(h, size, before, found)]))
                     ids.append(np.full(len(seeds[-1]), i, np.int64))
             seed, doc = np.concatenate(seeds).view(np.int64), np.concatenate(ids)
             order = np.argsort(seed, kind="stable")
@@ -126,17 +144,17 @@ def _repeated_seeds(batches):
         yield found(*held)
 
 
-def _window_rows(size: int):
-    """Windows whose seed repeats. In a batch, only the smallest document must ask for a smaller one."""
+def _window_rows(size: int, before: int | None):
+    """Full windows of rows (doc_id, text, seeds) whose seed repeats. In a batch, only the smallest document must ask for a smaller one."""
 
     def run(batches):
         memo = word_hashes()
         for b in batches:
             parts = []
-            for i, text, found in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2), strict=True):
+            for i, text, found in zip(b.column(0).to_pylist(), raw(b.column(1)), b.column(2) if before else repeat(None), strict=False):
                 _, h = _hashes(text, memo)
                 if len(h) >= size:
-                    at = np.flatnonzero(np.isin(_seeds(h, size).view(np.int64), found.values.to_numpy(zero_copy_only=False)))
+                    at = _going_on(h, size, before, found)
                     x, y = _windows(h, size)
                     parts.append((x[at], y[at], np.full(len(at), i, np.int64), at + _tag(text)))
             w, v, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, k) for k in (np.int64, np.int32, np.int64, np.int64))
@@ -198,15 +216,22 @@ def _kept(size: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = True, first: int = FIRST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text of each row of docs (doc_id, text)."""
     ship(docs.sparkSession)
     # an id that is a long already is read as it is, so that both joins' plans are alike
     docs = docs.select("doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else id_column(docs, "doc_id").alias("doc_id"), "text")
     known, null = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    seeds = known.mapInArrow(_seed_rows(size), "key long, doc_id long, seed long, state int").repartition("key").sortWithinPartitions("key")
-    found = store(seeds.mapInArrow(_repeated_seeds, "doc_id long, seed long").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "seeds")
-    windows = known.join(found, "doc_id").mapInArrow(_window_rows(size), "key long, v int, doc_id long, at long, known boolean")
+    rows, before, found = known, None, None
+    for length in levels(size, first)[:-1]:
+        seeds = rows.mapInArrow(_seed_rows(size, length, before), "key long, doc_id long, seed long, state int").repartition("key").sortWithinPartitions("key")
+        last, found = found, store(seeds.mapInArrow(_repeated_seeds, "doc_id long, seed long").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "seeds")
+        if last is not None:
+            forget(last)
+        rows, before = known.join(found, "doc_id"), length
+        if found.limit(1).count() == 0:
+            break
+    windows = rows.mapInArrow(_window_rows(size, before), "key long, v int, doc_id long, at long, known boolean")
     later = windows.repartition("key").sortWithinPartitions("key", "v", "doc_id").mapInArrow(_later, "doc_id long, at long")
     cover = later.groupBy("doc_id").agg(F.collect_set("at").alias("found"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
