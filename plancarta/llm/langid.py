@@ -1,8 +1,8 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 Training reads labelled rows: all where a language has at most `sample_docs` of them, else about that many, chosen by a
-hash of the id. Spark counts their words per language; the `vocabulary` most frequent words of each language, and the
-n-grams of these words, make the model, so its size is bounded by parameters. A word of the model adds the logarithm of
+hash of the id; this sample is the model's only bound. Spark counts its words per language, and these words with all their
+n-grams make the model. A word of the model adds the logarithm of
 its smoothed relative frequency in each language. Any other word adds, for the longest n (5 down to 1) of which the model
 knows an n-gram of the word, the mean over these n-grams. The language with the highest sum, its share of labelled rows
 included, wins; equal sums go to the first code.
@@ -23,9 +23,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, id_column, raw, rows_of, ship, store
+from .common import MEMO_ENTRIES, id_column, raw, rows_of, ship
 
-SAMPLE_DOCS, VOCABULARY, LONGEST = 4000, 30_000, 5
+SAMPLE_DOCS, LONGEST = 1000, 5
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -152,7 +152,7 @@ def _predict(model):
     return run
 
 
-def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
+def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of rows (doc_id, text, lang)."""
     ship(labelled.sparkSession)
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
@@ -160,10 +160,10 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: int =
         return Model([], [], [])
     share = F.coalesce(*[F.when(F.col("lang") == x, min(1.0, sample_docs / n)) for x, n in sizes.items()])
     at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    counts = store(labelled.where(at < share).select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counts = labelled.where(at < share).select("lang", "text").mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     langs, total = sorted(sizes), sum(sizes.values())
-    top = [counts.where(F.col("lang") == x).orderBy(F.desc("n"), "word").limit(vocabulary) for x in langs]
-    rows = [tuple(r) for t in top for r in t.collect()]
+    found = counts.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])  # bounded by the sample
+    rows = [*zip(*(found[c].to_pylist() for c in ("lang", "word", "n")), strict=True)]
     return Model(langs, [math.log(sizes[x] / total) for x in langs], rows)
 
 
