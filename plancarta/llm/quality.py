@@ -2,14 +2,15 @@
 
 The model is an interpolated modified Kneser-Ney model of the characters of words (white-space tokens between two
 boundary signs), of orders 1 to `order`, one per language. Spark counts it over all documents: map tasks count words,
-then the n-grams of distinct words, and the sums meet in an aggregate. Discounts, continuation counts and the weights of
-contexts are DataFrame aggregates too. The finished table, hashes of (language, n-gram) sorted with log probability and
-back-off weight beside them, goes to the executors as arrays. Its size follows the distinct n-grams of the languages,
-not the documents; where it would exceed MODEL_ROWS entries, the order is lowered until it fits, and the arrays
-still cover all documents. Since a word's probability does not depend on its neighbours, each distinct word is scored
-once per task, by binary search in the arrays.
-
-A text's score is its log probability divided by its letters and words, so that signs and digits cost but don't count. A language's band is its median plus and minus `width` times
+then the n-grams of distinct words, and the sums meet in an aggregate. Discounts, continuation counts, probabilities and
+the weights of contexts are DataFrame aggregates and joins too, so nothing of the model but its finished entries can reach
+the driver. Entries are hashes of (language, n-gram) with log probability and back-off weight. Where there are at most
+`held` of them (16 bytes each), they go to the executors as sorted arrays; since a word's probability does not depend on
+its neighbours, each distinct word is scored once per task, by binary search. Where there are more, distinct words are
+scored by a join with the entries instead: the model, the order and the scores are the same at every size.
+
+A text's score is its log probability divided by its letters and words, so that other signs cost but don't count: the
+perplexity is per letter and word end. (Divided by all signs, texts full of signs score like prose: see the README.) A language's band is its median plus and minus `width` times
 the median distance from it, over all texts with a word, and at least `least` each side; texts outside are rejected.
 
 Defined cases: null or empty text has no words, fails the base rules, and has no score; null lang counts as a language
@@ -34,11 +35,13 @@ from pyspark.sql import types as T
 from .common import MEMO_ENTRIES, grams, id_column, raw, rows_of, ship, store, word_hashes
 
 ORDER, WIDTH, LEAST = 5, 8.0, 0.2
-MODEL_ROWS = 4_000_000
+HELD = 8_000_000
 MIN_WORDS, REPEATS, REPEAT_WORDS = 10, 20, 5
 START, END = "\x02", "\x03"
 #: Distinct words a map task gathers before it sends on what it has.
 GATHERED = 300_000
+#: Log probability of a character where there is no model at all.
+UNKNOWN = -10.0
 #: Discounts where counts of counts are too few to estimate them.
 USUAL = 0.5, 1.0, 1.5
 
@@ -124,10 +127,12 @@ def _orders(top: DataFrame, order: int) -> dict[int, DataFrame]:
 
 
 class KneserNey:
-    """Sorted hashes of language and n-gram, with log probability and the log weight of the n-gram as a context."""
+    """Sorted hashes of language and n-gram, with log probability and the log weight of the n-gram as a context. The n-gram
+    of order 0 has the log probability of an unknown character."""
 
-    def __init__(self, keys: np.ndarray, logs: np.ndarray, weights: np.ndarray, unknown: dict[str, float], order: int):
-        self.keys, self.logs, self.weights, self.unknown, self.order = keys, logs, weights, unknown, order
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, weights: np.ndarray, order: int):
+        sort = np.argsort(keys, kind="stable")
+        self.keys, self.logs, self.weights, self.order = keys[sort], logs[sort], weights[sort], order
 
     @staticmethod
     def hashes(lang: str, codes: np.ndarray) -> np.ndarray:
@@ -150,6 +155,8 @@ class KneserNey:
         codes, lengths = _codes(words)
         if not len(codes):
             return np.zeros(0)
+        at, known = self.find(self.hashes(lang, np.zeros((1, 0), np.uint32)))
+        unknown = float(self.logs[at[0]]) if known[0] else UNKNOWN
         begins = np.repeat(np.cumsum(lengths) - lengths, lengths)
         here = np.arange(len(codes)) - begins  # characters before, START included
         log, weight = np.zeros(len(codes)), np.zeros(len(codes))
@@ -157,56 +164,59 @@ class KneserNey:
         for n in range(self.order, 0, -1):
             use = todo[here[todo] >= n - 1]
             rest = todo[here[todo] < n - 1]
+            window = np.lib.stride_tricks.sliding_window_view(codes, n)[use - n + 1] if len(use) else np.zeros((0, n), np.uint32)
+            at, hit = self.find(self.hashes(lang, window))
+            log[use[hit]] = self.logs[at[hit]] + weight[use[hit]]
+            left = use[~hit]
             if n > 1:
-                window = np.lib.stride_tricks.sliding_window_view(codes, n)[use - n + 1] if len(use) else np.zeros((0, n), np.uint32)
-                at, hit = self.find(self.hashes(lang, window))
-                log[use[hit]] = self.logs[at[hit]] + weight[use[hit]]
-                left = ~hit
-                at, known = self.find(self.hashes(lang, window[left][:, :-1]))
-                weight[use[left]] += np.where(known, self.weights[at], 0) if len(self.keys) else 0
-                todo = np.concatenate([rest, use[left]])
+                at, known = self.find(self.hashes(lang, window[~hit][:, :-1]))
+                weight[left[known]] += self.weights[at[known]]
             else:
-                at, hit = self.find(self.hashes(lang, codes[use][:, None]))
-                log[use] = np.where(hit, self.logs[at], self.unknown.get(lang, -10.0)) + weight[use] if len(self.keys) else -10.0
+                log[left] = unknown + weight[left]
+            todo = np.concatenate([rest, left])
         return np.add.reduceat(log, np.cumsum(lengths) - lengths)
 
 
-def _discounts(rows: list) -> dict[tuple, tuple[float, float, float]]:
-    """Modified Kneser-Ney discounts by (lang, order) from counts of counts; where those are too few, their usual size."""
-    by: dict[tuple, dict[int, int]] = defaultdict(dict)
-    for r in rows:
-        by[r.lang, r.k][r.n] = r.c
-    out = {}
-    for key, c in by.items():
-        n1, n2, n3, n4 = (c.get(i, 0) for i in range(1, 5))
-        if n1 and n2 and n3:
-            y = n1 / (n1 + 2 * n2)
-            d = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-            out[key] = tuple(min(max(x, 0.1), i + 0.9) for i, x in enumerate(d))
-        else:
-            out[key] = USUAL
-    return out
+def _discounts(every: DataFrame) -> DataFrame:
+    """lang, k, d1, d2, d3: modified Kneser-Ney discounts from counts of counts; where those are too few, the usual ones."""
+    n = every.groupBy("lang", "k").agg(*[F.count_if(F.col("n") == i).alias(f"c{i}") for i in range(1, 5)])
+    y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+    enough = (F.col("c1") > 0) & (F.col("c2") > 0) & (F.col("c3") > 0)
+    said = [i - (i + 1) * y * F.try_divide(F.col(f"c{i + 1}"), F.col(f"c{i}")) for i in range(1, 4)]
+    return n.select("lang", "k", *[F.when(enough, F.least(F.greatest(d, F.lit(0.1)), F.lit(i + 0.9))).otherwise(USUAL[i]).alias(f"d{i + 1}") for i, d in enumerate(said)])
 
 
-def train(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> KneserNey:
-    """The model of all rows of docs (text, lang)."""
+def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Entries (lang, k, gram, log, weight) of the model of all rows of docs (text, lang)."""
     ship(docs.sparkSession)
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     top = store(docs.select(lang, "text").mapInArrow(_count(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    while True:
-        every = store(_all(_orders(top, order)), "orders")
-        if order == 1 or every.count() <= model_rows:
-            break
-        # shorter: the counts of the next lower order follow from these
-        end = top.where(F.length("gram") == order).groupBy("lang", F.substring("gram", 2, order - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        top = top.where(F.length("gram") < order).unionByName(end).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        order -= 1
-    kind = F.least("n", F.lit(5))
-    found = _discounts(every.groupBy("lang", "k", kind.alias("n")).agg(F.count("*").alias("c")).where("n < 5").collect())
-    context = F.expr("substring(gram, 1, k - 1)")
-    sums = every.groupBy("lang", "k", context.alias("context")).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
-    table = store(every.withColumn("context", context).join(sums, ["lang", "k", "context"]).select("lang", "k", "gram", *[F.col(c).cast("double").alias(c) for c in ("n", "total", "n1", "n2", "n3")]), "table")
-    return _arrays(lambda k: table.where(F.col("k") == k).drop("k").toArrow(), found, order)
+    every = store(_all(_orders(top, order)), "orders")
+    context = F.expr("substring(gram, 1, k - 1)").alias("context")
+    sums = every.groupBy("lang", "k", context).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
+    discounts = F.broadcast(_discounts(every))  # a row for each language and order
+    gamma = F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")
+    sums = store(sums.join(discounts, ["lang", "k"]).withColumn("gamma", gamma / F.col("total")).drop("n1", "n2", "n3"), "sums")
+    first = sums.where("k = 1").join(every.where("k = 1").groupBy("lang").agg(F.count("*").alias("v")), "lang")
+    unknown = store(first.select("lang", (F.col("gamma") / (F.col("v") + 1)).alias("u")), "unknown")
+    less = F.col("n") - F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    out, lower = unknown.select("lang", F.lit(0).alias("k"), F.lit("").alias("gram"), F.col("u").alias("p")), None
+    # START is never guessed, but its weight as a context needs a place
+    out = out.unionByName(unknown.select("lang", F.lit(1).alias("k"), F.lit(START).alias("gram"), F.lit(0.0).alias("p")))
+    for k in range(1, order + 1):
+        rows = every.where(F.col("k") == k).withColumn("context", context).join(sums.where(F.col("k") == k).drop("k"), ["lang", "context"])
+        if lower is None:
+            rows = rows.join(F.broadcast(unknown), "lang").withColumn("below", F.col("u"))
+        else:
+            suffix = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            rows = rows.withColumn("suffix", F.substring("gram", 2, k - 1)).join(suffix, ["lang", "suffix"], "left").join(F.broadcast(unknown), "lang")
+            rows = rows.withColumn("below", F.col("gamma") * F.coalesce("q", "u"))
+        lower = store(rows.select("lang", "k", "gram", (F.greatest(less, F.lit(0.0)) / F.col("total") + F.col("below")).alias("p")), "order")
+        out = out.unionByName(lower)
+    weights = sums.where("k > 1").select("lang", (F.col("k") - 1).alias("k"), F.col("context").alias("gram"), "gamma")
+    least = F.lit(1e-300)
+    entries = out.join(weights, ["lang", "k", "gram"], "left")
+    return store(entries.select("lang", "k", "gram", F.log(F.greatest("p", least)).cast("float").alias("log"), F.coalesce(F.log(F.greatest("gamma", least)), F.lit(0.0)).cast("float").alias("weight")), "entries")
 
 
 def _all(orders: dict[int, DataFrame]) -> DataFrame:
@@ -220,50 +230,34 @@ def _all(orders: dict[int, DataFrame]) -> DataFrame:
 def _codes_of(grams: pa.Array, k: int) -> np.ndarray:
     """Code points of n-grams of one order, a row each, without an object for each."""
     grams = grams.cast(pa.large_string())
-    if not len(grams):
-        return np.zeros((0, k), np.uint32)
+    if not len(grams) or not k:
+        return np.zeros((len(grams), k), np.uint32)
     _, offsets, data = grams.buffers()
     ends = np.frombuffer(offsets, np.int64)[grams.offset : grams.offset + len(grams) + 1]
     text = memoryview(data)[int(ends[0]) : int(ends[-1])].tobytes().decode()
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, k)
 
 
-def _arrays(counted, discounts: dict, order: int) -> KneserNey:
-    """Probabilities of the counted n-grams, shorter ones first, as sorted arrays. counted(k): the table of an order."""
-    model = KneserNey(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), {}, order)
-    unknown: dict[str, float] = {}
-    for k in range(1, order + 1):
-        table = counted(k)
-        keys, probs, contexts, gammas = [model.keys], [np.exp(model.logs)], [], []
-        for lang in sorted(pc.unique(table["lang"]).to_pylist()):
-            part = table.filter(pc.equal(table["lang"], lang))
-            codes = _codes_of(part["gram"].combine_chunks(), k)
-            n, total, *tails = (part[c].to_numpy() for c in ("n", "total", "n1", "n2", "n3"))
-            d = np.array(discounts.get((lang, k), USUAL))
-            gamma = d @ np.stack(tails) / total
-            if k == 1:
-                lower = np.full(len(n), 1 / (len(n) + 1))
-                unknown[lang] = float(np.log(gamma[0] * lower[0]))
-                # START is never guessed, but its weight as a context needs a place
-                keys.append(KneserNey.hashes(lang, np.array([[ord(START)]], np.uint32)))
-                probs.append(np.zeros(1))
-            else:
-                at, hit = model.find(KneserNey.hashes(lang, codes[:, 1:]))
-                lower = np.where(hit, np.exp(model.logs[at]), np.exp(unknown[lang]))
-                contexts.append(KneserNey.hashes(lang, codes[:, :-1]))
-                gammas.append(gamma)
-            keys.append(KneserNey.hashes(lang, codes))
-            probs.append(np.maximum(n - d[np.minimum(n, 3).astype(int) - 1], 0) / total + gamma * lower)
-        del table
-        key, p = np.concatenate(keys), np.concatenate(probs)
-        w = np.concatenate([model.weights, np.zeros(len(key) - len(model.keys))])
-        sort = np.argsort(key, kind="stable")
-        model = KneserNey(key[sort], np.log(np.maximum(p[sort], 1e-300)), w[sort], unknown, order)
-        if contexts:
-            at, hit = model.find(np.concatenate(contexts))
-            model.weights[at[hit]] = np.log(np.maximum(np.concatenate(gammas)[hit], 1e-300))
-    model.logs, model.weights = model.logs.astype(np.float32), model.weights.astype(np.float32)
-    return model
+_ENTRY = pa.schema([("key", pa.int64()), ("log", pa.float32()), ("weight", pa.float32())])
+_ENTRY_SQL = "key long, log float, weight float"
+
+
+def _hashed(batches):
+    """Entries by the hash of their language and n-gram."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        for k in pc.unique(t["k"]).to_pylist():
+            of = t.filter(pc.equal(t["k"], k))
+            for lang in pc.unique(of["lang"]).to_pylist():
+                part = of.filter(pc.equal(of["lang"], lang)).combine_chunks()
+                key = KneserNey.hashes(lang, _codes_of(part["gram"].combine_chunks(), k)).view(np.int64)
+                yield rows_of(_ENTRY, key=key, log=part["log"].combine_chunks(), weight=part["weight"].combine_chunks())
+
+
+def held_model(hashed: DataFrame, order: int) -> KneserNey:
+    """The model as sorted arrays, of rows _ENTRY whose number has been checked."""
+    t = hashed.toArrow()
+    return KneserNey(t["key"].to_numpy().view(np.uint64), t["log"].to_numpy(), t["weight"].to_numpy(), order)
 
 
 _SCORE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(x, pa.int64()) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_scored")], ("log_prob", pa.float64())])
@@ -290,9 +284,9 @@ def repeat_words(h: np.ndarray, size: int = REPEAT_WORDS) -> int:
 
 
 class Scorer:
-    """Sums words' log probabilities; remembers those of (lang, word)."""
+    """Sums words' log probabilities; remembers those of (lang, word). Without a model, it counts what is to be summed."""
 
-    def __init__(self, model: KneserNey):
+    def __init__(self, model: KneserNey | None):
         self.model = model
         self._reset()
 
@@ -307,7 +301,7 @@ class Scorer:
             if new := [*(words - self.at[lang].keys())]:
                 old = len(self.logs)
                 self.at[lang].update(zip(new, range(old, old + len(new)), strict=True))
-                self.logs = np.concatenate([self.logs, self.model.words(lang, new)])
+                self.logs = np.concatenate([self.logs, self.model.words(lang, new) if self.model else np.zeros(len(new))])
                 self.lengths = np.concatenate([self.lengths, _lengths(new)])
 
     def __call__(self, lang: str, words: list[bytes]) -> tuple[int, float]:
@@ -319,7 +313,7 @@ def _score(model):
     """Scores of rows (doc_id, lang, text, and others to carry along)."""
 
     def run(batches):
-        score, memo = Scorer(model.value), word_hashes()
+        score, memo = Scorer(model and model.value), word_hashes()
         for whole in batches:
             for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
                 out: dict[str, list] = {f.name: [] for f in _SCORE}
@@ -344,6 +338,54 @@ def _score(model):
     return run
 
 
+_WORD = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("c", pa.int64())])
+_ASK = pa.schema([("lang", pa.string()), ("word", pa.string()), ("at", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("before", pa.int64())])
+
+
+def _words(batches):
+    """Distinct words of rows (id, lang, text), with their number."""
+    for b in batches:
+        out: dict[str, list] = {f.name: [] for f in _WORD}
+        for i, lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), raw(b.column(2)), strict=True):
+            for w, c in Counter(_tokens(text)).items():
+                for name, v in zip(out, (i, lang, w.decode(), c), strict=True):
+                    out[name].append(v)
+        yield rows_of(_WORD, **out)
+
+
+def _asked(order: int):
+    """For each character of words (lang, word) after START, and END, the n-grams that end there and their contexts."""
+
+    def run(batches):
+        for b in batches:
+            for lang, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                codes, _ = _codes([word.encode()])
+                out: dict[str, list] = {f.name: [] for f in _ASK}
+                for n in range(1, order + 1):
+                    if len(codes) >= max(n, 2):
+                        window = np.lib.stride_tricks.sliding_window_view(codes, n)[1 if n == 1 else 0 :]
+                        values = np.full(len(window), lang), np.full(len(window), word), np.arange(len(codes) - len(window), len(codes)), np.full(len(window), n), KneserNey.hashes(lang, window).view(np.int64), KneserNey.hashes(lang, window[:, :-1]).view(np.int64)
+                        for name, v in zip(out, values, strict=True):
+                            out[name] += v.tolist()
+                yield rows_of(_ASK, **out)
+
+    return run
+
+
+def joined_scores(rows: DataFrame, hashed: DataFrame, order: int) -> DataFrame:
+    """id and log_prob of rows (id, lang, text) by a join of their distinct words with the model's entries."""
+    words = store(rows.dropDuplicates(["id"]).mapInArrow(_words, "id long, lang string, word string, c long"), "words")
+    asks = words.select("lang", "word").distinct().mapInArrow(_asked(order), "lang string, word string, at int, n int, key long, before long")
+    grams, contexts = hashed.select("key", "log"), hashed.select(F.col("key").alias("before"), "weight")
+    found = asks.join(grams, "key", "left").join(contexts, "before", "left")
+    by = found.groupBy("lang", "word", "at").agg(F.max(F.when(F.col("log").isNotNull(), F.struct("n", F.col("log").cast("double").alias("log")))).alias("hit"), F.collect_list(F.struct("n", F.col("weight").cast("double").alias("w"))).alias("steps"), F.max_by("before", -F.col("n")).alias("unigram"))
+    below = hashed.select(F.col("key").alias("unigram"), F.col("log").cast("double").alias("u"))
+    paid = F.aggregate(F.filter("steps", lambda s: (s.n > F.coalesce("hit.n", F.lit(0))) & (s.n > 1) & s.w.isNotNull()), F.lit(0.0), lambda a, s: a + s.w)
+    each = by.join(below, "unigram", "left").select("lang", "word", (F.coalesce("hit.log", "u", F.lit(UNKNOWN)) + paid).alias("log"))
+    scored = each.groupBy("lang", "word").agg(F.sum("log").alias("log"))
+    return words.join(scored, ["lang", "word"]).groupBy("id").agg(F.sum(F.col("log") * F.col("c")).alias("log_prob"))
+
+
 def _middle(rows: DataFrame, x: str) -> DataFrame:
     """Weighted median by language over bins (lang, x, n)."""
     w = Window.partitionBy("lang").orderBy(x)
@@ -362,15 +404,23 @@ def bands(scores: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
     return store(mid.join(spread, "lang").select("lang", (F.col("middle") / 1000 - side).alias("low"), (F.col("middle") / 1000 + side).alias("high")), "bands")
 
 
-def judge(docs: DataFrame, carried: list[str], order: int, width: float, least: float) -> DataFrame:
+def judge(docs: DataFrame, carried: list[str], order: int, width: float, least: float, held: int = HELD) -> DataFrame:
     """Scores of docs (doc_id, text, lang) with base_failed, kept and perplexity, and the columns to carry as c0, c1, ..."""
     spark = docs.sparkSession
     rows = docs.select(id_column(docs, "doc_id").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
-    model = spark.sparkContext.broadcast(train(rows, order))
+    hashed = store(train(rows, order).mapInArrow(_hashed, _ENTRY_SQL), "model")
     schema = T.StructType([*T.StructType.fromDDL(_SCORE_SQL), *rows.schema[3:]])
-    scores = store(rows.mapInArrow(_score(model), schema), "scores")
+    if hashed.count() <= held:
+        scores = rows.mapInArrow(_score(spark.sparkContext.broadcast(held_model(hashed, order))), schema)
+    else:
+        # equal texts of a language have equal scores, so a hash of both tells whose words they are
+        known = F.xxhash64("lang", "text").alias("id")
+        logs = joined_scores(rows.select(known, "lang", "text").where("text is not null"), hashed, order)
+        counted = rows.select("doc_id", "lang", "text", *rows.columns[3:], known).mapInArrow(_score(None), T.StructType([*schema, T.StructField("id", T.LongType())]))
+        scores = counted.drop("log_prob").join(logs, "id", "left").withColumn("log_prob", F.coalesce("log_prob", F.lit(0.0))).select(*schema.names)
+    scores = store(scores, "scores")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATS * F.col("n_words"))
-    mean = F.when(F.col("n_scored") > 0, F.col("log_prob") / F.col("n_scored"))
+    mean = F.when(F.col("n_scored") > 0, F.round(F.col("log_prob") / F.col("n_scored"), 6))
     inside = F.coalesce(mean.between(F.col("low"), F.col("high")), F.lit(False))
     out = scores.join(bands(scores, width, least), "lang", "left")
     return out.select("*", failed.alias("base_failed"), (~failed & inside).alias("kept"), F.exp(-mean).alias("perplexity"))
