@@ -32,14 +32,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import MEMO_ENTRIES, grams, id_column, raw, rows_of, ship, store, word_hashes
+from .common import SPACE, grams, id_column, places_hashes, raw, rows_of, ship, store, texts_of, word_places
 
 ORDER, WIDTH, LEAST = 5, 8.0, 0.2
 HELD = 8_000_000
 MIN_WORDS, REPEATS, REPEAT_WORDS = 10, 20, 5
 START, END = "\x02", "\x03"
-#: Distinct words a map task gathers before it sends on what it has.
-GATHERED = 300_000
+#: Distinct words of a language that a map task gathers before it sends on what it has, and words whose scores it remembers.
+GATHERED, REMEMBERED = 200_000, 400_000
+#: Bytes of text that are worked on at once, about.
+CHUNK = 1 << 22
 #: Log probability of a character where there is no model at all.
 UNKNOWN = -10.0
 #: Discounts where counts of counts are too few to estimate them.
@@ -98,6 +100,36 @@ def _tokens(text: bytes) -> list[bytes]:
     return text.translate(None, b"\x02\x03").split()
 
 
+def _without_signs(column: pa.Array) -> pa.Array:
+    """Texts as the model reads them: neither START nor END is in them."""
+    return pa.array([x.translate(None, b"\x02\x03") for x in raw(column)], pa.large_binary())
+
+
+class Words:
+    """The distinct words of some texts of each language, as hashes and their places, with every word's own."""
+
+    def __init__(self, data: np.ndarray, ends: np.ndarray, langs: list[str]):
+        self.data, (self.begin, self.end) = data, word_places(data, ends)
+        first = np.searchsorted(self.begin, ends)
+        self.of = np.repeat(np.arange(len(langs)), np.diff(first))
+        self.hashes = places_hashes(data, self.begin, self.end)
+        names, self.lang = np.unique(np.array(langs, object), return_inverse=True) if langs else (np.zeros(0, object), np.zeros(0, int))
+        self.names = names.tolist()
+
+    def by_lang(self):
+        """Language, places of its words, distinct hashes, a place of each, and each word's own among them."""
+        lang = self.lang[self.of]
+        for k, name in enumerate(self.names):
+            at = np.flatnonzero(lang == k) if len(self.names) > 1 else np.arange(len(lang))
+            if len(at):
+                distinct, one, own = np.unique(self.hashes[at], return_index=True, return_inverse=True)
+                yield name, at, distinct, at[one], own
+
+    def bytes_at(self, places: np.ndarray) -> list[bytes]:
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.begin[places].tolist(), self.end[places].tolist(), strict=True)]
+
+
 def _count(order: int):
     def sent(words: Counter, lang):
         found = _word_grams([*words], np.fromiter(words.values(), np.int64, len(words)), order)
@@ -106,10 +138,15 @@ def _count(order: int):
     def run(batches):
         by: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
-                by[lang].update(_tokens(text))
-                if len(by[lang]) >= GATHERED:
-                    yield sent(by.pop(lang), lang)
+            langs = b.column(0).to_pylist()
+            for row, data, ends in texts_of(_without_signs(b.column(1)), CHUNK):
+                words = Words(data, ends, langs[row : row + len(ends) - 1])
+                for lang, _, _, one, own in words.by_lang():
+                    count = by[lang]
+                    for w, n in zip(words.bytes_at(one), np.bincount(own).tolist(), strict=True):
+                        count[w] += n
+                    if len(count) >= GATHERED:
+                        yield sent(by.pop(lang), lang)
         for lang, words in by.items():
             yield sent(words, lang)
 
@@ -284,56 +321,76 @@ def repeat_words(h: np.ndarray, size: int = REPEAT_WORDS) -> int:
 
 
 class Scorer:
-    """Sums words' log probabilities; remembers those of (lang, word). Without a model, it counts what is to be summed."""
+    """Log probabilities and lengths of words; remembers those of each language by hash. Without a model it has lengths."""
 
     def __init__(self, model: KneserNey | None):
         self.model = model
-        self._reset()
-
-    def _reset(self):
-        self.at: dict[str, dict[bytes, int]] = defaultdict(dict)
-        self.logs, self.lengths = np.zeros(0), np.zeros(0, np.int64)
-
-    def learn(self, by: dict[str, set[bytes]]) -> None:
-        if len(self.logs) > MEMO_ENTRIES:
-            self._reset()
-        for lang, words in by.items():
-            if new := [*(words - self.at[lang].keys())]:
-                old = len(self.logs)
-                self.at[lang].update(zip(new, range(old, old + len(new)), strict=True))
-                self.logs = np.concatenate([self.logs, self.model.words(lang, new) if self.model else np.zeros(len(new))])
-                self.lengths = np.concatenate([self.lengths, _lengths(new)])
-
-    def __call__(self, lang: str, words: list[bytes]) -> tuple[int, float]:
-        at = np.fromiter(map(self.at[lang].__getitem__, words), np.int64, len(words))
-        return int(self.lengths[at].sum()), float(self.logs[at].sum())
-
-
-def _score(model):
-    """Scores of rows (doc_id, lang, text, and others to carry along)."""
+        self.known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def __call__(self, lang: str, hashes: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted hashes; words(places) gives the words at some of them."""
+        none = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
+        known, logs, lengths = self.known.get(lang, none)
+        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
+        new = known[at] != hashes if len(known) else np.ones(len(hashes), bool)
+        if new.any():
+            fresh = words(np.flatnonzero(new))
+            own = self.model.words(lang, fresh) if self.model else np.zeros(len(fresh))
+            if len(known) + len(fresh) > REMEMBERED:
+                # what this text run needs stays, the rest is learned again
+                known, logs, lengths = known[at[~new]], logs[at[~new]], lengths[at[~new]]
+            known = np.concatenate([known, hashes[new]])
+            order = np.argsort(known, kind="stable")
+            known, logs, lengths = known[order], np.concatenate([logs, own])[order], np.concatenate([lengths, _lengths(fresh)])[order]
+            self.known[lang] = known, logs, lengths
+            at = np.searchsorted(known, hashes)
+        return logs[at], lengths[at]
+
+
+def _sums(score: Scorer, data: np.ndarray, ends: np.ndarray, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts without START and END: letters and words, and the log probability."""
+    words = Words(data, ends, langs)
+    n, log = np.zeros(len(langs), np.int64), np.zeros(len(langs))
+    for lang, at, distinct, one, own in words.by_lang():
+        logs, lengths = score(lang, distinct, lambda k, one=one: words.bytes_at(one[k]))
+        n += np.bincount(words.of[at], lengths[own], len(langs)).astype(np.int64)
+        log += np.bincount(words.of[at], logs[own], len(langs))
+    return n, log
+
+
+#: Whether a byte is a sign that is counted, and whether it begins a character of a word.
+_SIGN = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+_STARTS = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
+
+
+def _dup_lines(text: bytes) -> int:
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    return len(lines) - len({*lines})
+
+
+def _score(model, carried: int):
+    """Scores of rows (doc_id, lang, text, and others), with the columns from `carried` on."""
 
     def run(batches):
-        score, memo = Scorer(model and model.value), word_hashes()
-        for whole in batches:
-            for b in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
-                out: dict[str, list] = {f.name: [] for f in _SCORE}
-                langs, texts = b.column(1).to_pylist(), raw(b.column(2))
-                tokens = [_tokens(t) for t in texts]
-                by: dict[str, set[bytes]] = defaultdict(set)
-                for lang, words in zip(langs, tokens, strict=True):
-                    by[lang].update(words)
-                score.learn(by)
-                for i, lang, text, known in zip(b.column(0).to_pylist(), langs, texts, tokens, strict=True):
-                    words = text.split()
-                    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                    lines = [x for x in text.split(b"\n") if x.strip()]
-                    n, log = score(lang, known)
-                    spaces = len(text) - sum(map(len, words))
-                    values = (i, lang, len(words), len(text.decode()) - spaces, len(text) - len(text.translate(None, b"#*$%&|<>")), len(lines) - len({*lines}), repeat_words(h), n, log)
-                    for name, v in zip(out, values, strict=True):
-                        out[name].append(v)
-                scores = rows_of(_SCORE, **out)
-                yield pa.RecordBatch.from_arrays([*scores.columns, *b.columns[3:]], [*scores.schema.names, *b.schema.names[3:]])
+        score = Scorer(model and model.value)
+        for b in batches:
+            langs, ids = b.column(1).to_pylist(), b.column(0)
+            for row, data, ends in texts_of(b.column(2), CHUNK):
+                size = len(ends) - 1
+                part = b.slice(row, size)
+                begin, end = word_places(data, ends)
+                h = places_hashes(data, begin, end)
+                first = np.searchsorted(begin, ends)
+                per = lambda on: np.diff(np.r_[0, np.cumsum(on[: ends[-1]])][ends])
+                clean = texts_of(_without_signs(part.column(2)), 1 << 62) if np.isin(data, (2, 3)).any() else [(0, data, ends)]
+                n, log = next(_sums(score, d, e, langs[row : row + size]) for _, d, e in clean)
+                whole = data.tobytes()
+                scores = rows_of(
+                    _SCORE, doc_id=ids.slice(row, size), lang=langs[row : row + size], n_words=np.diff(first), word_chars=per(_STARTS[data]), n_symbols=per(_SIGN[data]),
+                    n_dup_lines=[_dup_lines(whole[x:y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)],
+                    n_repeat_words=[repeat_words(h[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], n_scored=n, log_prob=log,
+                )
+                yield pa.RecordBatch.from_arrays([*scores.columns, *part.columns[carried:]], [*scores.schema.names, *part.schema.names[carried:]])
 
     return run
 
@@ -405,18 +462,21 @@ def bands(scores: DataFrame, width: float = WIDTH, least: float = LEAST) -> Data
 
 
 def judge(docs: DataFrame, carried: list[str], order: int, width: float, least: float, held: int = HELD) -> DataFrame:
-    """Scores of docs (doc_id, text, lang) with base_failed, kept and perplexity, and the columns to carry as c0, c1, ..."""
+    """Scores of docs (doc_id, text, lang) with base_failed, kept and perplexity, and the columns to carry: text as it is,
+    others by their place among those to carry as c0, c1, ..."""
     spark = docs.sparkSession
-    rows = docs.select(id_column(docs, "doc_id").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text", *[F.col(c).alias(f"c{i}") for i, c in enumerate(carried)])
+    others = [F.col(c).alias(f"c{i}") for i, c in enumerate(carried) if c != "text"]
+    rows = docs.select(id_column(docs, "doc_id").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), "text", *others)
     hashed = store(train(rows, order).mapInArrow(_hashed, _ENTRY_SQL), "model")
-    schema = T.StructType([*T.StructType.fromDDL(_SCORE_SQL), *rows.schema[3:]])
+    begin = 2 if "text" in carried else 3
+    schema = T.StructType([*T.StructType.fromDDL(_SCORE_SQL), *rows.schema[begin:]])
     if hashed.count() <= held:
-        scores = rows.mapInArrow(_score(spark.sparkContext.broadcast(held_model(hashed, order))), schema)
+        scores = rows.mapInArrow(_score(spark.sparkContext.broadcast(held_model(hashed, order)), begin), schema)
     else:
         # equal texts of a language have equal scores, so a hash of both tells whose words they are
         known = F.xxhash64("lang", "text").alias("id")
         logs = joined_scores(rows.select(known, "lang", "text").where("text is not null"), hashed, order)
-        counted = rows.select("doc_id", "lang", "text", *rows.columns[3:], known).mapInArrow(_score(None), T.StructType([*schema, T.StructField("id", T.LongType())]))
+        counted = rows.select("*", known).mapInArrow(_score(None, begin), T.StructType([*schema, T.StructField("id", T.LongType())]))
         scores = counted.drop("log_prob").join(logs, "id", "left").withColumn("log_prob", F.coalesce("log_prob", F.lit(0.0))).select(*schema.names)
     scores = store(scores, "scores")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEATS * F.col("n_words"))
@@ -434,4 +494,4 @@ def quality_rules(docs: DataFrame, order: int = ORDER, width: float = WIDTH, lea
 def kept_documents(docs: DataFrame, order: int = ORDER, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """The rows of docs (doc_id, text, lang and others) that the rules keep, whole."""
     judged = judge(docs, docs.columns, order, width, least).where("kept")
-    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return judged.select(*[F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -308,13 +308,13 @@ def test_chat_layouts(spark):
         ({"instruction": "q", "input": "", "output": "a"}, "q", "a"),
         ({"question": "q", "answer": "a"}, "q", "a"),
     ]
-    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)] + [(90, None), (91, "{"), (92, '{"odd": 1}'), (93, '{"messages": []}')], "id long, payload string")
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)] + [(90, None), (91, "{"), (92, '{"odd": 1}'), (93, '{"messages": []}'), (94, '{"messages": [{"role": "user", "content": "q"}, 5]}'), (95, '{"messages": null}'), (96, '{"messages": 5}'), (97, '{"messages": [{"role": "user", "content": "q"}, null]}')], "id long, payload string")
     got = {r.id: r for r in chat.chat_format(df).collect()}
     for i, (_, q, a) in enumerate(records):
         assert [(t.role, t.text) for t in got[i].turns] == [("user", q), ("assistant", a)]
         s = got[i].loss_spans[0]
         assert got[i].formatted[s.start : s.end] == a
-    assert [got[i].turns for i in (90, 91, 92)] == [None] * 3 and got[93].formatted == ""
+    assert [got[i].turns for i in (90, 91, 92, 94, 96, 97)] == [None] * 6 and got[93].formatted == got[95].formatted == ""
     assert got[4].fingerprint == got[5].fingerprint != got[0].fingerprint
 
 
