@@ -37,13 +37,18 @@ def _get(path: str) -> str:
     return f"try_variant_get(payload, '$.{path}', 'string')"
 
 
+def _none(path: str) -> str:
+    """No turns of a list that is empty or null; null turns where it holds what no layout describes."""
+    return f"case when is_variant_null(try_variant_get(payload, '$.{path}', 'variant')) or size(try_variant_get(payload, '$.{path}', 'array<variant>')) = 0 then array() end"
+
+
 #: Layouts: the field paths that make the fingerprint, and SQL for the turns. Roles' other names are in ROLES.
 MAPPINGS: list[tuple[tuple[str, ...], str]] = [
     (("messages[].content", "messages[].role"), _each("messages", "role", "content")),
     (("messages[].role", "messages[].text"), _each("messages", "role", "text")),
     (("conversations[].from", "conversations[].value"), _each("conversations", "from", "value")),
-    (("messages",), "array()"),
-    (("conversations",), "array()"),
+    (("messages",), _none("messages")),
+    (("conversations",), _none("conversations")),
     (("prompt", "response"), _turns(("user", _get("prompt")), ("assistant", _get("response")))),
     (("completion", "prompt"), _turns(("user", _get("prompt")), ("assistant", _get("completion")))),
     (("prompt", "response", "system"), _turns(("system", _get("system")), ("user", _get("prompt")), ("assistant", _get("response")))),
