@@ -39,7 +39,7 @@ HELD = 8_000_000
 MIN_WORDS, REPEATS, REPEAT_WORDS = 10, 20, 5
 START, END = "\x02", "\x03"
 #: Distinct words of a language that a map task gathers before it sends on what it has, and words whose scores it remembers.
-GATHERED, REMEMBERED = 200_000, 400_000
+GATHERED, REMEMBERED = 150_000, 400_000
 #: Bytes of text that are worked on at once, about.
 CHUNK = 1 << 22
 #: Log probability of a character where there is no model at all.
@@ -70,13 +70,20 @@ def _lengths(words: list[bytes]) -> np.ndarray:
     return np.add.reduceat(_letters()[codes].astype(np.int64), np.cumsum(lengths) - lengths) + 1
 
 
-def _word_grams(words: list[bytes], counts: np.ndarray, order: int) -> dict[str, int]:
-    """Counts of the order-grams of words, and of shorter ones that begin with START, which nothing can precede."""
+def _strings(codes: np.ndarray) -> pa.Array:
+    """Rows of code points as strings, without an object for each."""
+    size = (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)).sum(axis=1)
+    data = np.ascontiguousarray(codes).tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.string(), len(codes), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(data)])
+
+
+def _word_grams(words: list[bytes], counts: np.ndarray, order: int):
+    """Strings and counts of the order-grams of words, and of shorter ones that begin with START, which nothing can precede:
+    a pair for each length."""
     codes, lengths = _codes(words)
     ends = np.repeat(np.cumsum(lengths), lengths)
     weight, at = np.repeat(counts, lengths), np.arange(len(codes))
     first = codes == ord(START)
-    out: dict[str, int] = {}
     for n in range(min(2, order), order + 1):
         ok = at + n <= ends
         if n < order:
@@ -84,16 +91,12 @@ def _word_grams(words: list[bytes], counts: np.ndarray, order: int) -> dict[str,
         if n == 1:
             ok &= ~first  # START is given, never guessed
         i = np.flatnonzero(ok)
-        g = np.lib.stride_tricks.sliding_window_view(codes, n)[i] if len(i) else np.zeros((0, n), np.uint32)
         key = np.zeros(len(i), np.uint64)
         for k in range(n):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + g[:, k] + np.uint64(1)
+            key = key * np.uint64(0x9E3779B97F4A7C15) + codes[i + k] + np.uint64(1)
             key ^= key >> np.uint64(29)
         _, one, back = np.unique(key, return_index=True, return_inverse=True)
-        total = np.bincount(back, weight[i], len(one)).astype(np.int64)
-        text = np.ascontiguousarray(g[one]).tobytes().decode("utf-32-le")
-        out.update(zip((text[j * n : j * n + n] for j in range(len(one))), total.tolist(), strict=True))
-    return out
+        yield _strings(codes[i[one][:, None] + np.arange(n)]), np.bincount(back, weight[i], len(one)).astype(np.int64)
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -132,23 +135,18 @@ class Words:
 
 def _count(order: int):
     def sent(words: Counter, lang):
-        found = _word_grams([*words], np.fromiter(words.values(), np.int64, len(words)), order)
-        return rows_of(_GRAM, lang=[lang] * len(found), gram=[*found], n=[*found.values()])
+        for grams, n in _word_grams([*words], np.fromiter(words.values(), np.int64, len(words)), order):
+            yield rows_of(_GRAM, lang=pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang])).cast(pa.string()), gram=grams, n=n)
 
     def run(batches):
         by: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
-            langs = b.column(0).to_pylist()
-            for row, data, ends in texts_of(_without_signs(b.column(1)), CHUNK):
-                words = Words(data, ends, langs[row : row + len(ends) - 1])
-                for lang, _, _, one, own in words.by_lang():
-                    count = by[lang]
-                    for w, n in zip(words.bytes_at(one), np.bincount(own).tolist(), strict=True):
-                        count[w] += n
-                    if len(count) >= GATHERED:
-                        yield sent(by.pop(lang), lang)
+            for lang, text in zip(b.column(0).to_pylist(), raw(b.column(1)), strict=True):
+                by[lang].update(_tokens(text))
+                if len(by[lang]) >= GATHERED:
+                    yield from sent(by.pop(lang), lang)
         for lang, words in by.items():
-            yield sent(words, lang)
+            yield from sent(words, lang)
 
     return run
 
@@ -170,6 +168,7 @@ class KneserNey:
     def __init__(self, keys: np.ndarray, logs: np.ndarray, weights: np.ndarray, order: int):
         sort = np.argsort(keys, kind="stable")
         self.keys, self.logs, self.weights, self.order = keys[sort], logs[sort], weights[sort], order
+        self.scorer: Scorer | None = None
 
     @staticmethod
     def hashes(lang: str, codes: np.ndarray) -> np.ndarray:
@@ -325,6 +324,8 @@ class Scorer:
 
     def __init__(self, model: KneserNey | None):
         self.model = model
+        if model:
+            model.scorer = self
         self.known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
     def __call__(self, lang: str, hashes: np.ndarray, words) -> tuple[np.ndarray, np.ndarray]:
@@ -372,7 +373,8 @@ def _score(model, carried: int):
     """Scores of rows (doc_id, lang, text, and others), with the columns from `carried` on."""
 
     def run(batches):
-        score = Scorer(model and model.value)
+        # a worker serves many tasks, so what it remembers stays with the model
+        score = (model.value.scorer or Scorer(model.value)) if model else Scorer(None)
         for b in batches:
             langs, ids = b.column(1).to_pylist(), b.column(0)
             for row, data, ends in texts_of(b.column(2), CHUNK):
