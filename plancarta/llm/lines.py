@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import forget, id_column, mix, places_hashes, rows_of, ship, store, texts_of, word_places
 
-SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 1, 4, 4096
+SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 1, 4, 1024
 BUCKETS, CHUNK = 1 << 18, 1 << 14
 #: Rows of tokens in a block, about, and how many a map task gathers before it sends blocks on.
 BLOCK, GATHERED = 1 << 16, 1 << 20
+#: Pairs of rows that are held before those that won't be named are let go.
+HELD = 1 << 20
 #: The table of wanted lines has 2 ** WANTED bits at most, whatever the input.
 WANTED = 26
 
@@ -258,71 +260,101 @@ class Rows:
         ok = self.apart(i, j) <= both - 2 * np.ceil(similarity / (1 + similarity) * both - 1e-9)
         return i[ok], j[ok]
 
-    def partners(self, similarity: float, every: bool) -> tuple[np.ndarray, ...]:
-        """i, j, apart, more: possible partners j of rows i that ask, earlier than these and in their group: all, or the
-        NAMED with the fewest differing bits, and whether there may be more; j -1: none, but there may be more."""
+    def _met(self, similarity: float, every: bool):
+        """Pairs of rows of a group that may reach the similarity, a run at a time. In groups of over LEADERS rows each row
+        meets only the earliest of them, unless every row is to be met."""
         begin = np.flatnonzero(np.r_[True, self.token[1:] != self.token[:-1]])
         sizes = np.diff(np.r_[begin, len(self.token)])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         place = np.arange(len(self.token)) - np.repeat(begin, sizes)
         live, back = np.flatnonzero((place > 0) & np.repeat(sizes <= LEADERS, sizes)), 1
         while len(live):
             near = self.short[live - back] >= similarity * self.short[live] - 1e-9  # once not, nothing further back is
             live = live[near]
-            found.append(self.possible(live, live - back, similarity))
+            yield self.possible(live, live - back, similarity)
             back += 1
             live = live[place[live] >= back]
-        left = [np.zeros(0, np.int64)]
         for a, size in zip(begin[sizes > LEADERS], sizes[sizes > LEADERS], strict=True):
             rows = a + np.lexsort((self.line[a : a + size], self.doc[a : a + size]))
             asks = np.flatnonzero(self.asks[rows])
+            if not every:
+                self.more[rows[asks[asks > LEADERS]]] = True
             for k in range(size - 1 if every else LEADERS):
                 i = rows[asks[np.searchsorted(asks, k, "right") :]]
-                found.append(self.possible(i, np.full(len(i), rows[k]), similarity))
-            left.append(rows[asks[asks > LEADERS]])
-        i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
-        later = (self.doc[i] > self.doc[j]) | (self.doc[i] == self.doc[j]) & (self.line[i] > self.line[j])
-        i, j = np.where(later, i, j), np.where(later, j, i)
-        use = self.asks[i] & ((self.doc[i] != self.doc[j]) | (self.line[i] != self.line[j]))
-        i, j = i[use], j[use]
-        apart = self.apart(i, j)
-        if every:
-            return i, j, apart, np.zeros(len(i), bool)
-        order = np.lexsort((j, apart, i))
-        i, j, apart = i[order], j[order], apart[order]
+                if not len(i):
+                    break
+                yield self.possible(i, np.full(len(i), rows[k]), similarity)
+
+    def _named(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of later and earlier rows the NAMED with the fewest differing bits of each later row."""
+        order = np.lexsort((j, self.apart(i, j), i))
+        i, j = i[order], j[order]
         first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[first, len(i)])
-        use = np.arange(len(i)) - np.repeat(first, count) < NAMED
-        rest = np.concatenate(left)
-        return np.r_[i[use], rest], np.r_[j[use], np.full(len(rest), -1)], np.r_[apart[use], np.zeros(len(rest), np.int32)], np.r_[np.repeat(count > NAMED, count)[use], np.ones(len(rest), bool)]
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+        self.more[i[rank >= NAMED]] = True
+        return i[rank < NAMED], j[rank < NAMED]
+
+    def partners(self, similarity: float, every: bool):
+        """Runs of i, j: possible partners j of rows i that ask, earlier than these and in their group. Without every, one
+        run with the NAMED partners of each; self.more then says which rows may have more, and these are in it with
+        themselves as partner, too."""
+        self.more = np.zeros(len(self.token), bool)
+        none = np.zeros(0, np.int64)
+        i, j, held, size = none, none, [], 0
+
+        def oriented():
+            a, b = (np.concatenate([none, *x]) for x in (zip(*held, strict=True) if held else ((), ())))
+            later = (self.doc[a] > self.doc[b]) | (self.doc[a] == self.doc[b]) & (self.line[a] > self.line[b])
+            a, b = np.where(later, a, b), np.where(later, b, a)
+            use = self.asks[a] & ((self.doc[a] != self.doc[b]) | (self.line[a] != self.line[b]))
+            return a[use], b[use]
+
+        for pair in self._met(similarity, every):
+            held.append(pair)
+            size += len(pair[0])
+            if size > HELD:
+                a, b = oriented()
+                held, size = [], 0
+                if every:
+                    yield a, b
+                else:
+                    i, j = self._named(np.r_[i, a], np.r_[j, b])
+        a, b = oriented()
+        if every:
+            yield a, b
+        else:
+            i, j = self._named(np.r_[i, a], np.r_[j, b])
+            rest = np.flatnonzero(self.more)
+            yield np.r_[i, rest], np.r_[j, rest]
 
 
 def _pairs(similarity: float, every: bool):
     """Over blocks in order: possible partners before each set that asks."""
 
-    def pairs(parts: list[bytes]) -> pa.RecordBatch:
+    def pairs(parts: list[bytes]):
         rows = Rows(parts)
-        i, j, apart, more = rows.partners(similarity, every)
-        columns = [rows.doc[i], rows.line[i], np.where(j < 0, 0, rows.doc[j]), np.where(j < 0, -1, rows.line[j])]
-        # a pair that meets at several tokens of the block is named once
-        order = np.lexsort((~more, *columns))
-        columns = [x[order] for x in columns]
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
-        doc_a, line_a, doc_b, line_b = (x[new] for x in columns)
-        return rows_of(_PAIR, doc_a=doc_a, line_a=line_a, doc_b=doc_b, line_b=pa.array(line_b, mask=line_b < 0), apart=apart[order][new], more=more[order][new])
+        for i, j in rows.partners(similarity, every):
+            apart, more = rows.apart(i, j), rows.more[i]
+            none = i == j
+            columns = [rows.doc[i], rows.line[i], np.where(none, 0, rows.doc[j]), np.where(none, -1, rows.line[j])]
+            # a pair that meets at several tokens of the block is named once
+            order = np.lexsort((~more, *columns))
+            columns = [x[order] for x in columns]
+            new = np.ones(len(order), bool)
+            new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+            doc_a, line_a, doc_b, line_b = (x[new] for x in columns)
+            yield rows_of(_PAIR, doc_a=doc_a, line_a=line_a, doc_b=doc_b, line_b=pa.array(line_b, mask=line_b < 0), apart=apart[order][new], more=more[order][new])
 
     def run(batches):
         block, held = None, []
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if k != block and held:
-                    yield pairs(held)
+                    yield from pairs(held)
                     held = []
                 block = k
                 held.append(x)
         if held:
-            yield pairs(held)
+            yield from pairs(held)
 
     return run
 

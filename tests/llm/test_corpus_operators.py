@@ -238,6 +238,7 @@ def test_line_dedup_beyond_named_partners(spark, monkeypatch):
     monkeypatch.setattr(lines, "NAMED", 2)
     monkeypatch.setattr(lines, "TRIES", 1)
     monkeypatch.setattr(lines, "LEADERS", 3)
+    monkeypatch.setattr(lines, "HELD", 20)
     monkeypatch.setattr(lines, "BLOCK", 50)
     base = [[RNG.choice(WORDS) for _ in range(RNG.randint(8, 14))] for _ in range(3)]
     rows = []

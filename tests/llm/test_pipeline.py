@@ -93,3 +93,29 @@ def test_names():
     for n in range(1, 11):
         assert len([x for x in names if x.startswith(f"op{n}_")]) == 1
     assert "pipeline" in names
+
+
+def test_each_stage_on_odd_rows(spark):
+    import corpus_pipeline
+
+    long = "\n".join(prose(25) for _ in range(60))
+    rows = [(i, "\n".join(prose(20) for _ in range(3)), "en", f"s{i % 2}") for i in range(20)]
+    rows += [(None, prose(40), None, None), (None, "", "en", "s0"), (30, None, "en", "s1"), (31, "", None, None), (32, long, "fr", "s1"), (33, rows[2][1], "en", "s0"), (33, rows[2][1], "en", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names = ["n_words", "gone", "row", "id", "key", "fp", "band", "c", "m", "i", "copies", "shard", "group", "kept", "lines", "_gone", "n_lines"]
+    for name in names:
+        docs = docs.withColumn(name, docs["source"])
+    docs = store(docs.repartition(3), "odd")
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        got = out.collect()
+        counts[name] = len(got)
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert all(r[n] == r.source for r in got for n in names)
+            by = {(r.doc_id, r.source) for r in got}
+            assert by <= {(r[0], r[3]) for r in rows}
+        assert stage(spark, docs.where("false"), "").count() == 0
+    assert counts["line dedup"] == len(rows) and counts["packing"] >= len(rows)
+    assert counts["SimHash near-dedup"] == len(rows) - 3  # the copies and the second of the empty texts that have an id
