@@ -225,7 +225,7 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, with_text: bool = True, f
     rows, before, found = known, None, None
     for length in levels(size, first)[:-1]:
         seeds = rows.mapInArrow(_seed_rows(size, length, before), "key long, doc_id long, seed long, state int").repartition("key").sortWithinPartitions("key")
-        last, found = found, store(seeds.mapInArrow(_repeated_seeds, "doc_id long, seed long").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "seeds")
+        last, found = found, store(seeds.mapInArrow(_repeated_seeds, "doc_id long, seed long").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "seeds", release=True)
         if last is not None:
             forget(last)
         rows, before = known.join(found, "doc_id"), length
