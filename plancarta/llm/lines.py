@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, id_column, mix, places_hashes, rows_of, ship, store, texts_of, word_places
+from .common import forget, id_column, mix, places_hashes, rows_of, ship, store, texts_of, tidied, word_places
 
 SIMILARITY, TRIES, NAMED, LEADERS = 0.8, 1, 4, 1024
 BUCKETS, CHUNK = 1 << 18, 1 << 14
@@ -204,7 +204,7 @@ def _blocks(blocks: int, wanted=None):
     def sent(parts: list[np.ndarray]):
         rows = np.concatenate(parts)
         to = (rows["token"] % np.uint64(blocks)).astype(np.int32)
-        order = np.argsort(to, kind="stable")
+        order = np.argsort(to)
         rows, to = rows[order], to[order]
         begin = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
         # columns of bytes, so that those that are all alike take no room
@@ -244,7 +244,7 @@ class Rows:
         columns = np.concatenate([np.frombuffer(x, np.uint8).reshape(_ROW.itemsize, -1) for x in parts], axis=1)
         fields = {name: np.ascontiguousarray(columns[at : at + kind.itemsize].T).view(kind).ravel() for name, (kind, at) in _ROW.fields.items()}
         self.short = np.minimum(fields["n"], (1 << 24) - 1).astype(np.int64)  # lengths to sort and stop by
-        order = np.argsort((fields["token"] << np.uint64(24)) | self.short.astype(np.uint64), kind="stable")
+        order = np.argsort((fields["token"] << np.uint64(24)) | self.short.astype(np.uint64))
         self.token, self.bits0, self.bits1, self.doc, self.line, self.n, at, self.asks = (x[order] for x in fields.values())
         self.short, self.rest = self.short[order], self.n - at
 
@@ -476,15 +476,15 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), "text").where("doc_id is not null")
     ranks = spark.sparkContext.broadcast(rarity(docs))
     least = similarity / (1 - similarity) if similarity < 1 else math.inf  # n of n + 1 words must be similar
-    lines = docs.mapInArrow(_sets(ranks, similarity, least), _SET_SQL).repartition("key").sortWithinPartitions("key", "doc_id", "line")
-    sets = store(lines.mapInArrow(_firsts, _SET_SQL), "sets", release=True)
+    lines = docs.mapInArrow(tidied(_sets(ranks, similarity, least)), _SET_SQL).repartition("key").sortWithinPartitions("key", "doc_id", "line")
+    sets = store(lines.mapInArrow(tidied(_firsts), _SET_SQL), "sets", release=True)
     sending = sets.where("n > 0")
     tokens = sending.agg(F.sum(F.length("prefix"))).first()[0] or 0
     blocks = max(1, -(-tokens // TOKEN // BLOCK))
 
     def found(asking: DataFrame, every: bool, wanted=None) -> DataFrame:
-        rows = asking.select("doc_id", "line", "n", "bits0", "bits1", "prefix", "asks").mapInArrow(_blocks(blocks, wanted), "block int, rows binary")
-        return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_pairs(similarity, every), _PAIR_SQL)
+        rows = asking.select("doc_id", "line", "n", "bits0", "bits1", "prefix", "asks").mapInArrow(tidied(_blocks(blocks, wanted)), "block int, rows binary")
+        return rows.repartition("block").sortWithinPartitions("block").mapInArrow(tidied(_pairs(similarity, every)), _PAIR_SQL)
 
     def ends(pairs: DataFrame):
         a, b = (pairs.select(F.col(f"doc_{x}").alias("doc_id"), F.col(f"line_{x}").alias("line")) for x in "ab")
@@ -498,7 +498,7 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
             places = [pairs.select(F.col(f"doc_{x}").alias("doc_id")) for x in "ab"]
             own = store(places[0].unionByName(places[1]).distinct(), "own")
             of = docs.join(own, "doc_id", "left_semi")
-        return store(of.mapInArrow(_whole(ends(pairs)), "doc_id long, line int, tokens array<long>"), "whole")
+        return store(of.mapInArrow(tidied(_whole(ends(pairs))), "doc_id long, line int, tokens array<long>"), "whole")
 
     def proved(pairs: DataFrame, of: DataFrame) -> DataFrame:
         """doc_id and line of the later lines in pairs of that similarity."""

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_column, raw, rows_of, ship, store
+from .common import id_column, raw, rows_of, ship, store, tidied
 
 SIZE, END = 4096, 2
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, size: int = SIZE, tokenizer: str = TOKENIZER, end: int
     """A row for each piece of docs (doc_id, text): where its ids begin in the document and in which window they lie."""
     ship(docs.sparkSession)
     docs = docs.select(id_column(docs, "doc_id").alias("doc_id"), "text")
-    pieces = store(docs.mapInArrow(_pieces(tokenizer, size, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
+    pieces = store(docs.mapInArrow(tidied(_pieces(tokenizer, size, end)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     shards = max(1, -(-pieces.count() // shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(_pack(size), _OUT)

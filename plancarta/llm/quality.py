@@ -32,16 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, grams, id_column, places_hashes, raw, rows_of, ship, store, texts_of, word_places
+from .common import SPACE, grams, id_column, places_hashes, raw, rows_of, ship, store, texts_of, tidied, word_places
 
 ORDER, WIDTH, LEAST = 5, 8.0, 0.2
 HELD = 8_000_000
 MIN_WORDS, REPEATS, REPEAT_WORDS = 10, 20, 5
 START, END = "\x02", "\x03"
 #: Distinct words of a language that a map task gathers before it sends on what it has, and words whose scores it remembers.
-GATHERED, REMEMBERED = 150_000, 400_000
-#: Bytes of text that are worked on at once, about.
-CHUNK = 1 << 22
+GATHERED, REMEMBERED = 100_000, 200_000
 #: Log probability of a character where there is no model at all.
 UNKNOWN = -10.0
 #: Discounts where counts of counts are too few to estimate them.
@@ -226,7 +224,7 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Entries (lang, k, gram, log, weight) of the model of all rows of docs (text, lang)."""
     ship(docs.sparkSession)
     lang = F.coalesce("lang", F.lit("")).alias("lang")
-    top = store(docs.select(lang, "text").mapInArrow(_count(order), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    top = store(docs.select(lang, "text").mapInArrow(tidied(_count(order)), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     every = store(_all(_orders(top, order)), "orders")
     context = F.expr("substring(gram, 1, k - 1)").alias("context")
     sums = every.groupBy("lang", "k", context).agg(F.sum("n").alias("total"), *[F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2)], F.count_if(F.col("n") > 2).alias("n3"))
@@ -377,7 +375,7 @@ def _score(model, carried: int):
         score = (model.value.scorer or Scorer(model.value)) if model else Scorer(None)
         for b in batches:
             langs, ids = b.column(1).to_pylist(), b.column(0)
-            for row, data, ends in texts_of(b.column(2), CHUNK):
+            for row, data, ends in texts_of(b.column(2)):
                 size = len(ends) - 1
                 part = b.slice(row, size)
                 begin, end = word_places(data, ends)
@@ -473,7 +471,7 @@ def judge(docs: DataFrame, carried: list[str], order: int, width: float, least:
     begin = 2 if "text" in carried else 3
     schema = T.StructType([*T.StructType.fromDDL(_SCORE_SQL), *rows.schema[begin:]])
     if hashed.count() <= held:
-        scores = rows.mapInArrow(_score(spark.sparkContext.broadcast(held_model(hashed, order)), begin), schema)
+        scores = rows.mapInArrow(tidied(_score(spark.sparkContext.broadcast(held_model(hashed, order)), begin)), schema)
     else:
         # equal texts of a language have equal scores, so a hash of both tells whose words they are
         known = F.xxhash64("lang", "text").alias("id")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import factors, grams, id_column, mix, raw, rows_of, ship, store, word_hashes
+from .common import factors, grams, id_column, mix, raw, rows_of, ship, store, tidied, word_hashes
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -286,7 +286,7 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, si
     if similarity is None:
         prints = store(docs.mapInArrow(_prints(words), "doc_id long, fp long"), "prints")
     else:
-        signed = store(docs.mapInArrow(_signed(words), "doc_id long, fp long, key long, n int, bands array<long>"), "signed")
+        signed = store(docs.mapInArrow(tidied(_signed(words)), "doc_id long, fp long, key long, n int, bands array<long>"), "signed")
         prints = signed.select("doc_id", "fp")
     vertices = store(prints.groupBy("fp").agg(F.min("doc_id").alias("lo")), "vertices")
     # vertices sort as unsigned or signed alike: roots only name a group
