@@ -62,6 +62,36 @@ def object_url(url: Column) -> Column:
     return F.when(url.rlike(s3), found(part(s3, 1), part(s3, 2), none)).when(url.rlike(hosted), found(part(hosted, 1), part(hosted, 3), part(hosted, 2))).when(url.rlike(path), found(part(path, 2), part(path, 3), part(path, 1)))
 
 
+#: Rows of a map from a CDN's hosts to buckets.
+CDN = "map<string, struct<bucket: string, region: string, key_prefix: string>>"
+
+
+def cdn_map(text: Column) -> Column:
+    """A JSON map from hosts to bucket, region and key prefix; missing or malformed JSON gives an empty one."""
+    return F.coalesce(F.from_json(text, CDN), F.create_map().cast(CDN))
+
+
+def cdn_object(url: Column, hosts: Column) -> Column:
+    """Bucket, key and region of a URL whose host a CDN map has with a bucket; else null. The prefix goes before the key."""
+    url = F.trim(url)
+    host = F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/?#]+)", 1))
+    path = F.nullif(F.ltrim(F.regexp_extract(url, r"^(?i:https?)://[^/?#]+([^?#]*)", 1), F.lit("/")), F.lit(""))
+    to = F.try_element_at(hosts, host)
+    prefix = F.trim(F.coalesce(to["key_prefix"], F.lit("")), F.lit("/"))
+    key = F.when(prefix == "", path).otherwise(F.concat(prefix, F.lit("/"), path))
+    found = F.struct(to["bucket"].alias("bucket"), key.alias("key"), to["region"].alias("region"))
+    return F.when(host.endswith(".cloudfront.net") & (F.coalesce(to["bucket"], F.lit("")) != "") & path.isNotNull(), found)
+
+
+#: Names of keep policies; any other means auto.
+POLICY_NAMES = ("none", "facility", "textless", "strict", "shape", "adaptive")
+
+
+def policy_name(name: Column) -> Column:
+    """A keep policy's name; auto for unknown, empty or missing ones."""
+    return F.when(name.isin(*POLICY_NAMES), name).otherwise("auto")
+
+
 def base_name(url: Column, default: str = "input") -> Column:
     """The last part of a URL's path, without its query."""
     name = F.regexp_extract(F.element_at(F.split(url, r"\?"), 1), "([^/]*)$", 1)

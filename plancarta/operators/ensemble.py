@@ -27,15 +27,19 @@ def fused(boxes: DataFrame, page: float, most: float = 0.06, floor: float = 1.5e
     return rows.withColumn("id", F.row_number().over(order).cast("long"))
 
 
+def hue_circle(colours: DataFrame) -> DataFrame:
+    """colours (h, s, v; each 0 to 1) with c and d, their places on the hue circle at the saturation."""
+    turn = F.col("h") * 2 * 3.141592653589793
+    return colours.withColumns({"c": F.cos(turn) * F.col("s"), "d": F.sin(turn) * F.col("s")})
+
+
 def colour_clusters(colours: DataFrame, most: int = 5, seed: int = 42) -> DataFrame:
     """colours (id, h, s, v; each 0 to 1) with cluster: k-means on the hue circle, k by the best mean silhouette."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    turn = F.col("h") * 2 * 3.141592653589793
-    rows = colours.withColumns({"c": F.cos(turn) * F.col("s"), "d": F.sin(turn) * F.col("s")})
-    rows = VectorAssembler(inputCols=["c", "d", "s", "v"], outputCol="features").transform(rows)
+    rows = VectorAssembler(inputCols=["c", "d", "s", "v"], outputCol="features").transform(hue_circle(colours))
     n = rows.count()
     if n <= 2:
         return colours.withColumn("cluster", F.lit(0))

@@ -46,6 +46,11 @@ def labelled(texts: DataFrame, boxes: DataFrame) -> DataFrame:
     return out.withColumn("status", status(F.col("label")))
 
 
+def with_text(regions: DataFrame) -> DataFrame:
+    """Regions whose label holds a character."""
+    return regions.where(F.trim("label") != "")
+
+
 def hall_of(boxes: DataFrame, halls: DataFrame) -> DataFrame:
     """boxes with hall: the first valid hall, in order, that holds the region's centre, else Other."""
     rows = numbered(halls)

@@ -122,6 +122,74 @@ def component_stats(labels: DataFrame) -> DataFrame:
     return by
 
 
+def largest(stats: DataFrame, least: float, page: float) -> DataFrame:
+    """image_id, label, area: the largest component (image_id, label, area) of each image, the lowest label of equals, if it
+    is a share of the page."""
+    best = stats.groupBy("image_id").agg(F.max(F.struct("area", (-F.col("label")).alias("l"))).alias("m"))
+    return best.where(F.col("m.area") >= least * page).select("image_id", (-F.col("m.l")).alias("label"), F.col("m.area").alias("area"))
+
+
+def stroke_widths(labels: DataFrame, skeleton: DataFrame, wide: float, small: float) -> DataFrame:
+    """image_id, label, width, fat, tiny: pixels of a component over those of its skeleton (y, x; at least one)."""
+    line = labels.join(skeleton.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_semi").groupBy("image_id", "label").agg(F.count("*").alias("n"))
+    by = labels.groupBy("image_id", "label").agg(F.count("*").alias("area")).join(line, ["image_id", "label"], "left")
+    width = F.col("area") / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))
+    return by.select("image_id", "label", width.alias("width"), (width > wide).alias("fat"), (F.col("area") < small).alias("tiny"))
+
+
+def tilt(lines: DataFrame, low: float = 8.0, high: float = 82.0, least: int = 20, share: float = 0.10) -> DataFrame:
+    """image_id, tilt of lines (image_id, angle in degrees): the middle of the 3-degree bin that most tilted lines fall in,
+    the lowest of equals, if they and it are enough."""
+    turn = F.pmod(F.col("angle"), F.lit(180))
+    rows = lines.withColumn("a", F.when(turn > 90, turn - 180).otherwise(turn))
+    is_tilted = (F.abs("a") > low) & (F.abs("a") < high)
+    bins = rows.withColumn("bin", F.when(is_tilted, F.floor((F.col("a") + 90) / 3))).groupBy("image_id", "bin").agg(F.count("*").alias("n"))
+    tilted = F.sum(F.when(F.col("bin").isNotNull(), F.col("n")))
+    best = bins.groupBy("image_id").agg(tilted.alias("tilted"), F.sum("n").alias("every"), F.max(F.when(F.col("bin").isNotNull(), F.struct("n", (-F.col("bin")).alias("b")))).alias("m"))
+    enough = (F.col("tilted") >= F.greatest(F.lit(float(least)), F.col("every") * share)) & (F.col("m.n") >= least)
+    return best.where(enough).select("image_id", (-F.col("m.b") * 3.0 - 90 + 1.5).alias("tilt"))
+
+
+def lab() -> tuple[Column, Column, Column]:
+    """CIE L*a*b* under D65 of 8-bit r, g, b."""
+    def line(c):
+        v = F.col(c) / 255.0
+        return F.when(v > 0.04045, F.pow((v + 0.055) / 1.055, F.lit(2.4))).otherwise(v / 12.92)
+
+    r, g, b = (line(c) for c in "rgb")
+
+    def bend(v):
+        return F.when(v > 0.008856, F.cbrt(v)).otherwise(v * 7.787 + 16 / 116)
+
+    x = bend((r * 0.412453 + g * 0.357580 + b * 0.180423) / 0.95047)
+    y = bend(r * 0.212671 + g * 0.715160 + b * 0.072169)
+    z = bend((r * 0.019334 + g * 0.119193 + b * 0.950227) / 1.08883)
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
+
+
+def lab_distance(to: tuple[float, float, float]) -> Column:
+    """The distance of r, g, b to a colour in L*a*b*."""
+    return F.sqrt(sum((c - t) * (c - t) for c, t in zip(lab(), to, strict=True)))
+
+
+def sampled(pixels: DataFrame, most: int) -> DataFrame:
+    """At most so many pixels of each image, those whose places have the smallest hashes; the same ones each time."""
+    place = F.md5(F.concat_ws("-", F.col("image_id"), F.col("y"), F.col("x")).cast("binary"))
+    order = Window.partitionBy("image_id").orderBy("hash", "y", "x")
+    return pixels.withColumn("hash", place).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("hash", "place")
+
+
+def combined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """image_id, y, x, either, both, without of two masks of the same images: or, and, and a without b."""
+    rows = a.select("image_id", "y", "x", F.col("on").alias("p")).join(b.select("image_id", "y", "x", F.col("on").alias("q")), ["image_id", "y", "x"])
+    return rows.select("image_id", "y", "x", (F.col("p") | F.col("q")).alias("either"), (F.col("p") & F.col("q")).alias("both"), (F.col("p") & ~F.col("q")).alias("without"))
+
+
+def left_over(mask: DataFrame, used: DataFrame) -> DataFrame:
+    """Pixels of a mask that are on and aren't among used ones."""
+    return mask.where("on").select("image_id", "y", "x").join(used.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
+
+
 def hex_colour(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(c)), 2, "0") for c in (r, g, b)])
 

@@ -1,4 +1,4 @@
-"""Trail polylines (trail_id, ord, x, y, cluster): windows over vertices, joins of endpoints, and selections of trails."""
+"""Trail polylines (image_id, trail_id, ord, x, y, cluster, trails and clusters being an image's own): windows over vertices, joins of endpoints, and selections of trails."""
 
 from __future__ import annotations
 
@@ -61,18 +61,18 @@ def densify(lines: DataFrame, most: float) -> DataFrame:
 
 
 def endpoints(lines: DataFrame, window: int = 12) -> DataFrame:
-    """trail_id, port (0 start, 1 end), x, y, cluster, and tx, ty, the unit direction out of the line over its last vertices."""
+    """image_id, trail_id, port (0 start, 1 end), x, y, cluster, and tx, ty, the unit direction out of the line over its last vertices."""
     place, back = F.row_number().over(_order()), F.row_number().over(_by().orderBy(F.desc("ord")))
     near = lines.withColumn("p", place).withColumn("q", back).withColumn("n", F.count("*").over(_by()))
-    side = lambda port, p: near.where(F.col(p) <= F.least(F.lit(window), F.col("n"))).groupBy("trail_id", "cluster").agg(F.min_by("x", p).alias("x"), F.min_by("y", p).alias("y"), F.max_by("x", p).alias("xi"), F.max_by("y", p).alias("yi")).withColumn("port", F.lit(port))
+    side = lambda port, p: near.where(F.col(p) <= F.least(F.lit(window), F.col("n"))).groupBy("image_id", "trail_id", "cluster").agg(F.min_by("x", p).alias("x"), F.min_by("y", p).alias("y"), F.max_by("x", p).alias("xi"), F.max_by("y", p).alias("yi")).withColumn("port", F.lit(port))
     both = side(0, "p").unionByName(side(1, "q"))
     d = distance(F.col("xi"), F.col("yi"), F.col("x"), F.col("y"))
     unit = lambda c: F.when(d > 0, (F.col(c) - F.col(f"{c}i")) / d).otherwise(0.0)
-    return both.select("trail_id", "port", "cluster", "x", "y", unit("x").alias("tx"), unit("y").alias("ty"))
+    return both.select("image_id", "trail_id", "port", "cluster", "x", "y", unit("x").alias("tx"), unit("y").alias("ty"))
 
 
 def endpoint_pairs(ends: DataFrame, most: float, same_cluster: bool | None = None) -> DataFrame:
-    """i, port_i, j, port_j, d, and ci, cj, the cosines of going straight on, of endpoints closer than `most`, i < j.
+    """image_id, i, port_i, j, port_j, d, and ci, cj, the cosines of going straight on, of an image's endpoints closer than `most`, i < j.
 
     Endpoints meet in grid cells as wide as the reach: each asks its own and the eight around it.
     """
@@ -81,13 +81,13 @@ def endpoint_pairs(ends: DataFrame, most: float, same_cluster: bool | None = Non
     asks = here.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).alias("i")
     to = here.alias("j")
     d = distance(F.col("i.x"), F.col("i.y"), F.col("j.x"), F.col("j.y"))
-    tests = [F.col("i.gx") == F.col("j.gx"), F.col("i.gy") == F.col("j.gy"), F.col("i.trail_id") < F.col("j.trail_id"), d < most]
+    tests = [F.col("i.image_id") == F.col("j.image_id"), F.col("i.gx") == F.col("j.gx"), F.col("i.gy") == F.col("j.gy"), F.col("i.trail_id") < F.col("j.trail_id"), d < most]
     if same_cluster is not None:
         tests.append((F.col("i.cluster") == F.col("j.cluster")) == F.lit(same_cluster))
     wx, wy = F.col("j.x") - F.col("i.x"), F.col("j.y") - F.col("i.y")
     ci = F.when(d > 0, (F.col("i.tx") * wx + F.col("i.ty") * wy) / d).otherwise(1.0)
     cj = F.when(d > 0, -(F.col("j.tx") * wx + F.col("j.ty") * wy) / d).otherwise(1.0)
-    return asks.join(to, tests).select(F.col("i.trail_id").alias("i"), F.col("i.port").alias("port_i"), F.col("j.trail_id").alias("j"), F.col("j.port").alias("port_j"), d.alias("d"), ci.alias("ci"), cj.alias("cj"))
+    return asks.join(to, tests).select("i.image_id", F.col("i.trail_id").alias("i"), F.col("i.port").alias("port_i"), F.col("j.trail_id").alias("j"), F.col("j.port").alias("port_j"), d.alias("d"), ci.alias("ci"), cj.alias("cj"))
 
 
 def directional_pairs(ends: DataFrame, most: float, corner: float) -> DataFrame:
@@ -158,5 +158,21 @@ def bounds(lines: DataFrame) -> DataFrame:
     return out.select("trail_id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
 
 
+def cluster_colours(segments: DataFrame) -> DataFrame:
+    """image_id, cluster, r, g, b, confidence, class, n_segments of segments (with rid): medians in whole numbers, the best
+    confidence, the first segment's class, and their number."""
+    return segments.groupBy("image_id", "cluster").agg(*[F.median(c).cast("int").alias(c) for c in "rgb"], F.max("confidence").alias("confidence"), F.min_by("class", "rid").alias("class"), F.count("*").alias("n_segments"))
+
+
+def long_enough(lines: DataFrame, points: int = 5, least: float = 0.0) -> DataFrame:
+    """trail_id of lines with enough points and length."""
+    return lengths(lines).where((F.col("n") >= points) & (F.col("length") >= least)).select("trail_id")
+
+
+def to_pixels(x: Column, y: Column, sx: float, sy: float) -> tuple[Column, Column]:
+    """Places of the model's page in pixels, cut to whole numbers."""
+    return (x * sx).cast("long"), (y * sy).cast("long")
+
+
 def port(ends: DataFrame, which: int) -> Column:
     return ends["port"] == which

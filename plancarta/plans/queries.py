@@ -17,8 +17,8 @@ ORACLE_SQL: dict[str, str] = {}
 PAGE = 1_000_000.0
 
 
-def _query(*inputs: str, sql: str | None = None):
-    """Register a function of DataFrames (fixtures by name, `table:` for the driver's own tables) and its SQL."""
+def _query(*inputs: str, sql: str | None = None, **views: str):
+    """Register a function of DataFrames (fixtures by name, `table:` for the driver's own tables) and its SQL, with views."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _query(*inputs: str, sql: str | None = None):
 
         QUERIES[f.__name__] = run
         if sql:
-            ORACLE_SQL[f.__name__] = oracle(sql, *[n for n in inputs if not n.startswith("table:")])
+            ORACLE_SQL[f.__name__] = oracle(sql, *[n for n in inputs if not n.startswith("table:")], **views)
         return f
 
     return add
@@ -445,7 +445,7 @@ def recolor_classes(pixels_):
 
 
 _INK = "(select image_id, y, x, round_even(r*0.299::double+g*0.587::double+b*0.114::double,0)<128 as on_ from pixels)"
-_NEAR = f"from {_INK} a join {_INK} b on a.image_id=b.image_id and b.y between a.y-1 and a.y+1 and b.x between a.x-1 and a.x+1 group by 1,2,3"
+_NEAR = f"from (select *, unnest([y-1,y,y+1]) as y1 from (select *, unnest([x-1,x,x+1]) as x1 from {_INK})) a join {_INK} b on a.image_id=b.image_id and b.y=a.y1 and b.x=a.x1 group by 1,2,3"
 
 
 @_query("pixels", sql=f"select a.image_id, a.y, a.x, bool_or(b.on_) as \"on\" {_NEAR}")
@@ -534,14 +534,14 @@ _PLACED = "(select *, row_number() over (partition by trail_id order by ord) as
 
 
 def _side(port: int, p: str) -> str:
-    return f"select trail_id, {port} as port, cluster, min_by(x,{p}) as x, min_by(y,{p}) as y, max_by(x,{p}) as xi, max_by(y,{p}) as yi from {_PLACED} where {p}<=least(12,n) group by trail_id, cluster"
+    return f"select image_id, trail_id, {port} as port, cluster, min_by(x,{p}) as x, min_by(y,{p}) as y, max_by(x,{p}) as xi, max_by(y,{p}) as yi from {_PLACED} where {p}<=least(12,n) group by image_id, trail_id, cluster"
 
 
 _UNIT = "case when sqrt((x-xi)*(x-xi)+(y-yi)*(y-yi))>0 then ({0}-{0}i)/sqrt((x-xi)*(x-xi)+(y-yi)*(y-yi)) else 0e0 end"
-_ENDS = f"(select trail_id, port, cluster, x, y, {_UNIT.format('x')} as tx, {_UNIT.format('y')} as ty from ({_side(0, 'p')} union all {_side(1, 'q')}))"
+_ENDS = f"(select image_id, trail_id, port, cluster, x, y, {_UNIT.format('x')} as tx, {_UNIT.format('y')} as ty from ({_side(0, 'p')} union all {_side(1, 'q')}))"
 
 
-@_query("polylines", sql=f"select trail_id, port, cluster, x, y, round(tx,6) as tx, round(ty,6) as ty from {_ENDS}")
+@_query("polylines", sql=f"select image_id, trail_id, port, cluster, x, y, round(tx,6) as tx, round(ty,6) as ty from {_ENDS}")
 def polyline_tangent(lines):
     return _rounded(trails.endpoints(lines), "tx", "ty")
 
@@ -550,7 +550,7 @@ _GAP = "sqrt((j.x-i.x)*(j.x-i.x)+(j.y-i.y)*(j.y-i.y))"
 _COS = f"case when {_GAP}>0 then (i.tx*(j.x-i.x)+i.ty*(j.y-i.y))/{_GAP} else 1e0 end as ci, case when {_GAP}>0 then -(j.tx*(j.x-i.x)+j.ty*(j.y-i.y))/{_GAP} else 1e0 end as cj"
 
 
-@_query("polylines", sql=f"select i.trail_id as i, i.port as port_i, j.trail_id as j, j.port as port_j, round({_GAP},6) as d from {_ENDS} i join {_ENDS} j on i.trail_id<j.trail_id and {_GAP}<25")
+@_query("polylines", sql=f"select i.image_id, i.trail_id as i, i.port as port_i, j.trail_id as j, j.port as port_j, round({_GAP},6) as d from {_ENDS} i join {_ENDS} j on i.image_id=j.image_id and i.trail_id<j.trail_id and {_GAP}<25")
 def endpoint_band_join(lines):
     return _rounded(trails.endpoint_pairs(trails.endpoints(lines), 25).drop("ci", "cj"), "d")
 
@@ -563,8 +563,8 @@ def directional_band_join(lines):
 
 @_query("polylines")
 def greedy_bridges(lines):
-    rows = trails.endpoint_pairs(trails.endpoints(lines), 25).drop("ci", "cj")
-    return _rounded(trails.greedy_bridges(rows.withColumn("image_id", F.lit(0))).drop("image_id"), "d")
+    rows = _rounded(trails.endpoint_pairs(trails.endpoints(lines), 25).drop("ci", "cj"), "d")
+    return trails.greedy_bridges(rows)
 
 
 _TO = "(case when size>0 then least(1e0, greatest(0e0, ((px-x)*(x1-x)+(py-y)*(y1-y))/size)) else 0e0 end)"
@@ -720,20 +720,22 @@ def sequential_ids(boxes):
 @_query("boxes", "pixels", sql="select b.image_id, b.rid, avg((not (p.r>200 and p.g>200 and p.b>200))::int) as contrast from (select image_id, rid, floor(x/16) as x, floor(y/16) as y, floor(w/16)+1 as w, floor(h/16)+1 as h from boxes) b join pixels p on p.image_id=b.image_id and p.x between b.x-2 and b.x+b.w+1 and p.y between b.y-2 and b.y+b.h+1 and not (p.x between b.x and b.x+b.w-1 and p.y between b.y and b.y+b.h-1) group by 1,2")
 def ring_contrast(boxes, pixels_):
     b = boxes.select("image_id", "rid", *[F.floor(F.col(c) / 16).alias(c) for c in "xy"], *[(F.floor(F.col(c) / 16) + 1).alias(c) for c in "wh"])
-    at = b.withColumn("px", F.explode(F.sequence(F.col("x") - 2, F.col("x") + F.col("w") + 1))).withColumn("py", F.explode(F.sequence(F.col("y") - 2, F.col("y") + F.col("h") + 1)))
-    band = at.where(~(F.col("px").between(F.col("x"), F.col("x") + F.col("w") - 1) & F.col("py").between(F.col("y"), F.col("y") + F.col("h") - 1))).select("image_id", "rid", "px", "py")
+    # rows beside the box have two pixels at each side, so a box makes as many rows as its border is long
+    x, right, beside = F.col("x"), F.col("x") + F.col("w"), F.col("py").between(F.col("y"), F.col("y") + F.col("h") - 1)
+    rows = b.withColumn("py", F.explode(F.sequence(F.col("y") - 2, F.col("y") + F.col("h") + 1)))
+    band = rows.select("image_id", "rid", F.explode(F.when(beside, F.array(x - 2, x - 1, right, right + 1)).otherwise(F.sequence(x - 2, right + 1))).alias("px"), "py")
     light = pixels_.select("image_id", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), ((F.col("r") > 200) & (F.col("g") > 200) & (F.col("b") > 200)).alias("white"))
     return band.join(light, ["image_id", "px", "py"]).groupBy("image_id", "rid").agg(F.avg((~F.col("white")).cast("int")).alias("contrast"))
 
 
 # --- graphs and drivers ----------------------------------------------------------------------------------------------
 
-_TREE = "(select trail_id as id, trail_id as a, (trail_id+3)//4 as b, (trail_id*7 % 20)::double as length from polylines where trail_id>1 group by trail_id)"
+_TREE = "(select image_id, trail_id as id, trail_id as a, trail_id-trail_id % 24+(trail_id % 24+3)//4 as b, (trail_id*7 % 20)::double as length from polylines where trail_id % 24>1 group by image_id, trail_id)"
 
 
 def _tree(lines):
     t = F.col("trail_id")
-    return lines.where("trail_id > 1").select(t.alias("id"), t.alias("a"), F.floor((t + 3) / 4).alias("b"), (t * 7 % 20).cast("double").alias("length")).distinct()
+    return lines.where("trail_id % 24 > 1").select("image_id", t.alias("id"), t.alias("a"), (t - t % 24 + F.floor((t % 24 + 3) / 4)).alias("b"), (t * 7 % 20).cast("double").alias("length")).distinct()
 
 
 def _pruned(rounds: int) -> str:
@@ -744,20 +746,20 @@ def _pruned(rounds: int) -> str:
     return rows
 
 
-@_query("polylines", sql=f"select id, a, b, length from {_pruned(2)}")
+@_query("polylines", sql=f"select image_id, id, a, b, length from {_pruned(2)}")
 def spur_prune(lines):
     return graph.prune_spurs(_tree(lines), 9, 2)
 
 
 @_query("polylines")
 def diameter_chain(lines):
-    return graph.diameter_chains(_tree(lines).withColumn("image_id", F.lit(0)))
+    return graph.diameter_chains(_tree(lines))
 
 
 @_query("polylines", sql=f"""with recursive e as (select i.trail_id as a, j.trail_id as b from {_ENDS} i join {_ENDS} j on i.trail_id<j.trail_id and i.cluster=j.cluster and {_GAP}<25),
  w as (select a as v, a as r from e union select b, b from e union select s.t, w.r from w join (select a as f, b as t from e union all select b, a from e) s on s.f=w.v) select v, min(r) as root from w group by 1""")
 def trail_groups(lines):
-    edges = trails.endpoint_pairs(trails.endpoints(lines), 25, True).select(F.lit(0).alias("image_id"), F.col("i").alias("a"), F.col("j").alias("b"))
+    edges = trails.endpoint_pairs(trails.endpoints(lines), 25, True).select("image_id", F.col("i").alias("a"), F.col("j").alias("b"))
     return graph.groups(edges).select("v", "root")
 
 
@@ -771,42 +773,29 @@ def hole_fill(pixels_):
     return graph.filled(pixels.ink(pixels_, 140), 12)
 
 
-@_query("boxes")
-def ensemble_fused(boxes):
-    return ensemble.fused(boxes, PAGE).select("image_id", "id", "rid", "source")
-
-
 @_query("table:embeddings")
 def kmeans_silhouette(vectors):
     share = lambda i: F.abs(F.element_at("embedding", i)).cast("double")
     return ensemble.colour_clusters(vectors.select(F.col("vec_id").alias("id"), share(1).alias("h"), share(2).alias("s"), share(3).alias("v"))).select("id", "cluster")
 
 
-@_query("boxes", sql="select image_id, cluster, dense_rank() over (partition by image_id order by root)-1 as merged from (select l.image_id, l.cluster, min(r.cluster) as root from (select image_id, rid % 4 as cluster, avg(x)/1000 as x from boxes group by 1,2) l join (select image_id, rid % 4 as cluster, avg(x)/1000 as x from boxes group by 1,2) r on l.image_id=r.image_id and (l.cluster=r.cluster) group by 1,2)")
-def cluster_postmerge(boxes):
-    by = boxes.groupBy("image_id", (F.col("rid") % 4).alias("cluster")).agg((F.avg("x") / 1000).alias("r"), F.first(F.lit(0.0)).alias("g"), F.first(F.lit(0.0)).alias("b"))
-    return ensemble.merged_clusters(by, 0.0)
-
-
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content hashes of a stream of documents, each once; the stream runs until it has read what is there."""
-    import tempfile
     import uuid
 
-    from .. import streaming
+    from .. import sources, streaming
 
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     # as a pattern, since the table may be one file or a folder of them
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select(F.sha1("text").alias("hash"), F.timestamp_seconds("doc_id").alias("ts"))
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()).rstrip("/")
-    to = f"{shared}/stream-{uuid.uuid4().hex}"
-    first = streaming.first_arrivals(rows, "ts", "30 days").select("hash")
-    first.writeStream.format("parquet").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start(f"{to}/out").awaitTermination()
-    return spark.read.schema("hash string").parquet(f"{to}/out")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf_dir}/documents.parque[t]").select(F.sha1("text").alias("hash"))
+    to = f"{sources.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    new = rows.writeStream.foreachBatch(lambda batch, _: streaming.into_registry(batch, f"{to}/registry"))
+    new.option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("hash string").parquet(f"{to}/registry")
 
 
 QUERIES["stream_dedup"] = stream_dedup
-ORACLE_SQL["stream_dedup"] = "select distinct sha1(text) as hash from documents"
+ORACLE_SQL["stream_dedup"] = "select distinct sha1(text) as hash from documents where text is not null"
 
 
 # --- further scalar work ---------------------------------------------------------------------------------------------
@@ -854,3 +843,6 @@ def name_filter(urls):
 def detector_profile(boxes):
     area = Box().area
     return boxes.rollup("source").agg(F.count("*").alias("n"), F.min(area).alias("least"), F.max(area).alias("most"), F.median(area).alias("middle"), F.avg("score").alias("score"))
+
+
+from . import drawings, service  # noqa: E402, F401  they register further queries

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plancarta import sources, streaming
 from plancarta.functions import decisions, text
-from plancarta.operators import ensemble, folds, graph, pixels, regions, shapes, trails
+from plancarta.operators import ensemble, folds, graph, pixels, regions, registry, shapes, trails
 
 BOX = "image_id long, rid long, x double, y double, w double, h double, source string, score double"
 
@@ -127,7 +127,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "in" / "b.PDF").write_bytes(b"%PDF-1.7")
     (tmp_path / "in" / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n0000")
     (tmp_path / "in" / "c.txt").write_bytes(b"no")
-    got = [(r.file, r.type, r.is_pdf) for r in sources.folder(spark, str(tmp_path / "in")).collect()]
+    got = sorted((r.file, r.type, r.is_pdf) for r in sources.folder(spark, str(tmp_path / "in")).collect())
     assert got == [("a.png", "image/png", False), ("b.PDF", "application/octet-stream", True)]
     assert [r.file for r in sources.folder(spark, str(tmp_path / "in"), ["B."]).collect()] == ["b.PDF"]
     (tmp_path / "p").mkdir()
@@ -157,6 +157,58 @@ def test_streams(spark, tmp_path):
         q = stream.writeStream.foreachBatch(lambda batch, _: streaming.into_registry(batch, to)).option("checkpointLocation", str(tmp_path / f"c{_}")).trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert spark.read.parquet(to).count() == 5
+    (tmp_path / "plans").mkdir()
+    (tmp_path / "plans" / "a.pdf").write_bytes(b"%PDF-1.7")
+    (tmp_path / "plans" / "b.txt").write_bytes(b"x")
+    files = streaming.arriving_files(spark, str(tmp_path / "plans"))
+    runs = str(tmp_path / "runs")
+    files.select("file", "is_pdf").writeStream.foreachBatch(lambda batch, _: streaming.journal(batch, runs, "predict")).option("checkpointLocation", str(tmp_path / "c9")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(r.file, r.is_pdf, r.endpoint) for r in spark.read.json(runs).collect()] == [("a.pdf", True, "predict")]
+
+
+def test_fetching_and_payloads(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Plans(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/a.pdf" else 404)
+            self.end_headers()
+            self.wfile.write(b"%PDF-1.7" * 20_000 if self.path == "/a.pdf" else b"no")
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Plans)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    urls = spark.createDataFrame([(1, f"{at}/a.pdf"), (2, f"{at}/b"), (3, "http://127.0.0.1:1/x"), (4, None)], "id long, url string")
+    got = {r.id: r for r in sources.fetched(urls, seconds=5).collect()}
+    server.shutdown()
+    assert [got[i].status for i in (1, 2, 3, 4)] == [200, 400, 500, None]
+    assert got[1].content == b"%PDF-1.7" * 20_000 and got[2].error == "status 404" and got[3].error and got[4].error is None
+    result = spark.createDataFrame([(1, "x"), (2, "y")], "image_id long, label string")
+    pictures = spark.createDataFrame([(1, "redmap", b"p")], "image_id long, kind string, png binary")
+    sources.write_payload(result, pictures, str(tmp_path / "run"))
+    assert sorted((r.image_id, r.label) for r in spark.read.json(str(tmp_path / "run" / "result")).collect()) == [(1, "x"), (2, "y")]
+    assert spark.read.parquet(str(tmp_path / "run" / "pictures")).first().png == b"p"
+
+
+def test_registry_generations_and_modes(spark, tmp_path):
+    to = str(tmp_path / "r")
+    assert sources.read_registry(spark, to).count() == 0
+    for names in (["a", "b"], ["c"], ["c", "d", "d"]):
+        new = spark.createDataFrame([(n,) for n in names], "hash string")
+        sources.write_registry(sources.read_registry(spark, to).unionByName(new), to)
+    assert sorted(r.hash for r in sources.read_registry(spark, to).collect()) == ["a", "b", "c", "d"]
+    (tmp_path / "r" / "000000009").mkdir()  # a writer that crashed
+    assert sources.read_registry(spark, to).count() == 4
+    inputs = spark.createDataFrame([(1, "a"), (2, "z")], "id long, hash string")
+    known = sources.read_registry(spark, to)
+    assert {m: sorted((r.id, r.hash_status) for r in registry.handled(inputs, known, m).collect()) for m in registry.MODES[:2]} == {"always_run": [(1, "present"), (2, "absent")], "skip_if_present": [(2, "absent")]}
+    with pytest.raises(Exception, match="hash is present"):
+        registry.handled(inputs, known, "reject_if_present").collect()
+    assert registry.handled(inputs.where("id = 2"), known, "reject_if_present").count() == 1
 
 
 def test_masks_as_arrays():
