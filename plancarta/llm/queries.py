@@ -94,5 +94,15 @@ _OP7 = """with recursive e as (select a.vec_id as a, b.vec_id as b from embeddin
  c as (select v, min(r) as r from w group by 1)
  select vec_id, (select count(*) from e where e.a=vec_id) as n_links, r as component_id, r=vec_id as kept from embeddings join c on v=vec_id"""
 
+_OP3 = r"""with l as (select doc_id, unnest(string_split(coalesce(text,''), chr(10))) as line, unnest(range(len(string_split(coalesce(text,''), chr(10))))) as j from documents),
+ s as (select doc_id, j, line, t, len(t) as n from (select *, list_distinct(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x<>'')) as t from l)),
+ u as (select doc_id, j, n, unnest(t) as w from s),
+ r as (select *, row_number() over (partition by doc_id, j order by c, w) as k from u join (select w, count(*) as c from u group by 1) using (w)),
+ p as (select doc_id, j, n, w from r where k <= n - ceil(0.8*n-1e-9) + 1),
+ c as (select distinct a.doc_id as ad, a.j as aj, b.doc_id as bd, b.j as bj from p a join p b using (w) where b.n>=0.8*a.n-1e-9 and a.n>=0.8*b.n-1e-9 and (b.doc_id<a.doc_id or b.doc_id=a.doc_id and b.j<a.j)),
+ g as (select ad as doc_id, list(distinct aj) as gone from (select ad, aj, len(list_intersect(a.t, b.t)) as i, a.n+b.n as m from c join s a on a.doc_id=ad and a.j=aj join s b on b.doc_id=bd and b.j=bj) where i>=(m-i)*0.8-1e-9 group by 1),
+ d as (select doc_id, text, string_split(coalesce(text,''), chr(10)) as w, coalesce(gone, []) as gone from documents left join g using (doc_id))
+ select doc_id, case when len(gone)=0 then text else array_to_string(list_filter(w, lambda x, i: not list_contains(gone, i-1)), chr(10)) end as text, len(w)::bigint as n_lines, len(gone)::bigint as n_removed from d"""
+
 #: DuckDB SQL, for the operators that SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op4_chat_format": _OP4, "op7_embeddings": _OP7}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _OP1, "op3_line_dedup": _OP3, "op4_chat_format": _OP4, "op7_embeddings": _OP7}
