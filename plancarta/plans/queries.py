@@ -561,7 +561,13 @@ def directional_band_join(lines):
     return _rounded(rows.select("i", "port_i", "j", "port_j", "d", "score"), "d", "score")
 
 
-@_query("polylines")
+_NEAREST = f"(select i.image_id, i.trail_id::bigint as i, i.port::bigint as port_i, j.trail_id::bigint as j, j.port::bigint as port_j, round({_GAP},6) as d from {_ENDS} i join {_ENDS} j on i.image_id=j.image_id and i.trail_id<j.trail_id and {_GAP}<25)"
+_TOP = "coalesce(list_filter(acc.comp, lambda c: c.v=p.{0})[1].r, p.{0})"
+_BRIDGE = f"""case when list_contains(acc.used, p.i*2+p.port_i) or list_contains(acc.used, p.j*2+p.port_j) or {_TOP.format('i')}={_TOP.format('j')} then acc else
+ {{'kept': list_append(acc.kept, p), 'used': list_concat(acc.used, [p.i*2+p.port_i, p.j*2+p.port_j]), 'comp': list_concat(list_transform(list_filter(acc.comp, lambda c: c.v<>p.i and c.v<>p.j), lambda c: {{'v': c.v, 'r': case when c.r={_TOP.format('i')} then {_TOP.format('j')} else c.r end}}), [{{'v': p.i, 'r': {_TOP.format('j')}}}, {{'v': p.j, 'r': {_TOP.format('j')}}}])}} end"""
+
+
+@_query("polylines", sql=f"select image_id, k.i as i, k.port_i as port_i, k.j as j, k.port_j as port_j, k.d as d from (select image_id, unnest(list_reduce(l, lambda acc, p: {_BRIDGE}, {{'kept': list_filter(l, lambda z: false), 'used': []::bigint[], 'comp': []::struct(v bigint, r bigint)[]}}).kept) as k from (select image_id, list({{'i': i, 'port_i': port_i, 'j': j, 'port_j': port_j, 'd': d}} order by d, i, j, port_i, port_j) as l from {_NEAREST} group by 1))")
 def greedy_bridges(lines):
     rows = _rounded(trails.endpoint_pairs(trails.endpoints(lines), 25).drop("ci", "cj"), "d")
     return trails.greedy_bridges(rows)
