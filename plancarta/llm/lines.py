@@ -11,17 +11,18 @@ in a table of fixed size (a bucket may hold several words, which can cost work b
 n - ceil(similarity * n) + 1 of them are sent to their token's group. Tokens travel in blocks of rows by a hash, and groups
 are found by sorting a block.
 
-In a group, pairs must pass the length filter, the positional filter (for both the token must lie in the prefix that the
-pair's own lengths ask for, and what lies before and after it must suffice), and a bound from the parities of 128 bits that
-the sets' words are hashed to. A group names for each set the NAMED earlier partners with the fewest differing bits; in
-groups of over LEADERS sets only the earliest LEADERS are looked at. Each set tries the TRIES nearest first, then the
-other named ones; sets of which none proves right and that had more, try all. Partners are proved on the whole token sets, which are read from the texts once: a table of bits of bounded size says
-which lines may be wanted, and the join drops the others.
+In a group, pairs must pass the length filter, the positional filter (for both the token must lie in the prefix that
+the pair's own lengths ask for, and what lies before and after it must suffice), and a bound from the parities of 128
+bits that the sets' words are hashed to. A group names for each set the NAMED earlier partners with the fewest
+differing bits; in groups of over LEADERS sets only the earliest LEADERS are looked at. Each set tries the TRIES
+nearest first, then the other named ones; sets of which none proves right and that had more, try all. Partners are
+proved on the whole token sets, which are read from the texts once: a table of bits of bounded size says which lines
+may be wanted, and the join drops the others.
 
 Defined cases: null or empty text has one empty line; rows with a null id are returned whole and are no source for
-others; rows that share an id are one document: where a line of one goes, that place goes in each of them, but equal lines
-at one place don't remove each other; an empty table gives no rows; other columns are not read, and
-may have any names.
+others; rows that share an id are one document: where a line of one goes, that place goes in each of them, but equal
+lines at one place don't remove each other; an empty table gives no rows; other columns are not read, and may have any
+names.
 """
 
 from __future__ import annotations

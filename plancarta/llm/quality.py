@@ -10,8 +10,9 @@ its neighbours, each distinct word is scored once per task, by binary search. Wh
 scored by a join with the entries instead: the model, the order and the scores are the same at every size.
 
 A text's score is its log probability divided by its letters and words, so that other signs cost but don't count: the
-perplexity is per letter and word end. (Divided by all signs, texts full of signs score like prose: see the README.) A language's band is its median plus and minus `width` times
-the median distance from it, over all texts with a word, and at least `least` each side; texts outside are rejected.
+perplexity is per letter and word end. (Divided by all signs, texts full of signs score like prose: see the README.) A
+language's band is its median plus and minus `width` times the median distance from it, over all texts with a word,
+and at least `least` each side; texts outside are rejected.
 
 Defined cases: null or empty text has no words, fails the base rules, and has no score; null lang counts as a language
 of its own; repeated rows each get a row and each count; an empty table gives no rows; other columns are not read.
