@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import os
 import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -58,13 +60,17 @@ def store(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage and survives lost executors.
 
     Shuffle files go when the driver's collector finds their job's objects unused; with release, after large shuffles, it
-    is run here, since a driver with little to do would otherwise leave the executors' disks to fill.
+    is run here, since a driver with little to do would otherwise leave the executors' disks to fill. What a first run
+    lets go of holds the rest, and files go a moment later.
     """
     spark = df.sparkSession
     to = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(to)
     if release:
-        spark.sparkContext._jvm.System.gc()
+        gc.collect()
+        for _ in range(2):
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.2)
     out = spark.read.schema(df.schema).parquet(to)
     out._stored_at = to
     return out
