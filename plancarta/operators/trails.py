@@ -62,8 +62,9 @@ def densify(lines: DataFrame, most: float) -> DataFrame:
 
 def endpoints(lines: DataFrame, window: int = 12) -> DataFrame:
     """image_id, trail_id, port (0 start, 1 end), x, y, cluster, and tx, ty, the unit direction out of the line over its last vertices."""
-    place, back = F.row_number().over(_order()), F.row_number().over(_by().orderBy(F.desc("ord")))
-    near = lines.withColumn("p", place).withColumn("q", back).withColumn("n", F.count("*").over(_by()))
+    own = Window.partitionBy("image_id", "trail_id")
+    place, back = F.row_number().over(own.orderBy("ord")), F.row_number().over(own.orderBy(F.desc("ord")))
+    near = lines.withColumn("p", place).withColumn("q", back).withColumn("n", F.count("*").over(own))
     side = lambda port, p: near.where(F.col(p) <= F.least(F.lit(window), F.col("n"))).groupBy("image_id", "trail_id", "cluster").agg(F.min_by("x", p).alias("x"), F.min_by("y", p).alias("y"), F.max_by("x", p).alias("xi"), F.max_by("y", p).alias("yi")).withColumn("port", F.lit(port))
     both = side(0, "p").unionByName(side(1, "q"))
     d = distance(F.col("xi"), F.col("yi"), F.col("x"), F.col("y"))
