@@ -479,7 +479,7 @@ def median_area_frac(boxes, pixels_):
     b = boxes.withColumns({"py": F.floor((F.col("y") + F.col("h") / 2) / 16).cast("int"), "px": F.floor((F.col("x") + F.col("w") / 2) / 16).cast("int")})
     light = pixels_.select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), (F.col("r") + F.col("g") + F.col("b") > 600).alias("pale"))
     share = F.col("w") * F.col("h") / PAGE
-    joined = b.join(light, ["image_id", "py", "px"], "left").withColumn("pale", F.coalesce("pale", F.lit(False)))
+    joined = b.join(pixels.by_merge(light), ["image_id", "py", "px"], "left").withColumn("pale", F.coalesce("pale", F.lit(False)))
     return joined.groupBy("image_id").agg(F.coalesce(F.median(F.when(~F.col("pale"), share)), F.median(share)).alias("median_area_frac"), F.count("*").alias("n"))
 
 
