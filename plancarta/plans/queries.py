@@ -731,7 +731,7 @@ def ring_contrast(boxes, pixels_):
     rows = b.withColumn("py", F.explode(F.sequence(F.col("y") - 2, F.col("y") + F.col("h") + 1)))
     band = rows.select("image_id", "rid", F.explode(F.when(beside, F.array(x - 2, x - 1, right, right + 1)).otherwise(F.sequence(x - 2, right + 1))).alias("px"), "py")
     light = pixels_.select("image_id", F.col("x").cast("long").alias("px"), F.col("y").cast("long").alias("py"), ((F.col("r") > 200) & (F.col("g") > 200) & (F.col("b") > 200)).alias("white"))
-    return band.join(light, ["image_id", "px", "py"]).groupBy("image_id", "rid").agg(F.avg((~F.col("white")).cast("int")).alias("contrast"))
+    return band.join(pixels.by_merge(light), ["image_id", "px", "py"]).groupBy("image_id", "rid").agg(F.avg((~F.col("white")).cast("int")).alias("contrast"))
 
 
 # --- graphs and drivers ----------------------------------------------------------------------------------------------
