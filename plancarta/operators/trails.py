@@ -135,7 +135,7 @@ def touching(lines: DataFrame, tolerance: float) -> DataFrame:
     e = ends.withColumns({"gx": F.floor(F.col("px") / tolerance), "gy": F.floor(F.col("py") / tolerance)}).alias("e")
     d = to_segment(F.col("e.px"), F.col("e.py"), F.col("s.x"), F.col("s.y"), F.col("s.x1"), F.col("s.y1"))
     keys = [F.col(f"e.{k}") == F.col(f"s.{k}") for k in ("cluster", "gx", "gy")]
-    near = e.join(s, [*keys, F.col("e.trail_id") != F.col("s.trail_id"), d <= tolerance])
+    near = e.join(s.hint("merge"), [*keys, F.col("e.trail_id") != F.col("s.trail_id"), d <= tolerance])
     i, j = F.least("e.trail_id", "s.trail_id"), F.greatest("e.trail_id", "s.trail_id")
     return near.select(i.alias("i"), j.alias("j"), d.alias("d")).groupBy("i", "j").agg(F.min("d").alias("d"))
 
