@@ -25,6 +25,7 @@ empty table gives no rows; other columns are not read. Rows find their vertex ag
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import forget, id_column, rows_of, ship, store
 from .components import components
 
-COSINE, SAMPLE, LISTS, MOST_LISTS, PARTS, CODES, MARGIN, BLOCK = 0.9, 16_384, 256, 16_384, 16, 256, 3.0, 1000
+COSINE, SAMPLE, LISTS, MOST_LISTS, PARTS, CODES, MARGIN, BLOCK, TURN = 0.9, 16_384, 256, 16_384, 16, 256, 3.0, 1000, 1.75
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -198,8 +199,8 @@ def _several(n: np.ndarray) -> np.ndarray:
 _DEALT = pa.schema([("dim", pa.int32()), ("part", pa.int32()), ("members", pa.binary()), ("asks", pa.binary())])
 
 
-def _deal(indexes, plans, kind):
-    """Members and asking vertices to the parts of their lists: a row for each part and batch."""
+def _deal(indexes, plans, kind, turn: int = 0, turns: int = 1):
+    """Members and asking vertices to the parts of their lists, of every list in one of the turns: a row for each part and batch."""
 
     def run(batches):
         for dim, b in _by_dim(batches):
@@ -213,12 +214,12 @@ def _deal(indexes, plans, kind):
             asks["home"], asks["error"] = home, b.column("error").to_numpy()
             asks["codes"] = _joined(b.column("codes"), np.uint8).reshape(n, -1)
             dealt = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            spread = chunks[home]
+            spread = chunks[home] * (home % turns == turn)
             row = np.repeat(np.arange(n), spread)
             to = first[home[row]] + (dealt[row] % blocks[home[row]].astype(np.uint64)).astype(np.int64) * spread[row] + _several(spread)
             cells = _joined(b.column("probes"), np.uint16)
             who = np.repeat(np.arange(n), [len(x) // 2 for x in b.column("probes").to_pylist()])
-            spread = blocks[cells]
+            spread = blocks[cells] * (cells % turns == turn)
             k = np.repeat(np.arange(len(cells)), spread)
             whom = who[k]
             there = first[cells[k]] + _several(spread) * chunks[cells[k]] + (dealt[whom] % chunks[cells[k]].astype(np.uint64)).astype(np.int64)
@@ -358,13 +359,19 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, cosine: float = COSINE) -> dic
     return out
 
 
-def _plans(coded: DataFrame, indexes: dict[int, Index], block: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By vector length: how many parts a list's members and asking vertices are split into, and its first pair of parts."""
+def _plans(coded: DataFrame, indexes: dict[int, Index], kind: np.dtype, block: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
+    """By vector length: how many parts a list's members and asking vertices are split into, and its first pair of parts.
+    Then in how many turns lists get what they compare, so that a turn sends less than TURN times the vectors' bytes."""
     out = {dim: [np.ones(len(x.coarse), np.int64), np.ones(len(x.coarse), np.int64)] for dim, x in indexes.items()}
     sizes = coded.select("dim", "home", "probes").mapInArrow(_sizes, "dim int, cell int, own long, asks long").groupBy("dim", "cell").agg(F.sum("own").alias("own"), F.sum("asks").alias("asks"))
-    for r in sizes.where((F.col("own") > 8 * block) | (F.col("asks") > 256 * block)).collect():
-        out[r.dim][0][r.cell], out[r.dim][1][r.cell] = max(1, -(-r.own // (8 * block))), -(-r.asks // (256 * block))
-    return {dim: (blocks, chunks, np.r_[0, np.cumsum(blocks * chunks)[:-1]]) for dim, (blocks, chunks) in out.items()}
+    held = sent = 0
+    for r in sizes.collect():
+        blocks, chunks = max(1, -(-r.own // (8 * block))), max(1, -(-r.asks // (256 * block)))
+        out[r.dim][0][r.cell], out[r.dim][1][r.cell] = blocks, chunks
+        member, asking = _kinds(r.dim, indexes[r.dim])
+        held += r.own * r.dim * kind.itemsize
+        sent += r.own * chunks * member.itemsize + r.asks * blocks * asking.itemsize
+    return {dim: (blocks, chunks, np.r_[0, np.cumsum(blocks * chunks)[:-1]]) for dim, (blocks, chunks) in out.items()}, max(1, math.ceil(sent / max(TURN * held, 1)))
 
 
 def embedding_groups(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
@@ -378,13 +385,14 @@ def embedding_groups(vectors: DataFrame, cosine: float = COSINE, sample: int = S
     fitted = fit(rows, sample, cosine)
     indexes = spark.sparkContext.broadcast(fitted)
     coded = store(vertices(rows).select("rep", "c", "v", *hashes).mapInArrow(_encode(indexes, kind), _CODED_SQL), "coded", release=True)
-    plans = spark.sparkContext.broadcast(_plans(coded, fitted, block))
-    dealt = coded.select("rep", "dim", "home", "v", "codes", "error", "probes").mapInArrow(_deal(indexes, plans, kind), "dim int, part int, members binary, asks binary")
-    marked = dealt.groupBy("dim", "part").applyInArrow(_mark(indexes, plans), "dim int, cell int, rep long, asks boolean")
-    marked = store(marked, "marked", release=True)
+    plan, turns = _plans(coded, fitted, kind, block)
+    plans, marked = spark.sparkContext.broadcast(plan), []
+    for turn in range(turns):  # a turn's shuffle is freed before the next
+        dealt = coded.select("rep", "dim", "home", "v", "codes", "error", "probes").mapInArrow(_deal(indexes, plans, kind, turn, turns), "dim int, part int, members binary, asks binary")
+        marked.append(store(dealt.groupBy("dim", "part").applyInArrow(_mark(indexes, plans), "dim int, cell int, rep long, asks boolean"), "marked", release=True))
     # parts by list: a table of at most MOST_LISTS rows for each vector length; a part of a list may be marked more than once
-    whole = store(marked.distinct(), "whole")
-    forget(marked)
+    whole = store(functools.reduce(DataFrame.unionByName, marked).distinct(), "whole")
+    forget(*marked)
     own, asks = F.count_if(~F.col("asks")), F.count_if("asks")
     cells = F.broadcast(store(whole.groupBy("dim", "cell").agg(F.ceil(own / block).cast("int").alias("blocks"), F.ceil(asks / (8 * block)).cast("int").alias("chunks")), "cells"))
     met = whole.join(cells, ["dim", "cell"]).join(coded.select("rep", "c", "home", "v", "probes"), "rep")
